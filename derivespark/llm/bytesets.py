@@ -64,10 +64,10 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         if high - low >= k:
             out.append(np.unique(joined[low : high - k + 1]))
         elif high > low:
-            h = U(high - low)
-            for w in words[low:high]:
-                h = mix(np.array([h * U(_BASE) + w + U(77)], dtype=np.uint64))[0]
-            out.append(np.array([h], dtype=np.uint64))
+            h = np.array([high - low], dtype=np.uint64)
+            for w in range(low, high):
+                h = mix(h * U(_BASE) + words[w : w + 1] + U(77))
+            out.append(h)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -60,11 +60,8 @@ def mix_plan(sized: DataFrame, *, seed: str = "mix", weights=WEIGHTS, share: flo
     targets = targets.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
     targets = targets.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
     below = F.sum("words").over(Window.partitionBy("source").orderBy("cell")) - F.col("words")
-    filled = (
-        cells.withColumn("below", below)
-        .join(targets, cells["source"].eqNullSafe(targets["source"]))
-        .select(targets["source"], "source_size", "target", "whole", "extra", "cell", "words", "below")
-    )
+    cells = cells.withColumn("below", below).withColumnRenamed("source", "cell_source")
+    filled = targets.join(cells, F.col("source").eqNullSafe(F.col("cell_source")))
     part = F.least(F.lit(1.0), (F.col("extra") - F.col("below")) / F.when(F.col("words") > 0, F.col("words")))
     cut = F.max(F.when((F.col("extra") > F.col("below")) & (F.col("words") > 0), (F.col("cell") + part) * F.lit(HASH_RANGE // CELLS)))
     return filled.groupBy("source", "source_size", "target", "whole").agg(F.coalesce(cut, F.lit(0.0)).alias("cut"))
@@ -72,7 +69,7 @@ def mix_plan(sized: DataFrame, *, seed: str = "mix", weights=WEIGHTS, share: flo
 
 def _copies(sized: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     plan = plan.withColumnRenamed("source", "plan_source")
-    joined = sized.join(small(plan), sized["source"].eqNullSafe(plan["plan_source"]))
+    joined = sized.join(small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
     return joined.select(*keep, "source_size", "target", (F.col("whole") + (F.col("hash") < F.col("cut")).cast("long")).alias("copies"))
 
 
@@ -98,5 +95,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
         F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut")
     )
     times = (F.col("_mix_whole") + (_hash(seed) < F.col("_mix_cut")).cast("long")).cast("int")
-    joined = docs.join(small(plan), docs["source"].cast("string").eqNullSafe(plan["_mix_source"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times > 0).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(small(plan), F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))).where(times > 0)
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

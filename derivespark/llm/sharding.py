@@ -56,8 +56,8 @@ def bounded_loads(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -
 def place(docs: DataFrame, *, shards: int = 16, nodes: int = 64, cell_rows: int = 20_000, slack: float = 0.0) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` for every row.
 
-    A key's position is a hash of its doc_id; rows that share a doc_id, or have none, share a position and are told
-    apart by size and checksum. Capacity is ``(1 + slack)`` times the mean; without slack the first shards take the
+    A key's position is a hash of its doc_id, or of the text's checksum if it has none; rows that share a position
+    are told apart by size and checksum. Capacity is ``(1 + slack)`` times the mean; without slack the first shards take the
     remainder, so row counts are at most one apart. Slots run from 0 without gaps.
 
     The ring is cut at the nodes and then evenly into cells of about ``cell_rows`` keys, ``MAX_CELLS`` at most. Cell
@@ -83,7 +83,7 @@ def place(docs: DataFrame, *, shards: int = 16, nodes: int = 64, cell_rows: int
         "doc_id",
         (F.octet_length(text_of()).cast("long") + 1).alias("size"),
         F.crc32(text_of()).alias("text_crc32"),
-        F.xxhash64(F.col("doc_id")).alias("position"),
+        F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.crc32(text_of()))).alias("position"),
     )
     keyed = saved(keyed.withColumn("cell", cell("position")), "ring-keys")
     counts = np.zeros(len(at) * parts, dtype=np.int64)
