@@ -100,9 +100,9 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``limit`` bytes of the binary column ``text``, at least one row each."""
+    """Slices of the batches with about ``limit`` bytes of the column ``text``, at least one row each, and their UTF-8."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(text).to_pylist()]
+        texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
         low = size = 0
         for i, t in enumerate(texts):
             if i > low and size + len(t) > limit:

@@ -106,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
 
     Positives are the drawn rows labelled 1 (a doc_id with differing labels is not trusted); all drawn rows are the
     unlabelled text. The class prior is the share of 1 among all labels outside the held-out third; if these are all
-    alike it is estimated from the scores. With no positives every text scores one half.
+    alike it is estimated from the scores. The lower end of its interval (at most 0.015 below) is used: too high a prior
+    leaves part of the junk unexplained, and the risk of the negatives stops there. With no positives every text scores one half.
     """
     learn = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ours = docs.where(~held_out()).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
@@ -122,27 +123,28 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
         return Model(np.zeros(n), np.ones(n), np.zeros((n, 1)), np.zeros(1), np.zeros(1), 0.0)
     if prior is None:
         share = learn.agg(F.avg("quality")).first()[0]
-        prior = float(np.clip(share, 0.02, 0.98)) if 0 < share < 1 else class_prior(positive, x)
+        prior = float(share) if 0 < share < 1 else class_prior(positive, x)
+        spread = 3 * np.sqrt(prior * (1 - prior) / max(got["labelled"].sum(), 1))
+        prior = float(np.clip(prior - min(spread, 0.015), 0.02, 0.98))
     return fit_nnpu(positive, x, prior)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (columns of ``docs``) with ``score`` and ``predicted`` of the whole text; null counts as empty."""
-    columns = keep or ["doc_id"]
+def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``_score`` and ``_predicted`` of the whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "_quality_text", CHUNK_BYTES):
+        for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             s = model.score(np.array([features(t) for t in texts]))
-            kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "_score", "_predicted"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns]
-    source = docs.select(*columns, F.col("text").cast("string").cast("binary").alias("_quality_text"))
-    return source.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c]
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
+    return source.mapInArrow(run, ", ".join([*fields, "_score double", "_predicted int"]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``. Labels, lang, source and doc_id never reach the score;
     rows with equal texts score alike; a null doc_id hashes as an empty one."""
-    scored = score(docs, train(docs, labels, **how))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = score(docs, train(docs, labels, **how), ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
