@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -33,10 +34,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of steps that are written go now: Spark drops them when the driver collects garbage, which
+    by itself may be half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a saved, narrow table) marked for broadcast if its counted rows are within ``limit``; else as it is, for
     a shuffle join, whose hot keys adaptive execution splits."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U, chunks, rolling, window_min
-from .common import saved
+from .common import release, saved
 
 #: A passage has so many bytes; any passage holds exactly one least hash among its GRAM-byte windows, its anchor.
 LENGTH, GRAM = 50, 26
@@ -24,7 +24,7 @@ ANCHOR_SHARE, MERGE_SHARE, TABLE_SHARE = 16_000_000, 5_000_000, 32_000_000
 NOBODY = np.iinfo(np.int64).max
 
 CHUNK = "chunk_id long, doc_ids array<long>, sizes array<int>, text binary"
-ANCHORS = "bucket int, chunk_id long, anchors binary, low binary, high binary"
+ANCHORS = "bucket int, chunk_id long, anchors binary, low binary, many binary"
 OPEN = "bucket int, chunk_id long, place binary, doc binary, start binary, count binary, text binary"
 COVERED = "chunk_id long, place binary, start binary, count binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -140,8 +140,10 @@ def _binary(x: np.ndarray, kind: str) -> bytes:
 
 
 def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+    first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
     for low, high in zip(first, [*first[1:], len(order)], strict=True):
         yield int(bucket[order[low]]), order[low:high]
 
@@ -163,8 +165,9 @@ def _anchors(buckets: int):
             anchor, doc = anchor[order], doc[order]
             first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
             if len(first):
-                keys, low, high = anchor[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-                out = [(b, chunk.id, keys[i].tobytes(), low[i].tobytes(), high[i].tobytes()) for b, i in _dealt((keys % U(buckets)).astype(np.int64))]
+                keys, low = anchor[first], np.minimum.reduceat(doc, first)
+                many = low < np.maximum.reduceat(doc, first)
+                out = [(b, chunk.id, keys[i].tobytes(), low[i].tobytes(), many[i].tobytes()) for b, i in _dealt((keys % U(buckets)).astype(np.int64))]
                 yield _table(out, ANCHORS)
 
     return run
@@ -172,12 +175,12 @@ def _anchors(buckets: int):
 
 def _repeated(part: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket's anchors, those that occur in more than one document, given back to each chunk that has them."""
-    keys, low, high = (np.concatenate([np.frombuffer(b, kind) for b in part[c]]) for c, kind in (("anchors", np.uint64), ("low", np.int64), ("high", np.int64)))
+    keys, low, many = (np.concatenate([np.frombuffer(b, kind) for b in part[c]]) for c, kind in (("anchors", np.uint64), ("low", np.int64), ("many", bool)))
     chunk = np.repeat(part["chunk_id"].to_numpy(), [len(b) // 8 for b in part["anchors"]])
     order = np.argsort(keys, kind="stable")
-    keys, low, high, chunk = keys[order], low[order], high[order], chunk[order]
+    keys, low, many, chunk = keys[order], low[order], many[order], chunk[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    many = np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)
+    many = np.logical_or.reduceat(many, first) | (np.minimum.reduceat(low, first) < np.maximum.reduceat(low, first))
     keep = np.repeat(many, np.diff(np.r_[first, len(keys)]))
     keys, chunk = keys[keep], chunk[keep]
     out = [(int(chunk[i[0]]), keys[i].tobytes()) for _, i in _dealt(chunk)]
@@ -214,7 +217,7 @@ def _open_passages(buckets: int):
             rest = np.flatnonzero(~done)
             at, place, anchor = at[rest], place[rest], anchor[rest]
             f, n = runs(at, place, anchor)
-            for b, i in _dealt((anchor[f] % U(buckets)).astype(np.int64)) if len(f) else ():
+            for b, i in _dealt((anchor[f] % U(buckets)).astype(np.int64)):
                 length = n[i] + LENGTH - 1
                 index = np.repeat(at[f[i]] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
                 where = place[f[i]]
@@ -305,15 +308,20 @@ def suffix_dedup(docs: DataFrame, *, keep_bytes: bool = False) -> DataFrame:
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = lambda part: int(max(1, -(-volume // part)))
     name = f"suffix_chunks_{uuid.uuid4().hex}"
-    texts.mapInArrow(_write_chunks, CHUNK).write.bucketBy(max(8, share(TABLE_SHARE)), "chunk_id").option("compression", "zstd").saveAsTable(name)
+    buckets = max(share(TABLE_SHARE), int(spark.conf.get("spark.sql.shuffle.partitions")))  # fewer, and a join would shuffle the text
+    texts.mapInArrow(_write_chunks, CHUNK).write.bucketBy(buckets, "chunk_id").option("compression", "zstd").saveAsTable(name)
     stored = spark.table(name)
 
     anchors = stored.mapInArrow(_anchors(share(ANCHOR_SHARE)), ANCHORS)
     repeated = anchors.groupBy("bucket").applyInPandas(_repeated, "chunk_id long, anchors binary")
-    repeated = saved(repeated, "suffix-anchors").groupBy("chunk_id").agg(F.collect_list("anchors").alias("repeated"))
+    repeated = saved(repeated, "suffix-anchors")
+    release(spark)
+    repeated = repeated.groupBy("chunk_id").agg(F.collect_list("anchors").alias("repeated"))
     opened = saved(stored.join(repeated, "chunk_id").mapInArrow(_open_passages(share(MERGE_SHARE)), OPEN), "suffix-open")
+    release(spark)
     merged = opened.where("bucket >= 0").groupBy("bucket").applyInPandas(_merge, COVERED)
     covered = saved(merged.unionByName(opened.where("bucket < 0").select("chunk_id", "place", "start", "count")), "suffix-covered")
+    release(spark)
     covers = covered.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "start", "count")).alias("covers"))
     cut = stored.join(covers, "chunk_id", "left").mapInArrow(_cut, RESULT)
     result = saved(cut if keep_bytes else cut.drop("kept"), "suffix-kept")
