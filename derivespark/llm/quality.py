@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
     joined = ours.where(drawn).join(learn.where(drawn), "doc_id", "left")
     sample = joined.select("text", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive"), F.col("quality").isNotNull().alias("labelled"))
     got = saved(sample.mapInArrow(_features, "positive boolean, labelled boolean, x array<double>"), "quality-sample").toPandas()
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features(b"")))
     positive = x[got["positive"].to_numpy(dtype=bool)]
     if not len(positive):
         n = len(features(b""))
