@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -100,17 +101,18 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``limit`` bytes of the column ``text``, at least one row each, and their UTF-8."""
+    """Slices of the batches with about ``limit`` bytes of the column ``text``, at least one row each, and their UTF-8.
+    Only a slice's texts become Python objects at a time."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+        column = batch.column(text).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         low = size = 0
-        for i, t in enumerate(texts):
-            if i > low and size + len(t) > limit:
-                yield batch.slice(low, i - low), texts[low:i]
+        for i, n in enumerate([*sizes.tolist(), None]):
+            if n is None or (i > low and size + n > limit):
+                if i > low:
+                    yield batch.slice(low, i - low), [t or b"" for t in column.slice(low, i - low).to_pylist()]
                 low, size = i, 0
-            size += len(t)
-        if low < len(texts):
-            yield batch.slice(low), texts[low:]
+            size += n or 0
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:

@@ -38,6 +38,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` for a Python step over whole texts: batches of few rows, so that a worker's memory follows the text of a
+    few documents and not of Spark's usual 10,000."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return docs
+
+
 def release(spark: SparkSession) -> None:
     """Lets the shuffle files of steps that are written go now: Spark drops them when the driver collects garbage, which
     by itself may be half an hour later."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ALNUM, chunks
-from .common import ascii_lower, saved, text_of
+from .common import ascii_lower, saved, text_batches, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Text of one block of the index; more query terms than this and the index holds every term; windows searched at once.
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     if terms is not None:
         rows = terms.select("term").distinct().limit(MAX_TERMS + 1).collect()  # at most MAX_TERMS words of the query set
         wanted = {bytes(r["term"]): i for i, r in enumerate(rows)} if len(rows) <= MAX_TERMS else None
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return saved(texts.mapInArrow(_index_block(wanted), INDEX), "positional-index")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U, chunks, lists, mix, shingle_sets
-from .common import components, saved
+from .common import components, saved, text_batches
 
 #: The two permutations act on so many elements.
 UNIVERSE = 2**20
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     task takes two of them, so every pair is met within bounded memory, and only a forest of links leaves the task.
     """
     bands, rows = band_plan(percent, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = saved(
         texts.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "minhash"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import saved
+from .common import saved, text_batches
 
 #: Rows drawn for the fit; they and their features fit on the driver whatever the input's size.
 SAMPLE_ROWS = 24_000
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
     leaves part of the junk unexplained, and the risk of the negatives stops there. With no positives every text scores one half.
     """
     learn = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ours = docs.where(~held_out()).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    ours = text_batches(docs).where(~held_out()).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     share = min(1.0, rows / max(ours.select("doc_id").count(), 1))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(2**30)) < int(share * 2**30)
     joined = ours.where(drawn).join(learn.where(drawn), "doc_id", "left")
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "_score", "_predicted"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c]
-    source = docs.select(*dict.fromkeys([*keep, "text"]))
+    source = text_batches(docs).select(*dict.fromkeys([*keep, "text"]))
     return source.mapInArrow(run, ", ".join([*fields, "_score double", "_predicted int"]))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U, chunks, rolling, window_min
-from .common import release, saved
+from .common import release, saved, text_batches
 
 #: A passage has so many bytes; any passage holds exactly one least hash among its GRAM-byte windows, its anchor.
 LENGTH, GRAM = 50, 26
@@ -304,7 +304,7 @@ def suffix_dedup(docs: DataFrame, *, keep_bytes: bool = False) -> DataFrame:
     are merged. A passage in any number of documents reaches a bucket once or so from each chunk.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = lambda part: int(max(1, -(-volume // part)))
     name = f"suffix_chunks_{uuid.uuid4().hex}"
