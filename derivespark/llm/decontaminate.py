@@ -14,7 +14,7 @@ from .common import ascii_lower, saved, text_batches, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Text of one block of the index; more query terms than this and the index holds every term; windows searched at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 MAX_TERMS = 1_000_000
 MAX_WINDOWS = 200_000
 

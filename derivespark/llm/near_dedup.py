@@ -17,7 +17,7 @@ from .common import components, saved, text_batches
 
 #: The two permutations act on so many elements.
 UNIVERSE = 2**20
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 #: Shingles of the sets that one verifying task holds: this many, twice for a pair of blocks.
 BLOCK_SHINGLES = 400_000
 
