@@ -19,7 +19,7 @@ from .common import components, saved, text_batches
 UNIVERSE = 2**20
 CHUNK_BYTES = 500_000
 #: Shingles of the sets that one verifying task holds: this many, twice for a pair of blocks.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 
 
 def band_plan(percent: int, rows: int = 8, miss: float = 1e-6) -> tuple[int, int]:
@@ -71,7 +71,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             sets = pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component", "blocks")), sets], ["doc_id", "component", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component", "units")), sets], ["doc_id", "component", "units", "shingles"])
 
     return run
 
@@ -135,8 +135,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
 
     Documents with equal sets form a class, which the smallest doc_id stands for. Classes that meet in a band form
     candidate clusters (edges to a bucket's smallest member only, so a hot bucket gives no pairs). Every link lies
-    inside a cluster. A task takes the full sets of small clusters together; a large cluster is cut into blocks and a
-    task takes two of them, so every pair is met within bounded memory, and only a forest of links leaves the task.
+    inside a cluster. A task takes the full sets of small clusters together. A large cluster is cut into blocks, and each
+    block is verified together with the cluster's smallest member: near copies of one text come together there, at a cost
+    that follows the cluster's size. Only members that did not reach the smallest one, if any, are then compared with
+    all blocks, a block of them at a time. So every pair that could join two components is met within bounded memory,
+    and only a forest of links leaves a task.
     """
     bands, rows = band_plan(percent, rows)
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -153,23 +156,37 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     near = banded.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     clusters = components(near, "minhash-clusters")
 
-    members = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    load = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = saved(clusters.join(load, "component").distinct(), "minhash-members")
+    sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    load = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = sized.join(load, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = saved(members, "minhash-members")
     total = classes.agg(F.sum("n")).first()[0] or 0
     bundles = F.lit(max(1, 2 * total // BLOCK_SHINGLES))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != block)
-    paired = F.transform(others, lambda j: F.xxhash64("component", F.least(j, block), F.greatest(j, block)))
-    units = F.when(F.col("blocks") > 1, paired).otherwise(F.array(F.pmod(F.xxhash64("component"), bundles)))
-    sets = (
-        texts.join(members, texts["doc_id"] == members["node"])
-        .select("doc_id", "component", "blocks", "text")
-        .mapInArrow(_sets(shingle), "doc_id long, component long, blocks int, shingles binary")
-        .select("doc_id", "component", "shingles", F.explode(units).alias("unit"))
-    )
-    links = saved(sets.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
+
+    def verified(units: DataFrame) -> DataFrame:
+        sets = texts.join(units, texts["doc_id"] == units["node"]).select("doc_id", "component", "units", "text")
+        sets = sets.mapInArrow(_sets(shingle), "doc_id long, component long, units array<long>, shingles binary")
+        each = sets.select("doc_id", "component", "shingles", F.explode("units").alias("unit"))
+        return saved(each.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.when(F.col("node") == F.col("component"), every).otherwise(F.array("block"))
+    units = F.when(F.col("blocks") > 1, F.transform(own, lambda i: F.xxhash64("component", i))).otherwise(F.array(F.pmod(F.xxhash64("component"), bundles)))
+    links = verified(members.select("node", "component", units.alias("units")))
+
+    large = members.where("blocks > 1")
     linked = components(links, "minhash-components")
+    apart = large.join(linked.select("node", F.col("component").alias("reached")), "node", "left").where("reached is null or reached <> component")
+    apart = saved(apart.drop("reached"), "minhash-apart")
+    if apart.limit(1).count():
+        rests = apart.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("rests"))
+        paired = large.join(rests, "component").join(apart.select("node", F.lit(True).alias("is_apart")), "node", "left")
+        rest = F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int")
+        unit = lambda i, j: F.xxhash64("component", i, j)
+        met = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: unit(F.col("block"), j))
+        meets = F.when(F.col("is_apart"), F.transform(every, lambda i: unit(i, rest))).otherwise(F.array().cast("array<long>"))
+        links = links.unionByName(verified(paired.select("node", "component", F.array_union(met, meets).alias("units"))))
+        linked = components(links, "minhash-components")
 
     reached = classes.select("same", "rep").join(linked, F.col("rep") == F.col("node"), "left")
     reached = reached.select(F.col("same").alias("of"), F.coalesce("component", "rep").alias("component"))

@@ -119,6 +119,13 @@ def test_near_duplicates(spark, rows, docs, odd, none, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)  # clusters cut into blocks
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, shingle=3, percent=60).collect()}
     assert got == want
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 250)
+    base = [f"w{i}" for i in range(60)]
+    drifted = [(900 - i, " ".join(base[2 * i :] + [f"x{j}" for j in range(2 * i)])) for i in range(25)]  # linked in a chain only
+    copies = [(i, " ".join([*base[: i % 50], f"y{i}", *base[i % 50 :]])) for i in range(1, 40)]
+    hot = drifted + copies
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, hot), shingle=3, percent=85).collect()}
+    assert got == brute.near(hot, 3, 85)
     found = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, shingle=3).collect())
     assert found == {(None, None, True): 2, (5, 5, True): 3, (6, 5, False): 1}
     assert near_dedup.near_duplicates(none).count() == 0
