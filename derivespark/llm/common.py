@@ -68,30 +68,31 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, component)`` for edges ``(a, b)``: component is the smallest node reachable.
 
-    Minimum-label propagation with pointer jumping: each round a node takes the smallest label around it and then the
-    label of that label, so long chains halve. Every round is written to the shared folder.
+    Contraction: each round every group takes the least of its own and its neighbours' labels, the pointers are jumped
+    until all stand at a root, and the edges are drawn anew between roots, until none is left. A group that no neighbour
+    joins in a round meets a smaller one in the next, so two rounds halve the groups at least, whatever the order of the
+    ids; a chain of pointers halves with each jump. Every step is written to the shared folder.
     """
-    both = saved(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        label + "-edges",
-    )
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), label)
-    for _ in range(rounds):
-        around = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        stepped = labels.join(around, "node").select("node", "component", F.least("component", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
-        after = saved(
-            stepped.join(jump, "to", "left").select("node", F.coalesce("further", "to").alias("next"), F.col("component").alias("was")),
-            label,
-        )
-        labels = after.select("node", F.col("next").alias("component"))
-        if after.where("next <> was").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"{label}: no fixed point in {rounds} rounds")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(both.where("a <> b").distinct(), label + "-edges")
+    labels = None
+    while labels is None or both.limit(1).count():
+        roots = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), label + "-roots")
+        moved = True
+        while moved:
+            jump = roots.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            after = saved(roots.join(jump, "to").select("a", F.col("to").alias("was"), F.col("next").alias("to")), label + "-roots")
+            moved = after.where("was <> to").limit(1).count() > 0
+            roots = after.select("a", "to")
+        if labels is None:
+            labels = roots.select(F.col("a").alias("node"), F.col("to").alias("component"))
+        else:
+            at = roots.select(F.col("a").alias("component"), "to")
+            labels = saved(labels.join(at, "component", "left").select("node", F.coalesce("to", "component").alias("component")), label)
+        ends = [roots.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
+        drawn = both.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        both = saved(drawn.where("a <> b").distinct(), label + "-edges")
+    return labels
