@@ -1,8 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import pathlib
 import random
+import textwrap
 
-from derivespark.llm import common
+import pytest
+
+from derivespark.llm import common, licenses
 
 
 def test_components_of_a_long_chain_in_any_order(spark):
@@ -14,3 +18,32 @@ def test_components_of_a_long_chain_in_any_order(spark):
         got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
         assert sorted(map(tuple, got)) == [(i, 0) for i in range(n)] + [(n + i, n + 5) for i in (5, 6, 7)]
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def scanned(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.license_id for r in sorted(licenses.license_scan(rows).collect(), key=lambda r: r.doc_id)]
+
+
+def test_whole_licence_files_with_titles_wraps_and_bullets(spark):
+    wrap = lambda text, width: "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+    notice = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    texts, want = [], []
+    for name, text in licenses.KNOWN.items():
+        for width in (50, 66, 72, 79):
+            bulleted = wrap(text, width).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+            for body in (wrap(text, width), bulleted):
+                texts += [notice + body, f"{licenses.TITLES[name][0]}\n\n{notice}{body}", body + "\n\nAnd you must pay."]
+                want += [name, name, None]
+    texts += [licenses.MIT.replace("substantial portions", "large portions"), "MIT License", "Copyright notice\n\n" + wrap(licenses.MIT, 72)[:-20]]
+    assert scanned(spark, texts) == want + [None] * 3
+
+
+def test_long_licences(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    named = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1"}
+    if not all((folder / f).exists() for f in named):
+        pytest.skip("no licence texts here")
+    texts = [(folder / f).read_text() for f in named]
+    ends = [t[: t.index("END OF TERMS AND CONDITIONS")] for t in texts]
+    assert scanned(spark, texts + ends + [t[:-3000] + "x" for t in ends]) == [*named.values()] * 2 + [None] * 4
