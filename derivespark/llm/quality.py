@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from .bytesets import chunks
 from .common import saved, text_batches
 
-#: Rows drawn for the fit; they and their features fit on the driver whatever the input's size.
+#: Positives drawn for the fit, and as many rows drawn as unlabelled text; their features fit on the driver whatever the
+#: input's size.
 SAMPLE_ROWS = 24_000
 CHUNK_BYTES = 1_000_000
 SYMBOLS = b"%&*$#@^~<>={}[]\\_+"
@@ -43,7 +45,30 @@ def features(text: bytes) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches, "text", CHUNK_BYTES):
         x = pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("labelled"), x], ["positive", "labelled", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), x], ["positive", "unlabelled", "x"])
+
+
+#: Features are summed as whole numbers of this fraction, so that the sums do not depend on the order of the tasks.
+UNIT = 2**20
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in chunks(batches, "text", CHUNK_BYTES):
+        x = np.array([features(t) for t in texts]).reshape(len(texts), -1)
+        sums = [[Decimal(sum(map(int, column))) for column in np.rint(v * UNIT).T.tolist()] for v in (x, x**2)]
+        columns = [pa.array([len(texts)], pa.int64()), *(pa.array([v], pa.list_(pa.decimal128(38, 0))) for v in sums)]
+        yield pa.RecordBatch.from_arrays(columns, ["n", "sums", "squares"])
+
+
+def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard deviations of the features of all ``docs``."""
+    texts = text_batches(docs).select(F.col("text").cast("string").cast("binary").alias("text"))
+    found = texts.mapInArrow(_sums, "n long, sums array<decimal(38,0)>, squares array<decimal(38,0)>")
+    width = range(len(features(b"")))
+    row = found.agg(F.sum("n"), *[F.sum(F.col(c)[i]) for c in ("sums", "squares") for i in width]).first()
+    n, values = max(row[0] or 0, 1), np.array([float(v or 0) / UNIT for v in row[1:]])
+    mean, square = values[: len(width)] / n, values[len(width) :] / n
+    return mean, np.sqrt(np.maximum(square - mean**2, 0))
 
 
 class Model:
@@ -57,12 +82,13 @@ class Model:
         return 1 / (1 + np.exp(-z.clip(-40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, units: int = 12, steps: int = 500, rate: float = 0.02, decay: float = 1e-4) -> Model:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, units: int = 12, steps: int = 500, rate: float = 0.02, decay: float = 1e-4, of: tuple | None = None) -> Model:
     """Minimises prior * E_P[l(z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)]) for the logistic loss l. Where the second
     part falls below zero the step goes up on it instead, which stops it from fitting the positives among the
-    unlabelled."""
+    unlabelled. ``of`` has the features' means and deviations, else those of the unlabelled rows are taken."""
     rng = np.random.default_rng(7)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
+    mean, scale = of or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
+    scale = scale + 1e-6
     x = ((np.concatenate([positive, unlabelled]) - mean) / scale).clip(-8, 8)
     n = len(positive)
     weights = [rng.normal(0, 0.3, (x.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.array(np.log(prior / (1 - prior)))]
@@ -88,9 +114,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, unit
     return Model(mean, scale, *weights)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, of: tuple | None = None) -> float:
     """Where no label tells: the least ratio, over high-scoring sets, of the unlabelled share to the positive share."""
-    scores = fit_nnpu(positive, unlabelled, 0.5)
+    scores = fit_nnpu(positive, unlabelled, 0.5, of=of)
     p, u = np.sort(scores.score(positive)), np.sort(scores.score(unlabelled))
     at = p[: max(1, int(len(p) * 0.9))]
     ratio = (1 - np.searchsorted(u, at) / len(u)) / (1 - np.searchsorted(p, at) / len(p))
@@ -102,31 +128,43 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior: float | None = None) -> Model:
-    """Fits on at most about ``rows`` documents outside the held-out third, drawn by a hash of doc_id.
-
-    Positives are the drawn rows labelled 1 (a doc_id with differing labels is not trusted); all drawn rows are the
-    unlabelled text. The class prior is the share of 1 among all labels outside the held-out third; if these are all
-    alike it is estimated from the scores. The lower end of its interval (at most 0.015 below) is used: too high a prior
-    leaves part of the junk unexplained, and the risk of the negatives stops there. With no positives every text scores one half.
+    """Fits on at most about ``rows`` positives and ``rows`` unlabelled documents, all outside the held-out third.
+
+    Positives are drawn by a hash of doc_id among the documents labelled 1 (a doc_id with differing labels is not
+    trusted), however many others there are; the unlabelled text is drawn by another hash among all. Means and scales
+    of the features are those of all documents. The class prior is the share of 1 among all labels outside the held-out
+    third; if these are all alike it is estimated from the scores. The lower end of its interval (at most 0.015 below) is
+    used: too high a prior leaves part of the junk unexplained, and the risk of the negatives stops there. With no
+    positive labels every text scores one half; labels with positives of which no document was drawn are an error.
     """
     learn = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    share, n_labels, n_positive = learn.agg(F.avg("quality"), F.count("quality"), F.count_if(F.col("quality") == 1)).first()
     ours = text_batches(docs).where(~held_out()).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    share = min(1.0, rows / max(ours.select("doc_id").count(), 1))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(2**30)) < int(share * 2**30)
-    joined = ours.where(drawn).join(learn.where(drawn), "doc_id", "left")
-    sample = joined.select("text", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive"), F.col("quality").isNotNull().alias("labelled"))
-    got = saved(sample.mapInArrow(_features, "positive boolean, labelled boolean, x array<double>"), "quality-sample").toPandas()
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features(b"")))
-    positive = x[got["positive"].to_numpy(dtype=bool)]
-    if not len(positive):
+    n_ours = ours.select("doc_id").count()
+    if not n_positive or not n_ours:
         n = len(features(b""))
         return Model(np.zeros(n), np.ones(n), np.zeros((n, 1)), np.zeros(1), np.zeros(1), 0.0)
+    trusted = ours.groupBy("doc_id").agg(F.count("*").alias("n")).join(learn.where("quality = 1"), "doc_id")
+    trusted = saved(trusted.select("doc_id", "n"), "quality-positives")
+
+    def drawn(salt: str, of: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(2**30)) < int(min(1.0, rows / max(of, 1)) * 2**30)
+
+    chosen = trusted.where(drawn("positive", trusted.agg(F.sum("n")).first()[0] or 0)).select("doc_id", F.lit(True).alias("positive"))
+    joined = ours.join(F.broadcast(chosen), "doc_id", "left")  # about ``rows`` ids
+    sample = joined.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), drawn("fit", n_ours).alias("unlabelled"))
+    sample = sample.where("positive or unlabelled")
+    got = saved(sample.mapInArrow(_features, "positive boolean, unlabelled boolean, x array<double>"), "quality-sample").toPandas()
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features(b"")))
+    positive, unlabelled = x[got["positive"].to_numpy(dtype=bool)], x[got["unlabelled"].to_numpy(dtype=bool)]
+    if not len(positive) or not len(unlabelled):
+        raise ValueError(f"{n_positive} positive labels, but {len(positive)} positive and {len(unlabelled)} unlabelled documents drawn")
+    of = moments(docs)
     if prior is None:
-        share = learn.agg(F.avg("quality")).first()[0]
-        prior = float(share) if 0 < share < 1 else class_prior(positive, x)
-        spread = 3 * np.sqrt(prior * (1 - prior) / max(got["labelled"].sum(), 1))
+        prior = float(share) if 0 < share < 1 else class_prior(positive, unlabelled, of)
+        spread = 3 * np.sqrt(prior * (1 - prior) / max(n_labels, 1))
         prior = float(np.clip(prior - min(spread, 0.015), 0.02, 0.98))
-    return fit_nnpu(positive, x, prior)
+    return fit_nnpu(positive, unlabelled, prior, of=of)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

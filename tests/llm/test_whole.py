@@ -4,9 +4,10 @@ import pathlib
 import random
 import textwrap
 
+import numpy as np
 import pytest
 
-from derivespark.llm import common, licenses
+from derivespark.llm import common, licenses, quality
 
 
 def test_components_of_a_long_chain_in_any_order(spark):
@@ -47,3 +48,18 @@ def test_long_licences(spark):
     texts = [(folder / f).read_text() for f in named]
     ends = [t[: t.index("END OF TERMS AND CONDITIONS")] for t in texts]
     assert scanned(spark, texts + ends + [t[:-3000] + "x" for t in ends]) == [*named.values()] * 2 + [None] * 4
+
+
+def test_few_labels_among_many_documents(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(30, 60))) + "."
+    bad = lambda: " ".join(w + rng.choice(["###", "%%%"]) for w in good().split())
+    docs = spark.createDataFrame([(i, bad() if i % 3 == 0 else good()) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = quality.quality_report(docs, labels, rows=50).collect()
+    assert sum(r.predicted == (r.doc_id % 3 > 0) for r in got) > 0.95 * len(got)
+    mean, deviation = quality.moments(docs)
+    x = np.array([quality.features(r.text.encode()) for r in docs.collect()])
+    assert np.allclose(mean, x.mean(axis=0), atol=1e-5) and np.allclose(deviation, x.std(axis=0), atol=1e-2)
+    with pytest.raises(ValueError, match="positive labels"):
+        quality.train(docs, labels.withColumn("doc_id", labels["doc_id"] + 10000))
