@@ -191,6 +191,8 @@ def search_index(index: DataFrame, windows: DataFrame, near: int = 0) -> DataFra
         frequency = {bytes(r["term"]): r["n"] for r in sums.join(terms, "term").collect()}  # terms of this round's windows
         rows = [([bytes(w) for w in r["words"]], list(r["item_ids"])) for r in part.collect()]
         state = state.mapInArrow(_search(rows, frequency, near), ", ".join(" ".join(x) for x in STATE))
+        if k + 1 < rounds:  # the next round's tasks hold their own windows alone
+            state = saved(state, "search-round")
     return state.mapInArrow(_report, FOUND)
 
 

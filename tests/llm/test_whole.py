@@ -7,7 +7,7 @@ import textwrap
 import numpy as np
 import pytest
 
-from derivespark.llm import common, licenses, quality
+from derivespark.llm import common, decontaminate, licenses, quality
 
 
 def test_components_of_a_long_chain_in_any_order(spark):
@@ -63,3 +63,14 @@ def test_few_labels_among_many_documents(spark):
     assert np.allclose(mean, x.mean(axis=0), atol=1e-5) and np.allclose(deviation, x.std(axis=0), atol=1e-2)
     with pytest.raises(ValueError, match="positive labels"):
         quality.train(docs, labels.withColumn("doc_id", labels["doc_id"] + 10000))
+
+
+def test_one_round_of_windows_in_a_task(spark, monkeypatch, capsys):
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 4)
+    words = [f"w{i}" for i in range(22)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(12)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words[:20]))], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench)
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 2  # the last round's search and the report
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {i: 12 if i < 9 else 20 - i for i in range(11)} | {11: 0}
