@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new one. On a
+    cluster it must be set: executors do not see the driver's local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -74,12 +77,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Contraction: each round every group takes the least of its own and its neighbours' labels, the pointers are jumped
     until all stand at a root, and the edges are drawn anew between roots, until none is left. A group that no neighbour
     joins in a round meets a smaller one in the next, so two rounds halve the groups at least, whatever the order of the
-    ids; a chain of pointers halves with each jump. Every step is written to the shared folder.
+    ids; a chain of pointers halves with each jump. Every step is written to the shared folder, an edge once.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = saved(both.where("a <> b").distinct(), label + "-edges")
+    drawn = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    drawn = saved(drawn.where("a < b").distinct(), label + "-edges")
     labels = None
-    while labels is None or both.limit(1).count():
+    while labels is None or drawn.limit(1).count():
+        both = drawn.unionByName(drawn.select(F.col("b").alias("a"), F.col("a").alias("b")))
         roots = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), label + "-roots")
         moved = True
         while moved:
@@ -93,6 +97,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             at = roots.select(F.col("a").alias("component"), "to")
             labels = saved(labels.join(at, "component", "left").select("node", F.coalesce("to", "component").alias("component")), label)
         ends = [roots.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
-        drawn = both.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
-        both = saved(drawn.where("a <> b").distinct(), label + "-edges")
+        apart = drawn.join(ends[0], "a").join(ends[1], "b").where("a_to <> b_to")
+        drawn = saved(apart.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), label + "-edges")
     return labels

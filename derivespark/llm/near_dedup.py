@@ -9,14 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import U, chunks, lists, mix, shingle_sets
 from .common import components, saved, text_batches
 
-#: The two permutations act on so many elements.
-UNIVERSE = 2**20
+#: The two permutations of a set of up to LARGE shingles act on so many elements, and on all 64-bit numbers beyond: a set
+#: that filled much of a universe would share its least elements with any other such set.
+UNIVERSE, LARGE = 2**20, 2**16
 CHUNK_BYTES = 500_000
 #: Shingles of the sets that one verifying task holds: this many, twice for a pair of blocks.
 BLOCK_SHINGLES = 100_000
@@ -29,7 +30,7 @@ def band_plan(percent: int, rows: int = 8, miss: float = 1e-6) -> tuple[int, int
 
 class Circulant:
     """MinHash signatures from two permutations: one scrambles the elements, the other, shifted by one more place for
-    each coordinate, orders them."""
+    each coordinate, orders them. ``wide`` signatures use permutations of all 64-bit numbers."""
 
     def __init__(self, coordinates: int, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
@@ -41,19 +42,28 @@ class Circulant:
         at = self.scramble[(elements % U(UNIVERSE)).astype(np.int64)]
         return np.min([self.shifts[at[i : i + 2048]].min(axis=0) for i in range(0, len(at), 2048)], axis=0)
 
+    def wide(self, elements: np.ndarray) -> np.ndarray:
+        at, steps = mix(elements ^ U(0x5851F42D4C957F2D)), np.arange(self.shifts.shape[1], dtype=np.uint64)
+        return np.min([mix(at[i : i + 1024, None] + steps).min(axis=0) for i in range(0, len(at), 1024)], axis=0)
 
-def _signatures(k: int, bands: int, rows: int):
+
+def _signatures(k: int, percent: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = Circulant(bands * rows)
-        marks = mix(np.arange(bands, dtype=np.uint64) + U(1))
+        marks = mix(np.arange(2 * bands, dtype=np.uint64) + U(1)).reshape(2, bands)
+
+        def banded(signature: np.ndarray, key: np.ndarray) -> np.ndarray:
+            for column in signature.reshape(bands, rows).T.astype(np.uint64):
+                key = mix(key + column)
+            return key.view(np.int64)
+
         for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             sets = shingle_sets(texts, k)
             keys = []
-            for s in sets:
-                key = marks.copy()
-                for column in minhash(s).reshape(bands, rows).T.astype(np.uint64) if len(s) else ():
-                    key = mix(key + column)
-                keys.append(key.view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
+            for s in sets:  # linked sets differ in size by the least similarity at most: near LARGE a set has both signatures
+                own = [banded(minhash(s), marks[0])] if 0 < len(s) <= LARGE else []
+                own += [banded(minhash.wide(s), marks[1])] if 100 * len(s) >= percent * LARGE else []
+                keys.append(np.concatenate(own) if own else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -134,8 +144,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     doc_id link with nothing and stay. Other columns are ignored.
 
     Documents with equal sets form a class, which the smallest doc_id stands for. Classes that meet in a band form
-    candidate clusters (edges to a bucket's smallest member only, so a hot bucket gives no pairs). Every link lies
-    inside a cluster. A task takes the full sets of small clusters together. A large cluster is cut into blocks, and each
+    candidate clusters: a class points to the smallest member of its buckets, and the smallest members of its other
+    buckets do so too, once for all classes that say it, so a hot bucket gives no pairs and a class one edge of its own.
+    Every link lies inside a cluster. A task takes the full sets of small clusters together. A large cluster is cut into blocks, and each
     block is verified together with the cluster's smallest member: near copies of one text come together there, at a cost
     that follows the cluster's size. Only members that did not reach the smallest one, if any, are then compared with
     all blocks, a block of them at a time. So every pair that could join two components is met within bounded memory,
@@ -144,7 +155,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     bands, rows = band_plan(percent, rows)
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = saved(
-        texts.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "minhash"
+        texts.mapInArrow(_signatures(shingle, percent, bands, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "minhash"
     )
     known = signed.where("same is not null and doc_id is not null")
     classes = saved(
@@ -153,7 +164,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     )
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    near = banded.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    met = banded.join(shared, "key").where("rep <> low").select("rep", "low")
+    met = saved(met.withColumn("first", F.min("low").over(Window.partitionBy("rep"))), "minhash-met")  # over one class's bands
+    near = met.groupBy(F.col("rep").alias("a")).agg(F.first("first").alias("b"))
+    near = near.unionByName(met.where("low <> first").select(F.col("low").alias("a"), F.col("first").alias("b")).distinct())
     clusters = components(near, "minhash-clusters")
 
     sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")

@@ -41,8 +41,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """``(sha, kind, start, end)`` of ``(sha, text)``; code points, end exclusive. A match starts after the texts
-    between matches and the matches before it."""
+    """``(sha, kind, start, end)`` of ``(sha, text)``, a row per blob; code points, end exclusive. A match starts after the
+    texts between matches and the matches before it."""
     out = None
     for rule in rules:
         pattern = F.lit(rule.pattern)
@@ -56,7 +56,7 @@ def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
                 )
             ).alias("at", "m"),
         )
-        upto = Window.partitionBy("sha").orderBy("at")
+        upto = Window.partitionBy("sha").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ends = found.select(
             "sha",
             F.length("m.whole").alias("long"),
@@ -73,8 +73,8 @@ def scan_ledger(docs: DataFrame, ledger: str, *, rules=RULES, version: str = RUL
 
     ``paths`` has ``(path, sha)`` for every row; ``findings`` has ``(sha, kind, start, end)`` for the blobs under this
     rule version. Only pairs of blob and rule version that the ledger lacks are scanned, each from one row that holds
-    the blob. Findings are written before the pairs that say they were scanned: after a crash a pair is scanned again,
-    and equal findings count once.
+    the blob; rows that repeat a path and a text are one blob too. Findings are written before the pairs that say they
+    were scanned: after a crash a pair is scanned again, and equal findings count once. A text of any length is one row.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(path_col).alias("path"), text_of().alias("text"))
@@ -85,7 +85,8 @@ def scan_ledger(docs: DataFrame, ledger: str, *, rules=RULES, version: str = RUL
     with_sha = source.withColumn("sha", F.unhex(F.sha2("text", 256)))
     likely = with_sha.where(F.greatest(*[F.col("text").rlike(r.pattern) for r in rules]))
     blobs = likely.join(reps, F.col("path").eqNullSafe(F.col("rep")) & (F.col("sha") == F.col("rep_sha")), "left_semi")
-    fresh = find_spans(saved(blobs.select("sha", "text"), "ledger-blobs"), rules).distinct()
+    once = blobs.select("sha", "text").dropDuplicates(["sha"])  # rows that repeat a path bring the same blob again
+    fresh = find_spans(saved(once, "ledger-blobs"), rules).distinct()
     fresh.select("sha", F.lit(version).alias("rules"), "kind", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("sha", F.lit(version).alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
     findings = _read(spark, f"{ledger}/findings", FINDINGS).where(F.col("rules") == version).drop("rules").distinct()

@@ -94,6 +94,9 @@ def test_secrets(spark, rows, docs, odd, none):
         assert (r.n_assign, r.n_access, r.n_hex, r.spans) == brute.secrets(text[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
     assert secrets.scan_secrets(odd).count() == 6 and secrets.scan_secrets(none).count() == 0
+    text = "password=abcdefgh1 x token=abcdefghij y " + "0f" * 20
+    again = secrets.scan_secrets(frame(spark, [(1, text), (1, text), (None, text), (None, text), (2, text + "!")])).collect()
+    assert len(again) == 5 and {(r.n_assign, r.n_access, r.n_hex, r.spans) for r in again} == {brute.secrets(text)}
 
 
 def test_secret_ledger_scans_new_blobs_only(spark, tmp_path):
@@ -131,6 +134,29 @@ def test_near_duplicates(spark, rows, docs, odd, none, monkeypatch):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_signatures_of_large_sets_and_recall(monkeypatch):
+    """Disjoint sets of any size share no band; pairs at the threshold are met, also where signatures change kind."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(near_dedup, "LARGE", 500)
+    bands, rows = near_dedup.band_plan(85)
+    minhash = near_dedup.Circulant(bands * rows)
+
+    def keys(s):
+        own = [("n", minhash(s))] if len(s) <= near_dedup.LARGE else []
+        own += [("w", minhash.wide(s))] if 100 * len(s) >= 85 * near_dedup.LARGE else []
+        return {(kind, i, tuple(band)) for kind, x in own for i, band in enumerate(x.reshape(bands, rows).tolist())}
+
+    met = 0
+    for n in (30, 200, 430, 495, 520, 580, 1500) * 6:
+        common = rng.integers(0, 2**63, n).astype(np.uint64)
+        rest = round(n * (1 / 0.86 - 1))
+        more = rng.integers(0, 2**63, rest).astype(np.uint64)
+        met += bool(keys(np.r_[common, more[: rest // 2]]) & keys(np.r_[common, more[rest // 2 :]]))
+    assert met == 42
+    huge = [keys(rng.integers(0, 2**63, 300_000).astype(np.uint64)) for _ in range(3)]
+    assert not (huge[0] & huge[1] or huge[1] & huge[2] or huge[0] & huge[2])
+
+
 def test_spanning_links_reach_every_component():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 400, 60).astype(np.uint64)
