@@ -71,6 +71,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_{i}_" for i in range(n + len(taken))) if c not in taken][:n]
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, component)`` for edges ``(a, b)``: component is the smallest node reachable.
 

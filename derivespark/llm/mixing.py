@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small, text_of
+from .common import fresh_names, saved, small, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-#: Hash values are 32 bits; the histogram of a source has this many cells.
 HASH_RANGE = 2**32
-CELLS = 4096
 
 
 def _hash(seed: str):
@@ -20,80 +18,88 @@ def _hash(seed: str):
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
+def in_order(per_source: DataFrame) -> DataFrame:
+    """``per_source`` with ``place``, from 0, in code-point order of ``source``, null last. Sources are dealt by range and
+    counted within their range, so that any number of them can be ranked; only a count for each range meets in one task."""
+    order = F.col("source").asc_nulls_last()
+    dealt = per_source.repartitionByRange(order).sortWithinPartitions(order)
+    dealt = saved(dealt.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "mix-sources")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", "first", before.alias("before"))
+    return dealt.join(small(starts), "part").withColumn("place", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "first", "before")
+
+
 def source_targets(sized: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, size)``.
 
     Sources in code-point order, null last, take ``weights`` in turn and share ``share`` times all sizes; a target
-    stops at ``most`` times its source's size and the excess goes to the others by weight. In the order of
-    size / weight those that stop are a prefix, so running sums give the fixed point without iterating. The
-    windows run over one aggregated row per source.
+    stops at ``most`` times its source's size and the excess goes to the others by weight, until none is above. Each
+    round sums one aggregated row per source; the words per unit of weight rise from round to round.
     """
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = per_source.withColumn(
-        "weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(in_order) - 1) % len(weights) + 1).cast("int")).cast("long")
-    )
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.lit(share) * F.sum("source_size").over(everything) - F.lit(most) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    capped = weighed.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") > F.lit(most) * F.col("source_size"))
-    last = F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everything)["level"]
-    return capped.select(
-        "source",
-        "source_size",
-        F.when(F.col("stops"), F.lit(most) * F.col("source_size")).otherwise(last * F.col("weight")).alias("target"),
-    )
-
-
-def mix_plan(sized: DataFrame, *, seed: str = "mix", weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``(source, source_size, target, whole, cut)`` from ``(doc_id, source, size)``: every document of the source is
-    taken ``whole`` times, and once more if its hash is below ``cut``.
-
-    The repetition rate is target / source_size; ``whole`` is its floor. A Bernoulli draw whose probability is the
-    fraction takes ``hash < fraction * 2^32``. Documents differ in length, so the cut is set where the words below it
-    come to the fraction, read from a histogram of the hashes with at most ``CELLS`` rows a source.
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    weighed = saved(in_order(per_source).withColumn("weight", weight).drop("place"), "mix-weights")
+    level, stops = None, F.lit(False)
+    while True:
+        held = F.when(stops, F.col("source_size")).otherwise(0)
+        total, capped, free = weighed.agg(F.sum("source_size"), F.sum(held), F.sum(F.when(stops, 0).otherwise(F.col("weight")))).first()
+        found = (share * total - most * capped) / free if free else None
+        if found is None or found == level:
+            break
+        level = found
+        stops = F.lit(level) * F.col("weight") > F.lit(most) * F.col("source_size")
+    rest = F.lit(0.0 if level is None else level) * F.col("weight")
+    return weighed.select("source", "source_size", F.when(stops, F.lit(most) * F.col("source_size")).otherwise(rest).alias("target"))
+
+
+def mix_plan(sized: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``(source, source_size, target, whole, cut)`` from ``(source, size)``: every document of the source is taken
+    ``whole`` times, and once more if its hash is below ``cut``.
+
+    The repetition rate is target / source_size; ``whole`` is its floor, and ``cut`` its fraction of all hash values, so
+    the hash decides a Bernoulli draw whose probability is the fraction.
     """
     targets = source_targets(sized, weights=weights, share=share, most=most)
-    cells = sized.groupBy("source", F.expr(f"hash div {HASH_RANGE // CELLS}").alias("cell")).agg(F.sum("size").alias("words"))
-    targets = targets.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
-    targets = targets.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    below = F.sum("words").over(Window.partitionBy("source").orderBy("cell")) - F.col("words")
-    cells = cells.withColumn("below", below).withColumnRenamed("source", "cell_source")
-    filled = targets.join(cells, F.col("source").eqNullSafe(F.col("cell_source")))
-    part = F.least(F.lit(1.0), (F.col("extra") - F.col("below")) / F.when(F.col("words") > 0, F.col("words")))
-    cut = F.max(F.when((F.col("extra") > F.col("below")) & (F.col("words") > 0), (F.col("cell") + part) * F.lit(HASH_RANGE // CELLS)))
-    return filled.groupBy("source", "source_size", "target", "whole").agg(F.coalesce(cut, F.lit(0.0)).alias("cut"))
-
-
-def _copies(sized: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
-    plan = plan.withColumnRenamed("source", "plan_source")
-    joined = sized.join(small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
-    return joined.select(*keep, "source_size", "target", (F.col("whole") + (F.col("hash") < F.col("cut")).cast("long")).alias("copies"))
+    rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
+    targets = targets.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+    return targets.withColumn("cut", (F.col("rate") - F.col("whole")) * F.lit(float(HASH_RANGE))).drop("rate")
 
 
-def sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), _hash(seed).alias("hash"))
+def _sizes(docs: DataFrame, seed: str) -> DataFrame:
+    words = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), _hash(seed).alias("hash"))
 
 
-def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``; ``taken`` is its words times its copies.
+def mix_report(docs: DataFrame, *, seed: str = "mix", **how) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken, source``; ``taken`` is its words times its copies.
 
     A null or empty text has no words; a null source is a source of its own; without any words all targets are 0.
-    Rows that repeat a doc_id share its hash and so its draw. Other columns are ignored.
+    Rows that repeat a doc_id share its hash and so its draw. Texts of any length are counted whole. Other columns
+    are ignored.
     """
-    sized = saved(sizes(docs, how.get("seed", "mix")), "mix-sizes")
-    plan = saved(mix_plan(sized, **how), "mix-plan")
-    return _copies(sized, plan, ["doc_id", "size"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = saved(_sizes(docs, seed), "mix-sizes")
+    plan = saved(mix_plan(sized, **how), "mix-plan").withColumnRenamed("source", "plan_source")
+    joined = sized.join(small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
+    copies = F.col("whole") + (F.col("hash") < F.col("cut")).cast("long")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source")
+
+
+def deviation(report: DataFrame) -> DataFrame:
+    """``(source, target, taken, expected)``: the words that the mix of a ``mix_report`` takes of each source, and the
+    standard deviation of the Bernoulli draws there."""
+    rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
+    part = rate - F.floor(rate)
+    spread = F.sqrt(F.sum(part * (1 - part) * F.col("size") * F.col("size")))
+    return report.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), spread.alias("expected"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, *, seed: str = "mix", **how) -> DataFrame:
     """The documents of the mix, each repeated as often as the mix takes it, with the columns of ``docs``."""
-    seed = how.get("seed", "mix")
-    plan = saved(mix_plan(saved(sizes(docs, seed), "mix-sizes"), **how), "mix-plan").select(
-        F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut")
-    )
-    times = (F.col("_mix_whole") + (_hash(seed) < F.col("_mix_cut")).cast("long")).cast("int")
-    joined = docs.join(small(plan), F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))).where(times > 0)
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    plan = saved(mix_plan(saved(_sizes(docs, seed), "mix-sizes"), **how), "mix-plan")
+    named = dict(zip(("source", "whole", "cut"), fresh_names(docs, 3), strict=True))
+    plan = plan.select(*[F.col(c).alias(n) for c, n in named.items()])
+    times = (F.col(named["whole"]) + (_hash(seed) < F.col(named["cut"])).cast("long")).cast("int")
+    joined = docs.join(small(plan), F.col("source").cast("string").eqNullSafe(F.col(named["source"]))).where(times > 0)
+    (copy,) = fresh_names(joined, 1)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
