@@ -82,31 +82,37 @@ class Model:
         return 1 / (1 + np.exp(-z.clip(-40, 40)))
 
 
+def nnpu_risk(weights: list[np.ndarray], x: np.ndarray, n: int, prior: float) -> tuple[float, list[np.ndarray]]:
+    """prior * E_P[l(z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)]) for the logistic loss l; the first ``n`` rows are
+    positives, the others unlabelled. With it the direction of descent: the gradient, but of minus the second part where
+    that is below zero, which stops the model from fitting the positives among the unlabelled."""
+    h = np.tanh(x @ weights[0] + weights[1])
+    z = h @ weights[2] + weights[3]
+    p = 1 / (1 + np.exp(-z.clip(-40, 40)))
+    loss_negative = np.logaddexp(0, z)
+    rest = loss_negative[n:].mean() - prior * loss_negative[:n].mean()
+    g = np.empty_like(z)
+    g[:n], g[n:] = -prior * p[:n] / n, p[n:] / (len(x) - n)  # of the second part
+    if rest < 0:
+        g = -g
+    else:
+        g[:n] += prior * (p[:n] - 1) / n
+    back = np.outer(g, weights[2]) * (1 - h**2)
+    risk = prior * np.logaddexp(0, -z[:n]).mean() + max(0.0, rest)
+    return float(risk), [x.T @ back, back.sum(axis=0), h.T @ g, g.sum()]
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, units: int = 12, steps: int = 500, rate: float = 0.02, decay: float = 1e-4, of: tuple | None = None) -> Model:
-    """Minimises prior * E_P[l(z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)]) for the logistic loss l. Where the second
-    part falls below zero the step goes up on it instead, which stops it from fitting the positives among the
-    unlabelled. ``of`` has the features' means and deviations, else those of the unlabelled rows are taken."""
+    """Minimises ``nnpu_risk`` by Adam. ``of`` has the features' means and deviations, else those of the unlabelled rows
+    are taken."""
     rng = np.random.default_rng(7)
     mean, scale = of or (unlabelled.mean(axis=0), unlabelled.std(axis=0))
     scale = scale + 1e-6
     x = ((np.concatenate([positive, unlabelled]) - mean) / scale).clip(-8, 8)
-    n = len(positive)
     weights = [rng.normal(0, 0.3, (x.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.array(np.log(prior / (1 - prior)))]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, steps + 1):
-        h = np.tanh(x @ weights[0] + weights[1])
-        z = h @ weights[2] + weights[3]
-        p = 1 / (1 + np.exp(-z.clip(-40, 40)))
-        loss_negative = np.logaddexp(0, z)
-        rest = loss_negative[n:].mean() - prior * loss_negative[:n].mean()
-        g = np.empty_like(z)
-        g[:n], g[n:] = -prior * p[:n] / n, p[n:] / len(unlabelled)  # of the second part
-        if rest < 0:
-            g = -g
-        else:
-            g[:n] += prior * (p[:n] - 1) / n
-        back = np.outer(g, weights[2]) * (1 - h**2)
-        for i, d in enumerate((x.T @ back, back.sum(axis=0), h.T @ g, g.sum())):
+        for i, d in enumerate(nnpu_risk(weights, x, len(positive), prior)[1]):
             d = d + decay * weights[i] * (i in (0, 2))
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.999 * second[i] + 0.001 * d**2
@@ -114,13 +120,26 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, unit
     return Model(mean, scale, *weights)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, of: tuple | None = None) -> float:
-    """Where no label tells: the least ratio, over high-scoring sets, of the unlabelled share to the positive share."""
-    scores = fit_nnpu(positive, unlabelled, 0.5, of=of)
-    p, u = np.sort(scores.score(positive)), np.sort(scores.score(unlabelled))
-    at = p[: max(1, int(len(p) * 0.9))]
-    ratio = (1 - np.searchsorted(u, at) / len(u)) / (1 - np.searchsorted(p, at) / len(p))
-    return float(np.clip(ratio.min(), 0.05, 0.98))
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, of: tuple | None = None, least: float = 0.7) -> float:
+    """The share of positives in the unlabelled text, from positives and unlabelled text alone.
+
+    Above any score the unlabelled share is at least the prior times the positive share; where only positives score
+    as high the two are equal. Scores are fitted on one half and compared on the other, both ways round; of the thresholds
+    that ``least`` of the positives pass, the one with the least ratio of the shares counts, less one standard error of the
+    ratio there, as the least of many noisy ratios that all lie above the prior.
+    """
+    found = []
+    for a in (0, 1):
+        model = fit_nnpu(positive[a::2], unlabelled[a::2], 0.5, of=of)
+        parts = [x[1 - a :: 2] if len(x) > 1 else x for x in (positive, unlabelled)]
+        p, u = (np.sort(model.score(x)) for x in parts)
+        at = p[: max(1, int(len(p) * (1 - least)))]
+        above, among = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+        ratio = among / above
+        best = int(np.argmin(ratio))
+        error = np.sqrt(among[best] * (1 - among[best]) / len(u) / above[best] ** 2 + ratio[best] ** 2 * (1 - above[best]) / above[best] / len(p))
+        found.append(ratio[best] - error)
+    return float(np.clip(np.mean(found), 0.05, 0.98))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -132,13 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
 
     Positives are drawn by a hash of doc_id among the documents labelled 1 (a doc_id with differing labels is not
     trusted), however many others there are; the unlabelled text is drawn by another hash among all. Means and scales
-    of the features are those of all documents. The class prior is the share of 1 among all labels outside the held-out
-    third; if these are all alike it is estimated from the scores. The lower end of its interval (at most 0.015 below) is
-    used: too high a prior leaves part of the junk unexplained, and the risk of the negatives stops there. With no
-    positive labels every text scores one half; labels with positives of which no document was drawn are an error.
+    of the features are those of all documents. The class prior is ``prior``, else ``class_prior`` of the two samples: no
+    label but 1 is ever used. With no positive labels every text scores one half; labels with positives of which no
+    document was drawn are an error.
     """
     learn = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share, n_labels, n_positive = learn.agg(F.avg("quality"), F.count("quality"), F.count_if(F.col("quality") == 1)).first()
+    n_positive = learn.agg(F.count_if(F.col("quality") == 1)).first()[0]
     ours = text_batches(docs).where(~held_out()).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     n_ours = ours.select("doc_id").count()
     if not n_positive or not n_ours:
@@ -161,28 +179,27 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
         raise ValueError(f"{n_positive} positive labels, but {len(positive)} positive and {len(unlabelled)} unlabelled documents drawn")
     of = moments(docs)
     if prior is None:
-        prior = float(share) if 0 < share < 1 else class_prior(positive, unlabelled, of)
-        spread = 3 * np.sqrt(prior * (1 - prior) / max(n_labels, 1))
-        prior = float(np.clip(prior - min(spread, 0.015), 0.02, 0.98))
+        prior = class_prior(positive, unlabelled, of)
     return fit_nnpu(positive, unlabelled, prior, of=of)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``_score`` and ``_predicted`` of the whole text; null counts as empty."""
+def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the score of the whole text and whether it is one half or more, under two
+    ``names`` that are not among ``keep``; null counts as empty, and a text of any length is scored as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             s = model.score(np.array([features(t) for t in texts]))
             kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c]
     source = text_batches(docs).select(*dict.fromkeys([*keep, "text"]))
-    return source.mapInArrow(run, ", ".join([*fields, "_score double", "_predicted int"]))
+    return source.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` double", f"`{names[1]}` int"]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``. Labels, lang, source and doc_id never reach the score;
     rows with equal texts score alike; a null doc_id hashes as an empty one."""
     scored = score(docs, train(docs, labels, **how), ["doc_id"])
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
