@@ -2,58 +2,67 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved, text_of
+from .common import ascii_lower, new_path, saved, small, text_of
 
 #: Bits of one bitmap of ``bitmap_construct_agg``.
 BUCKET_BITS = 32768
 
 
-def exact_dedup(docs: DataFrame, *, bits_per_row: int = 16, max_bits: int = 2**27) -> DataFrame:
+def repeated_slots(digests: DataFrame, bits: int) -> DataFrame:
+    """First pass: ``(bucket, bits)``, bitmaps of the slots that ``digests`` (``sha``) sets more than once.
+
+    Bitmaps merged by OR forget whether a bit was set twice, so slots are counted: a task counts its own first, then one
+    narrow number moves for each slot it saw, of a hot digest too. Only slots that repeat become bits.
+    """
+    slots = digests.select(F.pmod(F.xxhash64("sha"), F.lit(bits)).alias("slot"))
+    twice = slots.groupBy("slot").count().where("count > 1")
+    return twice.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits"))
+
+
+def flagged(digests: DataFrame, bits: int, repeated: DataFrame) -> DataFrame:
+    """Second pass: ``digests`` (``doc_id, sha``) with ``maybe``: is its slot in the broadcast filter? No row moves."""
+    slotted = digests.withColumn("slot", F.pmod(F.xxhash64("sha"), F.lit(bits)))
+    at = F.expr(f"slot % {BUCKET_BITS}")
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(slot % {BUCKET_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    joined = slotted.join(F.broadcast(repeated), F.expr(f"slot div {BUCKET_BITS}") == F.col("bucket"), "left")
+    return joined.select("doc_id", "sha", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("maybe"))
+
+
+def exact_dedup(docs: DataFrame, *, bits_per_row: int = 32, filter_bits: int = 2**30) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the row with the
     largest ``doc_id`` stays. Rows that repeat that doc_id are the same document and all stay marked ``kept``; a null
-    doc_id is smaller than any other. Other columns are ignored.
+    doc_id is smaller than any other. A text of any length is digested in its row. Other columns are ignored.
 
-    First pass: each digest sets two slots; slots that were set twice become the filter. Only narrow integers move, and
-    a hot digest is counted before the shuffle. Second pass: rows whose two slots are both in the filter may be
-    repeated, and only those shuffle on the digest; the rest are unique for certain and pass straight through.
+    First pass: each digest sets a slot of a Bloom filter with ``bits_per_row`` bits a row; slots set twice are kept.
+    Second pass: rows whose slot is in the filter may be repeated, and only those shuffle on the digest; about one in
+    ``bits_per_row`` of the others goes with them, the rest are unique for certain and pass straight through.
 
-    The filter has ``bits_per_row`` bits a row up to ``max_bits`` (16 MB, the bound of what is broadcast); beyond it
-    more rows count as possibly repeated, and the result stays exact.
+    A filter has ``filter_bits`` bits at most (128 MB, the bound of what is broadcast). More digests are split by a range
+    of their hashes into as many filters as keep the bits a row, and each reads the table of digests once.
     """
     rows = saved(docs.select("doc_id", F.unhex(F.sha2(ascii_lower(text_of()), 256)).alias("sha")), "exact-digests")
-    n_bits = BUCKET_BITS
-    while n_bits < min(rows.count() * bits_per_row, max_bits):
-        n_bits *= 2
-    slots = [F.pmod(F.xxhash64("sha", F.lit(seed)), F.lit(n_bits)) for seed in (0, 1)]
-
-    repeated = rows.select(F.explode(F.array(*slots)).alias("slot")).groupBy("slot").count().where("count > 1")
-    seen_twice = saved(
-        repeated.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits")
-        ),
-        "exact-filter",
-    )
+    wanted = rows.count() * bits_per_row
+    ranges = max(1, math.ceil(wanted / filter_bits))
+    bits = max(1, math.ceil(wanted / ranges / BUCKET_BITS)) * BUCKET_BITS
+    path = new_path(rows.sparkSession, "exact-maybe")
+    for k in range(ranges):
+        part = rows.where(F.pmod(F.hash("sha"), F.lit(ranges)) == k) if ranges > 1 else rows
+        flagged(part, bits, saved(repeated_slots(part, bits), "exact-filter")).write.mode("append").parquet(path)
+    marked = rows.sparkSession.read.schema("doc_id {}, sha binary, maybe boolean".format(dict(docs.dtypes)["doc_id"])).parquet(path)
 
-    def hit(slot: str, bits: str):
-        at = F.expr(f"{slot} % {BUCKET_BITS}")
-        byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({slot} % {BUCKET_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-
-    filtered = rows.withColumns({"slot_0": slots[0], "slot_1": slots[1]})
-    for k in (0, 1):
-        side = seen_twice.select(F.col("bucket").alias(f"bucket_{k}"), F.col("bits").alias(f"bits_{k}"))
-        filtered = filtered.join(F.broadcast(side), F.expr(f"slot_{k} div {BUCKET_BITS} = bucket_{k}"), "left")
-    filtered = filtered.select("doc_id", "sha", (hit("slot_0", "bits_0") & hit("slot_1", "bits_1")).alias("maybe"))
-
-    maybe = filtered.where("maybe")
-    groups = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    resolved = maybe.join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
-    unique = filtered.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    maybe = marked.where("maybe")
+    groups = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    resolved = maybe.join(small(saved(groups, "exact-groups")), "sha", "left")
+    known = F.col("group_size").isNotNull()
+    resolved = resolved.select("doc_id", F.when(known, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "sha")
+    unique = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return unique.unionByName(resolved).select(
         "doc_id",
         "keep_id",
