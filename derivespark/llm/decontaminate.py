@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import ALNUM, chunks
+from .bytesets import ALNUM, chunks, lists
 from .common import ascii_lower, saved, text_batches, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,19 +19,29 @@ BLOCK_BYTES = 2_000_000
 MAX_TERMS = 1_000_000
 MAX_WINDOWS = 200_000
 
-INDEX = "doc_ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, positions array<int>"
-STATE = [tuple(c.split(" ")) for c in INDEX.split(", ")] + [
-    (f"{kind}_{what}", f"array<{t}>") for kind in ("phrases", "nears") for what, t in (("at", "int"), ("size", "int"), ("item", "string"))
-]
-INDEX_COLUMNS = [c.split(" ")[0] for c in INDEX.split(", ")]
-STATE_COLUMNS = [c for c, _ in STATE]
-STATE_KINDS = [pa.list_({"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t[6:-1]]) for _, t in STATE]
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, phrase_items array<string>, phrase_starts array<int>, near_items array<string>, near_starts array<int>"
+#: Numbers of documents: a task, its blocks, a block's documents.
+TASK, BLOCK = 2**40, 2**16
+
+INDEX = "block long, doc_ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, positions array<int>"
+HITS = "phrases_at array<int>, phrases_size array<int>, phrases_window array<long>, nears_at array<int>, nears_window array<long>"
+FOUND = "doc long, doc_id long, n_words long, n_hit long, phrase_starts array<int>, phrase_windows array<long>, near_starts array<int>, near_windows array<long>"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+
+
+def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(name, KINDS[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))]
+
+
+def _batch(values: list, schema: str) -> pa.RecordBatch:
+    """One row of ``values``."""
+    fields = _fields(schema)
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, (_, k) in zip(values, fields, strict=True)], [n for n, _ in fields])
 
 
 def _index_block(wanted: dict[bytes, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text", BLOCK_BYTES):
+        task = TaskContext.get().partitionId() * TASK
+        for k, (batch, texts) in enumerate(chunks(batches, "text", BLOCK_BYTES)):
             ids = dict(wanted) if wanted is not None else {}
             codes, lengths = [], []
             for text in texts:
@@ -45,9 +56,7 @@ def _index_block(wanted: dict[bytes, int] | None):
             order = np.argsort(stream[at], kind="stable")
             present, counts = np.unique(stream[at], return_counts=True)
             names = list(ids)
-            row = [batch.column("doc_id").to_pylist(), lengths, [names[t] for t in present], counts.astype(np.int32), at[order].astype(np.int32)]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["doc_ids", "n_words", "terms", "counts", "positions"])
+            yield _batch([task + k * BLOCK, batch.column("doc_id").to_pylist(), lengths, [names[t] for t in present], counts, at[order].astype(np.int32)], INDEX)
 
     return run
 
@@ -65,144 +74,154 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 
 def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
-    """``(words, item_ids)``: the distinct windows of ``size`` consecutive words of the items, or all words of an item
-    that has fewer, with the items that hold them. A null item_id reads as an empty one."""
+    """``(window, words, item_id)``: the windows of ``size`` consecutive words of the items, or all words of an item that
+    has fewer, a row per item that holds one. A null item_id reads as an empty one."""
     words = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.regexp_extract_all(ascii_lower(text_of()), F.lit(WORD), F.lit(0)).alias("words"),
     ).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (size - 1), F.lit(1)))
-    each = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("words"))
-    return each.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    each = saved(words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("words")).distinct(), "item-windows")
+    numbered = saved(each.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    return each.join(numbered, "words").select("window", "words", "item_id")
 
 
-def _search(windows: list[tuple[list[bytes], list[str]]], frequency: dict[bytes, int], near: int):
+def _search(windows: list[tuple[int, list[bytes]]], frequency: dict[bytes, int], near: int, least: float):
     ids = {w: i for i, w in enumerate(frequency)}
-    freq = np.array(list(frequency.values()) or [0], dtype=np.int64)
+    freq = np.array([*frequency.values(), np.iinfo(np.int64).max], dtype=np.int64)  # words that no document has come last
     by_size: dict[int, list[int]] = {}
-    for i, (words, _) in enumerate(windows):
-        if all(w in ids for w in words):
+    for i, (_, words) in enumerate(windows):
+        if any(w in ids for w in words):
             by_size.setdefault(len(words), []).append(i)
     groups = []
     for size, members in by_size.items():
-        codes = np.array([[ids[w] for w in windows[i][0]] for i in members], dtype=np.int32)
-        groups.append((size, np.array(members), codes, np.argsort(freq[codes], axis=1, kind="stable")))
+        codes = np.array([[ids.get(w, -1) for w in windows[i][1]] for i in members], dtype=np.int32)
+        groups.append((size, np.array([windows[i][0] for i in members]), codes, np.argsort(freq[codes], axis=1, kind="stable")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 block = {c: batch.column(c)[row] for c in batch.schema.names}
-                phrases, nears = _search_block(block, ids, groups, near)
-                out = {"phrases": phrases, "nears": nears}
-                for kind, hits in out.items():
-                    earlier = block[f"{kind}_at"].as_py(), block[f"{kind}_size"].as_py(), block[f"{kind}_item"].as_py()
-                    pairs = [(at, size, item) for w, at, size in hits for item in windows[w][1]]
-                    out[kind] = [old + [p[i] for p in pairs] for i, old in enumerate(earlier)]
-                columns = [block[c].as_py() for c in INDEX_COLUMNS] + out["phrases"] + out["nears"]
-                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, STATE_KINDS, strict=True)], STATE_COLUMNS)
+                new = _search_block(block, ids, groups, near, least)
+                yield _batch([block[c].as_py() for c, _ in _fields(INDEX)] + [np.r_[block[c].values.to_numpy(), x] for (c, _), x in zip(_fields(HITS), new, strict=True)], f"{INDEX}, {HITS}")
 
     return run
 
 
-def _search_block(block, ids, groups, near) -> tuple[list, list]:
-    """``(window, position, size)`` of the exact matches, and of the near ones, in one block."""
-    n_words = np.asarray(block["n_words"].values, dtype=np.int64)
-    positions = np.asarray(block["positions"].values, dtype=np.int64)
-    counts = np.asarray(block["counts"].values, dtype=np.int64)
+def _search_block(block, ids, groups, near, least) -> list[np.ndarray]:
+    """Position, size and window of the exact matches, position and window of the near ones, in one block."""
+    n_words = block["n_words"].values.to_numpy().astype(np.int64)
+    counts = block["counts"].values.to_numpy().astype(np.int64)
+    positions = block["positions"].values.to_numpy().astype(np.int64)
     terms = np.array([ids.get(t, -1) for t in block["terms"].as_py()], dtype=np.int64)
-    bounds = np.r_[0, np.cumsum(n_words)]
+    gap = max((size for size, *_ in groups), default=0) + near  # between documents, so that nothing matches across them
+    before = np.repeat(np.arange(1, len(n_words) + 1) * gap, n_words)  # empty places ahead of a word
+    positions = positions + before[positions]
     first = np.r_[0, np.cumsum(counts)]
     start_of, length_of = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids) + 1, np.int64)
     known = terms >= 0
     start_of[terms[known]], length_of[terms[known]] = first[:-1][known], counts[known]
-    stream = np.full(bounds[-1] + 1, -1, dtype=np.int32)  # position -> term: tests membership in a posting list
+    stream = np.full(n_words.sum() + (len(n_words) + 2) * gap + 1, -2, dtype=np.int32)  # place -> term: tests membership in a posting list
     stream[positions] = np.repeat(terms, counts).astype(np.int32)
-    phrases, nears = [], []
-
-    def located(found, at, end):
-        doc = np.searchsorted(bounds, at, side="right") - 1
-        inside = end <= bounds[doc + 1]
-        return np.stack([found[inside], at[inside], (end - at)[inside]], axis=1).tolist()
-
+    stream[stream == -1] = -2
+    back = np.full(len(stream), 0, dtype=np.int64)
+    back[np.arange(len(before)) + before] = np.arange(len(before))
+    out = [[] for _ in range(5)]
     for size, members, codes, rarest in groups:
         pick, anchor = np.arange(len(members)), rarest[:, 0]
         lists = length_of[codes[pick, anchor]]
-        which = np.repeat(pick, lists)
+        anchors = np.repeat(pick, lists)
         index = np.repeat(start_of[codes[pick, anchor]] - np.r_[0, np.cumsum(lists)[:-1]], lists) + np.arange(lists.sum())
-        if near and size > 1:
-            second = codes[which, rarest[which, 1]]
-            for step in [s for s in range(-near, near + 1) if s]:
-                where = positions[index] + step
-                ok = (where >= 0) & (where < bounds[-1])
-                ok[ok] = stream[where[ok]] == second[ok]
-                low, high = np.minimum(positions[index], where)[ok], np.maximum(positions[index], where)[ok]
-                nears += located(members[which[ok]], low, high + 1)
-        at = positions[index] - anchor[which]
-        keep = (at >= 0) & (at + size <= bounds[-1])
-        which, at = which[keep], at[keep]
+        starts = positions[index] - anchor[anchors]  # of the window, if all its words stood in their places
+        which, at = anchors, starts
         for k in range(1, size):  # the other lists, rarest first, moved back by their place in the window
             offset = rarest[which, k]
             keep = stream[at + offset] == codes[which, offset]
             which, at = which[keep], at[keep]
-        phrases += located(members[which], at, at + size)
-    return phrases, nears
+        for column, x in zip(out, (back[at], np.full(len(at), size), members[which]), strict=False):
+            column.append(x)
+        if not near:
+            continue
+        if size > 1:
+            which, at, missing = anchors, starts, np.zeros(len(starts), np.int64)
+            spare = size - int(np.ceil(least * size))
+            for k in range(1, size):
+                offset = rarest[which, k]
+                code, place = codes[which, offset], at + offset
+                missing += ~np.logical_or.reduce([stream[place + j] == code for j in range(-near, near + 1)])
+                keep = missing <= (spare if k > 1 else 0)
+                which, at, missing = which[keep], at[keep], missing[keep]
+        out[3].append(back[at + rarest[which, 0]])
+        out[4].append(members[which])
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             block = {c: batch.column(c)[row] for c in batch.schema.names}
-            n_words = np.asarray(block["n_words"].values, dtype=np.int64)
+            take = lambda c: block[c].values.to_numpy().astype(np.int64)  # noqa: B023, E731
+            n_words, at = take("n_words"), take("phrases_at")
             bounds = np.r_[0, np.cumsum(n_words)]
-            at = np.asarray(block["phrases_at"].values, dtype=np.int64)
             edge = np.zeros(bounds[-1] + 1, dtype=np.int64)
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + np.asarray(block["phrases_size"].values, dtype=np.int64), -1)
+            np.add.at(edge, at + take("phrases_size"), -1)
             marked = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
-            columns = [block["doc_ids"].values, pa.array(n_words), pa.array(marked[bounds[1:]] - marked[bounds[:-1]])]
+            columns = [pa.array(block["block"].as_py() + np.arange(len(n_words))), block["doc_ids"].values, pa.array(n_words), pa.array(marked[bounds[1:]] - marked[bounds[:-1]])]
             for kind in ("phrases", "nears"):
-                items, starts = [[] for _ in n_words], [[] for _ in n_words]
-                for p, item in sorted(zip(block[f"{kind}_at"].as_py(), block[f"{kind}_item"].as_py(), strict=True)):
-                    d = int(np.searchsorted(bounds, p, side="right")) - 1
-                    items[d].append(item)
-                    starts[d].append(p - int(bounds[d]))
-                if kind == "phrases":
-                    columns.append(pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())))
-                columns += [pa.array(items, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in FOUND.split(", ")])
-
-
-def search_index(index: DataFrame, windows: DataFrame, near: int = 0) -> DataFrame:
-    """A row per document: ``doc_id, n_words, n_hit``, the distinct ``items`` with an exact occurrence of a window,
-    and lists of items and word offsets of the exact matches (``phrase_``) and, if ``near`` is set, of places where a
-    window's two rarest words stand within ``near`` words of each other (``near_``).
+                place, window = take(f"{kind}_at"), take(f"{kind}_window")
+                order = np.lexsort((window, place))
+                place, window = place[order], window[order]
+                cut = np.searchsorted(place, bounds[:-1])
+                starts = place - np.repeat(bounds[:-1], np.diff(np.r_[cut, len(place)]))
+                split = lambda x: np.split(x, cut[1:])  # noqa: B023, E731
+                columns += [lists(split(starts), pa.int32()), lists(split(window), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [c for c, _ in _fields(FOUND)])
+
+
+def search_index(index: DataFrame, windows: DataFrame, near: int = 0, least: float = 0.8) -> DataFrame:
+    """A row per document: ``doc`` (its number), ``doc_id, n_words, n_hit``, offsets and numbers of the windows that
+    occur (``phrase_starts``, ``phrase_windows``), and of those that occur nearly (``near_``), from ``(window, words)``.
 
     A window starts from the posting list of its rarest term in the whole corpus and is checked against the next
-    rarest in turn. Tasks hold ``MAX_WINDOWS`` windows or so at a time; more are searched in rounds, one after another.
+    rarest in turn. With ``near``, a window also occurs nearly where its two rarest words that the corpus has, and
+    ``least`` of all its words, stand at most ``near`` words off their places to the rarest one; ``near_starts`` has that
+    one's place. Tasks hold ``MAX_WINDOWS`` windows or so at a time; more are searched in rounds, each written before
+    the next.
     """
-    numbered = saved(windows.select(F.transform("words", lambda w: w.cast("binary")).alias("words"), "item_ids"), "windows")
+    numbered = saved(windows.select("window", F.transform("words", lambda w: w.cast("binary")).alias("words")).distinct(), "windows")
     rounds = max(1, -(-numbered.count() // MAX_WINDOWS))
     counted = F.explode(F.arrays_zip("terms", "counts")).alias("t")
     sums = index.select(counted).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
-    state = index.select(*INDEX_COLUMNS, *[F.array().cast(k).alias(c) for c, k in STATE[len(INDEX_COLUMNS) :]])
+    state = index.select("*", *[F.array().cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in HITS.split(", ")])
     for k in range(rounds):
         part = numbered.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == k)
         terms = part.select(F.explode("words").alias("term")).distinct()
         frequency = {bytes(r["term"]): r["n"] for r in sums.join(terms, "term").collect()}  # terms of this round's windows
-        rows = [([bytes(w) for w in r["words"]], list(r["item_ids"])) for r in part.collect()]
-        state = state.mapInArrow(_search(rows, frequency, near), ", ".join(" ".join(x) for x in STATE))
+        rows = [(r["window"], [bytes(w) for w in r["words"]]) for r in part.collect()]  # MAX_WINDOWS or so
+        state = state.mapInArrow(_search(rows, frequency, near, least), f"{INDEX}, {HITS}")
         if k + 1 < rounds:  # the next round's tasks hold their own windows alone
             state = saved(state, "search-round")
     return state.mapInArrow(_report, FOUND)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10, near: int = 0) -> DataFrame:
-    """``search_index`` of the windows of ``items`` (``item_id, text``) over ``docs``, a row per row of ``docs``.
+def contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10, near: int = 0, least: float = 0.8) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id, n_words, n_hit``, the ``items`` (``item_id, text``) of which a window of ``size``
+    words occurs, ``phrase_starts``, and with ``near`` the ``near_items`` of which one occurs nearly, and ``near_starts``.
 
     Words are runs of characters other than ASCII ones that are neither letter nor digit, A-Z lower-cased. A null or
     wordless text has no words and no hits; an item without words has no window; rows that repeat a doc_id or have
-    none are searched like any other. Other columns are ignored.
+    none are searched like any other; a text of any length is one piece of a block. Other columns are ignored.
+
+    Only windows reach the tasks of the search; which items hold a window is joined to what was found.
     """
     windows = saved(windows_of(items, size), "item-windows")
     terms = windows.select(F.explode(F.transform("words", lambda w: w.cast("binary"))).alias("term"))
-    return search_index(build_index(docs, terms), windows, near)
+    found = saved(search_index(build_index(docs, terms), windows.select("window", "words"), near, least), "window-hits")
+    holders = windows.select("window", "item_id")
+    out = found.select("doc", "doc_id", "n_words", "n_hit", "phrase_starts", "near_starts")
+    for kind, name in (("phrase", "items"), ("near", "near_items")):
+        hits = found.select("doc", F.explode(F.array_distinct(f"{kind}_windows")).alias("window"))
+        named = hits.join(holders, "window").groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+        out = out.join(named, "doc", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.drop("doc")

@@ -9,7 +9,7 @@ from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT_LINES, KNOWN, SPELLINGS, license_scan
-from .mixing import CELLS, HASH_RANGE, mix_report
+from .mixing import HASH_RANGE, mix_report
 from .near_dedup import near_duplicates
 from .quality import quality_report
 from .secrets import RULES, scan_secrets
@@ -39,7 +39,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, near=NEAR, least=LEAST)
     return found.select(
         "doc_id",
         "n_words",
@@ -47,6 +47,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"),
     )
 
 
@@ -66,6 +68,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+#: Near matches of ``op6_decontaminate``: words off their place, and the share of a window's words that is there.
+NEAR, LEAST = 1, 0.8
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality, op6_decontaminate, op7_mixing, op8_suffix_dedup, op9_secrets, op10_near_dedup)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +113,7 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULE
 FROM texts LEFT JOIN listed USING (doc_id)"""
 
 
+SPAN = 10 + NEAR
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL = {
@@ -141,10 +147,27 @@ hits AS (SELECT doc_id, p, size, item_id FROM dw JOIN iw USING (size, words)),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM hits) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id),
+place AS (
+  SELECT doc_id, w[p] AS word, w[greatest(p - {SPAN}, 1):p + {SPAN}] AS around, least(p, {SPAN} + 1) AS here
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d)),
+freq AS (SELECT word, count(*) AS n FROM place GROUP BY word),
+win AS (SELECT DISTINCT words, string_split(words, ' ') AS l FROM iw),
+rare AS (
+  SELECT words, any_value(l) AS l, array_agg(o ORDER BY n NULLS LAST, o) AS rank
+  FROM (SELECT words, l, unnest(l) AS word, generate_subscripts(l, 1) AS o FROM win) LEFT JOIN freq USING (word) GROUP BY words),
+nears AS (
+  SELECT DISTINCT doc_id, words FROM place JOIN rare ON word = l[rank[1]]
+  WHERE len(l) > 1 AND list_contains(around[greatest(here + rank[2] - rank[1] - {NEAR}, 1):here + rank[2] - rank[1] + {NEAR}], l[rank[2]])
+    AND list_sum(list_transform(range(1, len(l) + 1), lambda o: list_contains(around[greatest(here + o - rank[1] - {NEAR}, 1):here + o - rank[1] + {NEAR}], l[o])::INTEGER)) >= ceil({LEAST} * len(l))
+  UNION SELECT doc_id, words FROM place JOIN win ON words = word WHERE len(l) = 1),
+near_items AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM nears JOIN iw USING (words)) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near_listed, '')) AS near_items_sha256
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)""",
     "op7_mixing": rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -160,15 +183,8 @@ targets AS (
   SELECT source, source_size, CASE WHEN level * weight > 2.0::DOUBLE * source_size THEN 2.0::DOUBLE * source_size
          ELSE weight * (SELECT arg_min(level, source_size::DOUBLE / weight) FROM levels WHERE NOT level * weight > 2.0::DOUBLE * source_size) END AS target
   FROM levels),
-rates AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM targets),
-cells AS (SELECT source, hash // {HASH_RANGE // CELLS} AS cell, sum(size)::BIGINT AS words FROM sized GROUP BY 1, 2),
-below AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY cell) - words AS under FROM cells),
-cuts AS (
-  SELECT r.source, r.source_size, r.target, r.whole,
-         coalesce(max((cell + least(1.0::DOUBLE, (target - whole * source_size - under) / words::DOUBLE)) * {HASH_RANGE // CELLS}::DOUBLE)
-                  FILTER (target - whole * source_size > under AND words > 0), 0) AS cut
-  FROM rates r JOIN below b ON r.source IS NOT DISTINCT FROM b.source GROUP BY ALL)
-SELECT doc_id, size, source_size, target, size * (whole + (hash < cut)::BIGINT) AS taken
-FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source""",
+rates AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate FROM targets)
+SELECT doc_id, size, s.source_size, target, size * (floor(rate)::BIGINT + (hash < (rate - floor(rate)) * {HASH_RANGE}::DOUBLE)::BIGINT) AS taken, source
+FROM (SELECT z.*, r.source_size, target, rate FROM sized z JOIN rates r ON z.source IS NOT DISTINCT FROM r.source) s""",
     "op9_secrets": _secrets_sql(),
 }

@@ -71,7 +71,7 @@ def test_exact_dedup(spark, rows, docs, odd, none):
     for i, t in rows:
         groups[brute.lower(t)].append(i)
     text = dict(rows)
-    for how in ({}, {"max_bits": 2**15}):
+    for how in ({}, {"bits_per_row": 4000, "filter_bits": 2**15}, {"bits_per_row": 1}):  # one filter, several, a full one
         got = exact_dedup.exact_dedup(docs, **how).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -81,6 +81,9 @@ def test_exact_dedup(spark, rows, docs, odd, none):
     found = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(odd).collect())
     assert found == {(None, 6, 4, False): 1, (None, None, 1, True): 1, (5, 6, 4, False): 2, (5, 5, 1, True): 1, (6, 6, 4, True): 1}
     assert exact_dedup.exact_dedup(none).count() == 0
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    sides = plan.split("Relation")  # the branch of certain rows: a scan under a filter and projections, no join or exchange
+    assert "Join" not in sides[0] and "Aggregate" not in plan and "NOT maybe" in sides[0]
 
 
 def test_exact_dedup_lower_cases_ascii_only(spark):
@@ -295,8 +298,13 @@ def test_mixing(spark, rows, docs, odd, none):
     level = {p[0].target / weights[s] for s, p in per.items() if p[0].target < 2 * p[0].source_size}
     assert max(level) == pytest.approx(min(level))
     for s, p in per.items():
-        assert abs(sum(r.taken for r in p) - p[0].target) <= max(r["size"] for r in p)
+        rate = p[0].target / max(p[0].source_size, 1)
+        for r in p:  # the draw by plain Python
+            hashed = int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:8], 16)
+            assert r.taken == r["size"] * (int(rate) + (hashed < (rate - int(rate)) * 2**32))
         assert p[0].target <= 2 * sum(r["size"] for r in p) and all(t * weights[s] >= p[0].target - 1e-6 for t in level)
+    for r in mixing.deviation(mixing.mix_report(docs)).collect():
+        assert abs(r.taken - r.target) <= 4 * r.expected + 1e-6
     mixed = collections.Counter(r.doc_id for r in mixing.mix(docs).collect())
     assert all(mixed[r.doc_id] * r["size"] == r.taken for r in got)
     assert mixing.mix(docs).columns == docs.columns
@@ -330,6 +338,45 @@ def test_quality(spark, none):
     assert {r.score for r in quality.quality_report(docs, labels.limit(0)).collect()} == {0.5}
     model = quality.fit_nnpu(np.ones((5, 3)), np.r_[np.ones((5, 3)), np.zeros((5, 3))], 0.5)
     assert model.score(np.ones((1, 3)))[0] > 0.5 > model.score(np.zeros((1, 3)))[0]
+    clash = docs.withColumnsRenamed({"score": "_score", "sha": "_predicted", "lang": "_0_", "slot": "_1_"})
+    assert quality.score(clash, model=quality.Model(0, 1, np.zeros((len(quality.features(b"")), 1)), np.zeros(1), np.zeros(1), 0.0), keep=clash.columns, names=("good", "is_good")).count() == 603
+    negatives = labels.withColumn("quality", F.when(F.col("quality") == 1, 1))  # a label but 1 is never used
+    assert sorted((str(r.doc_id), r.score) for r in quality.quality_report(docs, negatives).collect()) == sorted((str(r.doc_id), r.score) for r in got)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_nnpu_risk_and_gradient(prior):
+    """Against the risk written out for each row, and numeric differences of it."""
+    rng = np.random.default_rng(4)
+    x, n = rng.normal(size=(30, 5)), 12
+    weights = [rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3) * 2, np.array(0.4)]
+
+    def parts(w):
+        z = [float(np.tanh(r @ w[0] + w[1]) @ w[2] + w[3]) for r in x]
+        loss = lambda v: np.log(1 + np.exp(-v))
+        positive = prior * sum(loss(v) for v in z[:n]) / n
+        return positive, sum(loss(-v) for v in z[n:]) / (len(z) - n) - prior * sum(loss(-v) for v in z[:n]) / n
+
+    positive, rest = parts(weights)
+    risk, gradients = quality.nnpu_risk(weights, x, n, prior)
+    assert risk == pytest.approx(positive + max(0, rest))
+    goal = (lambda w: -parts(w)[1]) if rest < 0 else (lambda w: sum(parts(w)))
+    for i, g in enumerate(gradients):
+        for at in np.ndindex(np.shape(g)):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = [w.copy() for w in weights]
+                moved[i][at] += step
+                ends.append(goal(moved))
+            assert g[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+def test_class_prior_of_known_mixtures():
+    rng = np.random.default_rng(8)
+    for share in (0.4, 0.8):
+        good, bad = rng.normal(2, 1, (6000, 3)), rng.normal(-2, 1, (6000, 3))
+        unlabelled = np.r_[good[3000 : 3000 + int(3000 * share)], bad[: int(3000 * (1 - share))]]
+        assert abs(quality.class_prior(good[:3000], rng.permutation(unlabelled)) - share) < 0.05
 
 
 def test_warc(spark, tmp_path):
