@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from derivespark.llm.common import new_path, saved, small, table
+from derivespark.llm.common import fresh_names, new_path, saved, small, table
 from derivespark.llm.decontaminate import contaminated
 from derivespark.llm.mixing import mix
 from derivespark.llm.near_dedup import near_duplicates
@@ -23,7 +24,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores one half or more."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, docs.columns).where("_predicted = 1").select(*docs.columns)
+    names = fresh_names(docs, 2)
+    return score(docs, model, docs.columns, tuple(names)).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
