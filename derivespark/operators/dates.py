@@ -27,32 +27,38 @@ def impute_dtc(df: DataFrame, target: str, dtc: str, output: str = "dt", highest
     if highest_imputation not in "YMD" or date_imputation not in ("first", "last") or time_imputation not in (None, "first", "last"):
         raise ValueError("unknown imputation")
     need(df, dtc)
+    last, late, names = date_imputation == "last", time_imputation == "last", _helpers(df, 9)
+    text, year, month, day, hour, minute, second, date, stamp = map(F.col, names)
+    # Each step is a projection of its own and its columns are used more than once, so nothing is computed twice.
     source = F.trim(F.col(dtc).cast("string"))
-    part = lambda i: F.nullif(F.nullif(F.regexp_extract(source, ISO, i), F.lit("")), F.lit("-"))
-    year, month, day, hour, minute, second = (part(i) for i in range(1, 7))
+    out = df.withColumn(names[0], F.split(F.regexp_replace(source, ISO, "\n$1\n$2\n$3\n$4\n$5\n$6"), "\n"))
+    matched = F.when(F.size(text) == 7, text)  # the pattern admits no line break
+    out = out.withColumns({n: F.nullif(F.nullif(F.get(matched, F.lit(i)), F.lit("")), F.lit("-")) for i, n in enumerate(names[1:7], 1)})
     day = F.when(month.isNotNull(), day)  # without a month the day says nothing
     hour = F.when(day.isNotNull(), hour)
     minute = F.when(hour.isNotNull(), minute)
     second = F.when(minute.isNotNull(), second)
-    last = date_imputation == "last"
-    allowed = F.when(month.isNull(), F.lit(highest_imputation in "MY")).otherwise(F.lit(True))
-    filled_month = F.coalesce(month, F.lit("12" if last else "01"))
-    begin = F.concat_ws("-", year, filled_month, F.lit("01"))
-    filled_day = F.coalesce(day, F.date_format(F.last_day(F.try_to_date(begin)), "dd") if last else F.lit("01"))
-    date = F.when(allowed & year.isNotNull(), F.try_to_date(F.concat_ws("-", year, filled_month, filled_day), "yyyy-MM-dd"))
+    allowed = year.isNotNull() if highest_imputation in "MY" else year.isNotNull() & month.isNotNull()
+    whole = F.try_to_date(F.concat_ws("-", year, F.coalesce(month, F.lit("12" if last else "01")), F.coalesce(day, F.lit("01"))), "yyyy-MM-dd")
+    out = out.withColumn(names[7], F.when(allowed, F.when(day.isNull(), F.last_day(whole)).otherwise(whole) if last else whole))
     date_flag = F.when(month.isNull(), F.lit("M")).when(day.isNull(), F.lit("D"))
     columns: dict[str, Column] = {}
     if output == "dt":
         columns[target] = date
         columns[stem + "DTF"] = F.when(date.isNotNull(), date_flag)
     else:
-        late = time_imputation == "last"
         clock = F.concat_ws(":", F.coalesce(hour, F.lit("23" if late else "00")), F.coalesce(minute, F.lit("59" if late else "00")), F.coalesce(second, F.lit("59" if late else "00")))
-        stamp = F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss"))
+        out = out.withColumn(names[8], F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")))
         columns[target] = stamp
         columns[stem + "DTF"] = F.when(stamp.isNotNull(), date_flag)
         columns[stem + "TMF"] = F.when(stamp.isNotNull(), F.when(hour.isNull(), F.lit("H")).when(minute.isNull(), F.lit("M")).when(second.isNull(), F.lit("S")))
-    return df.withColumns(columns)
+    return out.withColumns(columns).drop(*names)
+
+
+def _helpers(df: DataFrame, n: int) -> list[str]:
+    """Names of helper columns that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_part{i}" for i in range(n + len(taken))) if c not in taken][:n]
 
 
 def dtm_to_dt(df: DataFrame, source: str) -> DataFrame:

@@ -231,3 +231,11 @@ def test_dataset_json_without_rows(spark, tmp_path):
         read_dataset_json(spark, written(tmp_path, document([], [])))
     with pytest.raises(PySparkException):
         read_dataset_json(spark, written(tmp_path, document(columns, [[1, 2]]))).collect()
+
+
+def test_imputation_parses_once(spark):
+    df = spark.createDataFrame([("2024-02",), ("2024-02-30",), ("2024---15T10",), ("x",), (None,), ("2024-02-03T04:05:06.7",)], "ADTC string")
+    out = dates.impute_dtc(df, "ADTM", "ADTC", output="dtm", highest_imputation="M", date_imputation="last", time_imputation="last")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 1
+    got = [tuple(str(v) if v is not None else None for v in r[1:]) for r in out.collect()]
+    assert got == [("2024-02-29 23:59:59", "D", "H"), (None, None, None), ("2024-12-31 23:59:59", "M", "H"), (None, None, None), (None, None, None), ("2024-02-03 04:05:06", None, None)]
