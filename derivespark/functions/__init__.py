@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,12 @@ def need(df: DataFrame, *names: str) -> None:
 def fail_if(bad: Column, message: str, value: Column) -> Column:
     """``value``, or an error when the row is computed; no action is needed to find it."""
     return F.when(bad, F.raise_error(F.lit(message))).otherwise(value)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, the folder that driver and executors share; where it is unset, as in tests,
+    in a temporary one, but never on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-')}/{label}-{uuid.uuid4().hex}"

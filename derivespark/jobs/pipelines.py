@@ -13,18 +13,73 @@ SUBJECT = ["STUDYID", "USUBJID"]
 AGE_BREAKS, AGE_LABELS = [0, 18, 65, 200], ["<18", "18-64", ">=65"]
 
 
-def build_adsl(dm: DataFrame, ex: DataFrame, vs: DataFrame, codelists: Mapping[str, DataFrame]) -> DataFrame:
-    """A row per subject: first and last dose, baseline BMI, age group, coded race."""
+#: The visits whose completion is flagged, and the doses of the titrated arm between visits.
+COMPLETION = {"COMP8FL": 8, "COMP16FL": 10, "COMP24FL": 12}
+TITRATED_ARM, TITRATION = 2, ["54", "81", "54"]
+MINI_MENTAL, ADAS_COG, CIBIC = "MINI-MENTAL STATE", "ADAS-COG", "CIBIC+"
+
+
+def build_adsl(dm: DataFrame, ex: DataFrame, vs: DataFrame, codelists: Mapping[str, DataFrame], *, qs: DataFrame | None = None, sv: DataFrame | None = None, ds: DataFrame | None = None, mh: DataFrame | None = None) -> DataFrame:
+    """A row per subject: planned treatment, first and last dose, age at first dose (from BRTHDT, if collected), age group,
+    coded race, baseline BMI; with questionnaires, visits, disposition and history also the population and completion
+    flags, the mental-state sum, and the doses taken.
+
+    The last dose date is that of the last record; where it is missing and the subject discontinued after visit 3, the
+    date of discontinuation.
+    """
     dosed = dates.impute_dtc(ex, "EXSTDTM", "EXSTDTC", output="dtm", time_imputation="first")
     dosed = dates.impute_dtc(dosed, "EXENDTM", "EXENDTC", output="dtm", date_imputation="last", time_imputation="last")
     out = joins.merge_vars(dm, dosed, {"TRTSDTM": "EXSTDTM", "TRTSDTF": "EXSTDTF", "TRTSTMF": "EXSTTMF"}, SUBJECT, "first", ["EXSTDTM"], "EXDOSE > 0 AND EXSTDTM IS NOT NULL")
     out = joins.merge_vars(out, dosed, {"TRTEDTM": "EXENDTM"}, SUBJECT, "last", ["EXENDTM"], "EXDOSE > 0 AND EXENDTM IS NOT NULL")
     out = out.transform(dates.dtm_to_dt, "TRTSDTM").transform(dates.dtm_to_dt, "TRTEDTM")
+    if ds is not None:
+        left = dates.impute_dtc(ds, "DISCDT", "DSSTDTC")
+        out = joins.merge_var(out, left, "DISCDT", "DISCDT", SUBJECT, "first", ["DISCDT"], "DSDECOD <> 'COMPLETED' AND VISITNUM > 3 AND DISCDT IS NOT NULL")
+        out = project.compute_var(out, "TRTEDT", "coalesce(TRTEDT, DISCDT)")
     out = dates.duration(out, "TRTDURD", "TRTSDT", "TRTEDT", "days", add_one=True)
+    if "ARM" in dm.columns:
+        out = project.assign(out, "TRT01P", from_="ARM")
     bmi = records.compute_param(project.to_bds(vs, "VSTESTCD", "VSSTRESN"), "BMI", None, ["WEIGHT", "HEIGHT"], "try_divide(WEIGHT, pow(HEIGHT / 100, 2))", [*SUBJECT, "VISITNUM"])
     out = joins.merge_var(out, bmi, "BMIBL", "AVAL", SUBJECT, "first", ["VISITNUM"], "PARAMCD = 'BMI'")
+    if "BRTHDT" in dm.columns:
+        out = dates.duration(out, "AGE", "BRTHDT", "TRTSDT", "years")
     out = project.categorize(out, "AGEGR1", "AGE", AGE_BREAKS, AGE_LABELS, right=False)
-    return project.codelist_var(out, "RACEN", "RACE", codelists["RACE"])
+    out = project.codelist_var(out, "RACEN", "RACE", codelists["RACE"])
+    if qs is not None:
+        out = _populations(out, qs)
+    if sv is not None:
+        out = _exposure(out, sv, mh)
+    return out
+
+
+def _populations(out: DataFrame, qs: DataFrame) -> DataFrame:
+    """Flags of the intended, safety and efficacy populations, and the sum of the mental-state answers."""
+    out = project.assign_conditional(out, "ITTFL", "ARMCD <> ''", "Y", "N")
+    out = project.assign_conditional(out, "SAFFL", "ITTFL = 'Y' AND TRTSDT IS NOT NULL", "Y", "N")
+    for name, category in (("_adas", ADAS_COG), ("_cibic", CIBIC)):
+        out = joins.exists_flag(out, qs, name, SUBJECT, f"QSCAT = '{category}' AND VISITNUM > 3")
+    out = project.assign_conditional(out, "EFFFL", "SAFFL = 'Y' AND _adas = 'Y' AND _cibic = 'Y'", "Y", "N").drop("_adas", "_cibic")
+    return records.merge_summary(out, qs, "MMSETOT", SUBJECT, F.sum(F.col("QSORRES").try_cast("double")), f"QSCAT = '{MINI_MENTAL}'")
+
+
+def _exposure(out: DataFrame, sv: DataFrame, mh: DataFrame | None) -> DataFrame:
+    """Visit dates, completion flags, cumulative and average dose, months since onset."""
+    seen = dates.impute_dtc(sv, "SVSTDT", "SVSTDTC")
+    visit = lambda d, name, n: joins.merge_var(d, seen, name, "SVSTDT", SUBJECT, "first", ["SVSTDT"], f"VISITNUM = {n} AND SVSTDT IS NOT NULL")
+    for name, n in (("VISIT1DT", 1), ("VISIT4DT", 4), ("VISIT12DT", 12)):
+        out = visit(out, name, n)
+    out = dates.impute_dtc(out, "RFENDT", "RFENDTC", date_imputation="last")
+    for flag, n in COMPLETION.items():
+        out = joins.exists_flag(out, seen, flag, SUBJECT, f"VISITNUM = {n}", at_or_before=("SVSTDT", "RFENDT"))
+    out = dates.date_shift(dates.date_shift(out, "_after4", "VISIT4DT", 1), "_after12", "VISIT12DT", 1)
+    out = records.interval_dose(out, "_titrated", ["TRTSDT", "_after4", "_after12"], TITRATION, "TRTEDT")
+    out = project.compute_var(out, "CUMDOSE", F.when(F.col("ARMN") == TITRATED_ARM, F.col("_titrated")).otherwise(F.col("TRT01PN") * F.col("TRTDURD")))
+    out = project.compute_var(out, "AVGDD", "try_divide(CUMDOSE, TRTDURD)").drop("_after4", "_after12", "_titrated")
+    if mh is not None:
+        began = dates.impute_dtc(mh, "DISONSDT", "MHSTDTC", highest_imputation="M")
+        out = joins.merge_var(out, began, "DISONSDT", "DISONSDT", SUBJECT, "first", ["DISONSDT"], "MHCAT = 'PRIMARY DIAGNOSIS'")
+        out = dates.duration(out, "DURDIS", "DISONSDT", "VISIT1DT", "months")
+    return out
 
 
 def build_findings(rows: DataFrame, subjects: DataFrame, lookup: DataFrame, *, prefix: str) -> DataFrame:
@@ -41,12 +96,30 @@ def build_findings(rows: DataFrame, subjects: DataFrame, lookup: DataFrame, *, p
     return dates.study_day(out, "ADY", "ADT", "TRTSDTM")
 
 
-def build_advs(vs: DataFrame, subjects: DataFrame, lookup: DataFrame) -> DataFrame:
-    return build_findings(vs, subjects, lookup, prefix="VS")
+#: Collected visit names that the analysis names otherwise; limits of the normal range by parameter.
+VISITS = {"SCREENING 1": "SCREENING"}
+RANGES = {"SYSBP": (90, 140)}
+
+
+def build_advs(vs: DataFrame, subjects: DataFrame, lookup: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES) -> DataFrame:
+    """Findings with unit, visit and, for the parameters in ``ranges``, LOW below the range, HIGH above it, else NORMAL."""
+    out = build_findings(vs, subjects, lookup, prefix="VS")
+    if "VSSTRESU" in vs.columns:
+        out = project.assign(out, "AVALU", from_="VSSTRESU")
+    if "VISIT" in vs.columns:
+        renamed = F.create_map(*[F.lit(x) for pair in VISITS.items() for x in pair])
+        out = project.compute_var(out, "AVISIT", F.coalesce(renamed[F.col("VISIT")], F.col("VISIT")))
+    indicator = F.lit(None).cast("string")
+    for code, (low, high) in ranges.items():
+        mine = (F.col("PARAMCD") == code) & F.col("AVAL").isNotNull()
+        indicator = F.when(mine & (F.col("AVAL") < low), "LOW").when(mine & (F.col("AVAL") > high), "HIGH").when(mine, "NORMAL").otherwise(indicator)
+    return project.compute_var(out, "ANRIND", indicator)
 
 
-def build_adlbc(lb: DataFrame, subjects: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Findings with ratios to the normal range, the extreme-value flag and the last record or end-of-treatment flag."""
+def build_adlbc(lb: DataFrame, subjects: DataFrame, lookup: DataFrame, limits: tuple[float, float] = (0.5, 1.5)) -> DataFrame:
+    """Findings with ratios to the normal range, range indicators of value and baseline (L below the first multiple of the
+    lower limit, H above the second of the upper one, else N), the extreme-value flag, the visit, and the last record or
+    end-of-treatment flag."""
     out = build_findings(lb, subjects, lookup, prefix="LB")
     out = out.withColumns({"A1LO": F.col("LBSTNRLO").cast("double"), "A1HI": F.col("LBSTNRHI").cast("double")})
     out = project.compute_var(out, "R2A1LO", "try_divide(AVAL, A1LO)")
@@ -54,31 +127,49 @@ def build_adlbc(lb: DataFrame, subjects: DataFrame, lookup: DataFrame) -> DataFr
     keys = [*SUBJECT, "PARAMCD"]
     out = joins.derive_base(out, keys, "BR2A1LO", "R2A1LO")
     out = joins.derive_base(out, keys, "BR2A1HI", "R2A1HI")
-    out = project.compute_var(out, "ALBTRVAL", "greatest(AVAL - 1.5 * A1HI, 0.5 * A1LO - AVAL)")
+    low, high = limits
+    out = project.compute_var(out, "ALBTRVAL", f"greatest(AVAL - {high} * A1HI, {low} * A1LO - AVAL)")
+    for target, value in (("ANRIND", "AVAL"), ("BNRIND", "BASE")):
+        out = project.compute_var(out, target, f"CASE WHEN {value} < {low} * A1LO THEN 'L' WHEN {value} > {high} * A1HI THEN 'H' WHEN {value} IS NOT NULL THEN 'N' END")
+    if "VISIT" in lb.columns:
+        out = project.assign(out, "AVISIT", from_="VISIT")
+    out = project.assign(out, "AVISITN", from_="VISITNUM")
     out = windows.max_value_flag(out, "ANL01FL", keys, "ALBTRVAL")
     return windows.last_or_visit_flag(out, "AENTMTFL", keys, ["VISITNUM", "LBSEQ"], "VISITNUM", 12)
 
 
 def build_adtte(subjects: DataFrame, ae: DataFrame) -> DataFrame:
-    """Days from first treatment to the earliest event; NULL, and censored, without one."""
+    """Days from first treatment to the earliest event that is treatment-emergent, that is not before it; NULL, and
+    censored, without one."""
     events = dates.impute_dtc(ae, "ASTDTM", "AESTDTC", output="dtm", time_imputation="first")
-    out = joins.merge_var(subjects, events, "EVENTDTM", "ASTDTM", SUBJECT, "first", ["ASTDTM"], "ASTDTM IS NOT NULL")
+    events = joins.merge_var(events, subjects, "TRTSDTM", "TRTSDTM", SUBJECT)
+    out = joins.merge_var(subjects, events, "EVENTDTM", "ASTDTM", SUBJECT, "first", ["ASTDTM"], "ASTDTM >= TRTSDTM")
     out = dates.duration(out, "AVAL", "TRTSDTM", "EVENTDTM", "days")
     return out.withColumns({"PARAMCD": F.lit("TTE"), "CNSR": F.when(F.col("EVENTDTM").isNull(), 1).otherwise(0)})
 
 
-def build_adae(ae: DataFrame, adsl: DataFrame, carried: Sequence[str] = ("TRTSDT", "TRTEDT")) -> DataFrame:
-    """Events with subject columns in one merge, dates, treatment-emergent flag and the first-occurrence flags. The events
-    are dealt by subject once, which serves all windows."""
+#: Terms and body system of skin events.
+SKIN_EVENT = "DERMATOLOGIC EVENTS"
+SKIN_WORDS = ["APPLICATION", "DERMATITIS", "ERYTHEMA", "BLISTER"]
+SKIN_SYSTEM, SKIN_BUT = "SKIN AND SUBCUTANEOUS TISSUE DISORDERS", ["COLD SWEAT", "HYPERHIDROSIS", "ALOPECIA"]
+
+
+def build_adae(ae: DataFrame, adsl: DataFrame, carried: Sequence[str] = ("TRTSDT", "TRTEDT"), words: Sequence[str] = SKIN_WORDS, system: str = SKIN_SYSTEM) -> DataFrame:
+    """Events with subject columns in one merge, dates, days they last, treatment-emergent flag, skin events (terms with
+    one of ``words``, or of the body ``system``) and the first-occurrence flags. The events are dealt by subject once, which
+    serves all windows."""
     out = joins.merge_vars(ae, adsl, {c: c for c in carried}, SUBJECT)
     out = dates.impute_dtc(out, "ASTDT", "AESTDTC").transform(lambda d: dates.impute_dtc(d, "AENDT", "AEENDTC", date_imputation="last"))
     out = dates.study_day(out, "ASTDY", "ASTDT", "TRTSDT").transform(lambda d: dates.study_day(d, "AENDY", "AENDT", "TRTSDT"))
+    out = project.compute_var(out, "ADURN", "datediff(AENDT, ASTDT) + 1")
+    out = project.keyword_flag(out, "CQ01NAM", SKIN_EVENT, contains={"AEDECOD": words}, equals={"AEBODSYS": [system]}, exclude={"AEDECOD": SKIN_BUT})
     out = project.assign_conditional(out, "TRTEMFL", "ASTDT >= TRTSDT", "Y").repartition("USUBJID")
     order, treated = ["ASTDT", "AESEQ"], "TRTEMFL = 'Y'"
     flags = {
         "AOCCFL": (SUBJECT, treated),
         "AOCCSFL": ([*SUBJECT, "AEBODSYS"], treated),
         "AOCCPFL": ([*SUBJECT, "AEBODSYS", "AEDECOD"], treated),
+        "AOCC01FL": (SUBJECT, f"{treated} AND CQ01NAM IS NOT NULL"),
         "AOCC02FL": (SUBJECT, f"{treated} AND AESER = 'Y'"),
         "AOCC03FL": ([*SUBJECT, "AEBODSYS"], f"{treated} AND AESER = 'Y'"),
         "AOCC04FL": ([*SUBJECT, "AEBODSYS", "AEDECOD"], f"{treated} AND AESER = 'Y'"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scratch
 from ..operators import agree, analysis, checks, compare, dates, finalize, joins, project, records, windows
+from ..sources import dataset_json
 from . import pipelines
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -65,14 +67,14 @@ def findings_change(spark, sf_dir):
 
 @query(
     CHANGE_SQL
-    + """SELECT 'T1' AS output, 'AN01' AS analysis_id, PARAMCD, NULL::VARCHAR AS level, op AS operation, ord AS op_order, round(v, 4) AS value FROM (
-SELECT PARAMCD, unnest(['n', 'mean', 'sd', 'median', 'q1', 'q3', 'min', 'max']) AS op, unnest([1, 4, 5, 6, 7, 8, 9, 10]) AS ord,
+    + """SELECT 'T1' AS output, 'AN01' AS analysis_id, PARAMCD, NULL::VARCHAR AS level, op AS operation, ord AS op_order, round(v, 4) AS value, printf('%.' || places || 'f', round(v, places)) AS display FROM (
+SELECT PARAMCD, unnest(['n', 'mean', 'sd', 'median', 'q1', 'q3', 'min', 'max']) AS op, unnest([1, 4, 5, 6, 7, 8, 9, 10]) AS ord, unnest([0, 1, 2, 1, 1, 1, 1, 1]) AS places,
 unnest([count(x)::DOUBLE, avg(x), stddev_samp(x), median(x), quantile_cont(x, 0.25), quantile_cont(x, 0.75), min(x), max(x)]) AS v
 FROM (SELECT PARAMCD, AVAL - BASE AS x FROM c) GROUP BY PARAMCD)"""
 )
 def n_change_statistics(spark, sf_dir):
     spec = {"output": "T1", "analysis_id": "AN01", "variable": "CHG", "operations": ["sd", "n", "mean", "median", "q1", "q3", "min", "max"], "grouping": ["PARAMCD"]}
-    return analysis.analysis_table(changed(spark, sf_dir), [spec]).drop("display").withColumn("value", F.round("value", 4))
+    return analysis.analysis_table(changed(spark, sf_dir), [spec]).withColumn("value", F.round("value", 4))
 
 
 @query("SELECT o_orderkey, o_custkey AS SUBJECT, 'STUDY1' AS STUDYID FROM orders")
@@ -320,13 +322,13 @@ def w5_last_or_visit_flag(spark, sf_dir):
 
 @query("""WITH b AS (SELECT c_mktsegment AS g, n_regionkey AS v, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
 d AS (SELECT g, count(*) AS n FROM b GROUP BY g), c AS (SELECT g, v, count(*) AS k FROM b WHERE c_acctbal > 0 GROUP BY g, v)
-SELECT 'T2' AS output, 'AN02' AS analysis_id, g AS c_mktsegment, v::VARCHAR AS level, unnest(['count', 'pct']) AS operation, unnest([2, 3]) AS op_order, unnest([k::DOUBLE, round(100.0::DOUBLE * k / n, 4)]) AS value
+SELECT 'T2' AS output, 'AN02' AS analysis_id, g AS c_mktsegment, v::VARCHAR AS level, unnest(['count', 'pct']) AS operation, unnest([2, 3]) AS op_order, unnest([k::DOUBLE, round(100.0::DOUBLE * k / n, 4)]) AS value, unnest([printf('%d', k), printf('%.1f', round(100.0::DOUBLE * k / n, 1))]) AS display
 FROM c JOIN d USING (g)""")
 def n_level_counts(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumn("n_nationkey", F.col("c_nationkey"))
     c = joins.lookup_join(c, read(spark, sf_dir, "nation"), "REGION", "n_regionkey", ["n_nationkey"])
     spec = {"output": "T2", "analysis_id": "AN02", "variable": "REGION", "operations": ["pct", "count"], "grouping": ["c_mktsegment"], "data_subset": "c_acctbal > 0"}
-    return analysis.analysis_table(c, [spec]).drop("display").withColumn("value", F.round("value", 4))
+    return analysis.analysis_table(c, [spec]).withColumn("value", F.round("value", 4))
 
 
 @query("""WITH k AS (SELECT coalesce(sum(n - 1), 0)::BIGINT AS dup FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber))
@@ -354,13 +356,85 @@ def c2_key_duplicates(spark, sf_dir):
     return checks.key_duplicates(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query()
+S6_TEXTS = {
+    "customer": "concat_ws('|', c_custkey, coalesce(c_name, 'NULL'), coalesce(c_nationkey::VARCHAR, 'NULL'), coalesce(c_acctbal::DECIMAL(18,2)::VARCHAR, 'NULL'), coalesce(c_mktsegment, 'NULL'))",
+    "orders": "concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, 'NULL'), coalesce(o_totalprice::DECIMAL(18,2)::VARCHAR, 'NULL'), o_orderdate::DATE, coalesce(o_orderpriority, 'NULL'))",
+}
+S6_COLUMNS = {"customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment", "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority"}
+S6_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS source, count(*) AS n_rows, {len(S6_COLUMNS[t].split(','))} AS n_columns, '{S6_COLUMNS[t]}' AS columns, sum(h)::DECIMAL(38,0) AS digest_sum, bit_xor(h) AS digest_xor FROM (SELECT ('0x' || substr(md5({text}), 1, 15))::BIGINT AS h FROM {t})"
+    for t, text in S6_TEXTS.items()
+)
+
+
+def snapshots(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    o = read(spark, sf_dir, "orders").withColumns({"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.to_date("o_orderdate")})
+    return checks.table_snapshot(c, "customer", "md5").unionByName(checks.table_snapshot(o, "orders", "md5"))
+
+
+@query(S6_SQL)
 def s6_table_snapshot(spark, sf_dir):
-    out = None
-    for name in ("customer", "orders", "lineitem", "events"):
-        one = checks.table_snapshot(read(spark, sf_dir, name), name)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return snapshots(spark, sf_dir)
+
+
+@query(f"SELECT count(*) AS n_sources, sum(n_rows)::BIGINT AS n_rows FROM ({S6_SQL})")
+def s6_snapshot_rollup(spark, sf_dir):
+    return checks.snapshot_rollup(snapshots(spark, sf_dir)).drop("digest")
+
+
+LABEL_SPEC = [("o_orderkey", "Order"), ("o_orderstatus", "Status"), ("o_orderdate", "Date of Order")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS variable, '{label}' AS label, count({c}) AS n_values FROM orders" for c, label in LABEL_SPEC))
+def s3_labels(spark, sf_dir):
+    """Labels travel with the columns; what is labelled is counted."""
+    o = finalize.set_labels(read(spark, sf_dir, "orders"), dict(LABEL_SPEC)).where("o_orderkey IS NOT NULL").select(*[c for c, _ in LABEL_SPEC])
+    told = finalize.labels_of(o)
+    counted = o.agg(*[F.count(c).alias(c) for c in told])
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(label).alias("label"), F.col(c).alias("n_values")) for c, label in told.items()])
+    return counted.select(F.explode(rows).alias("r")).select("r.*")
+
+
+ORDER_COLUMNS = [
+    {"name": "o_orderkey", "dataType": "integer"},
+    {"name": "o_orderstatus", "dataType": "string", "label": "Status"},
+    {"name": "o_totalprice", "dataType": "double"},
+    {"name": "o_orderdate", "dataType": "date", "targetDataType": "Date"},
+    {"name": "seen", "dataType": "datetime", "targetDataType": "Datetime"},
+    {"name": "open", "dataType": "boolean"},
+]
+
+
+def orders_document(spark, sf_dir) -> str:
+    path = scratch(spark, "dataset")
+    o = read(spark, sf_dir, "orders").withColumns({"o_orderdate": F.to_date("o_orderdate"), "seen": F.expr("timestampadd(SECOND, o_orderkey % 86400, o_orderdate)"), "open": F.col("o_orderstatus") == "O"})
+    dataset_json.write_dataset_ndjson(o, path, "ORDERS", ORDER_COLUMNS)
+    return path
+
+
+@query("SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate__raw, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS seen, o_orderstatus = 'O' AS open FROM orders")
+def s1_read_dataset_ndjson(spark, sf_dir):
+    """A table written as a dataset and read back, typed by its metadata."""
+    out = dataset_json.read_dataset_ndjson(spark, orders_document(spark, sf_dir))
+    return out.withColumn("seen", F.col("seen").cast("timestamp_ntz")).drop("seen__raw")
+
+
+@query("SELECT 'ORDERS' AS name, '1.1.0' AS version, count(*) AS records, 'o_orderkey:integer,o_orderstatus:string,o_totalprice:double,o_orderdate:date,seen:datetime,open:boolean' AS columns FROM orders")
+def s2_dataset_meta(spark, sf_dir):
+    header, columns = dataset_json.dataset_ndjson_meta(spark, orders_document(spark, sf_dir))
+    listed = columns.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "dataType"))), lambda c: F.concat_ws(":", c["name"], c["dataType"])), ",").alias("columns"))
+    return header.join(listed, "path").select("name", F.col("datasetJSONVersion").alias("version"), "records", "columns")
+
+
+@query("""SELECT event_type AS PARAMCD, unnest(['n', 'mean', 'sd', 'min', 'max']) AS operation, unnest(['any', 'numeric', 'numeric', 'numeric', 'numeric']) AS scale, unnest(['XX', 'XX.X', 'XX.XX', 'XX.X', 'XX.X']) AS pattern,
+round(unnest([count(value)::DOUBLE, avg(value), stddev_samp(value), min(value), max(value)]), 4) AS value FROM events GROUP BY 1""")
+def n11_method_spec(spark, sf_dir):
+    """Statistics beside the methods that they are specified by."""
+    names = ["max", "n", "sd", "mean", "min"]
+    methods = spark.createDataFrame([(m["operation"], m["scale"], m["pattern"]) for m in analysis.method_spec(names)], "operation string, scale string, pattern string")
+    got = analysis.analysis(events(spark, sf_dir), "T3", "AN03", "AVAL", names, ["PARAMCD"])
+    return got.join(F.broadcast(methods), "operation").select("PARAMCD", "operation", "scale", "pattern", F.round("value", 4).alias("value"))  # a row per operation
 
 
 def perturbed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -378,14 +452,15 @@ P_SQL = """o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_or
 p AS (SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.3 ELSE 0.0 END::DOUBLE AS o_totalprice, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus FROM o WHERE o_orderkey % 10 <> 0),
 j AS (SELECT count(*) AS n, round(100 * avg((abs(o.o_totalprice - p.o_totalprice) <= 1e-6)::INT::DOUBLE), 1) AS price,
 round(100 * avg((abs(round(o.o_totalprice, 0) - p.o_totalprice) <= 1e-6)::INT::DOUBLE), 1) AS price_rounded,
-round(100 * avg(coalesce(o.o_orderstatus = p.o_orderstatus, false)::INT::DOUBLE), 1) AS status FROM o JOIN p USING (o_orderkey))"""
+round(100 * avg(coalesce(o.o_orderstatus = p.o_orderstatus, false)::INT::DOUBLE), 1) AS status,
+round(100 * avg(((o.o_orderstatus IS NULL) = (p.o_orderstatus IS NULL))::INT::DOUBLE), 1) AS na_status FROM o JOIN p USING (o_orderkey))"""
 ACC_SQL = f"""WITH {P_SQL}, acc AS (
 SELECT 'o_custkey' AS variable, 'id' AS status, round(100 * avg((o_custkey IN (SELECT o_custkey FROM p))::INT::DOUBLE), 1) AS value_agree, NULL::DOUBLE AS value_agree_rounded, count(*) AS n_joined, NULL::DOUBLE AS na_agree FROM o
 UNION ALL SELECT 'o_orderkey', 'join_key', NULL, NULL, NULL, NULL
 UNION ALL SELECT 'o_clerk', 'not_produced', NULL, NULL, NULL, NULL
-UNION ALL SELECT 'o_totalprice', 'compared', price, price_rounded, n, 0.0 FROM j
-UNION ALL SELECT 'o_orderstatus', 'compared', status, NULL, n, 0.0 FROM j
-UNION ALL SELECT 'ODT', 'compared', 100.0, NULL, n, 0.0 FROM j) """
+UNION ALL SELECT 'o_totalprice', 'compared', price, price_rounded, n, 100.0 FROM j
+UNION ALL SELECT 'o_orderstatus', 'compared', status, NULL, n, na_status FROM j
+UNION ALL SELECT 'ODT', 'compared', 100.0, NULL, n, 100.0 FROM j) """
 
 
 def accuracy_table(spark, sf_dir) -> DataFrame:
@@ -494,9 +569,20 @@ def domains(spark, sf_dir) -> dict[str, DataFrame]:
         out = e.select(*findings)
         return out.withColumnsRenamed({n: n.format(prefix) for n in out.columns})
 
+    day = "yyyy-MM-dd"
+    arm = F.col("c_custkey") % 3
+    visit = (F.col("o_orderkey") % 13).cast("int").alias("VISITNUM")
     return {
-        "dm": c.select(study, subject("c_custkey"), F.col("c_mktsegment").alias("RACE"), (F.col("c_custkey") % 90).cast("double").alias("AGE")),
-        "ex": o.select(study, subject("o_custkey"), (F.col("o_totalprice") - 50000).alias("EXDOSE"), F.expr("date_format(o_orderdate, 'yyyy-MM-dd')").alias("EXSTDTC"), F.expr("date_format(o_orderdate, 'yyyy-MM')").alias("EXENDTC")),
+        "dm": c.select(
+            study, subject("c_custkey"), F.col("c_mktsegment").alias("RACE"), F.col("c_mktsegment").alias("ARM"), F.when(F.col("c_custkey") % 10 == 0, "").otherwise("A").alias("ARMCD"), arm.alias("ARMN"),
+            (arm * 27).cast("double").alias("TRT01PN"), F.date_sub(F.lit("1990-06-15").cast("date"), (F.col("c_custkey") % 90 * 365).cast("int")).alias("BRTHDT"),
+            F.date_format(F.date_add(F.lit("1997-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")), "yyyy-MM").alias("RFENDTC"),
+        ),
+        "ex": o.select(study, subject("o_custkey"), (F.col("o_totalprice") - 50000).alias("EXDOSE"), F.date_format("o_orderdate", day).alias("EXSTDTC"), F.when(F.col("o_custkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM")).alias("EXENDTC")),
+        "sv": o.select(study, subject("o_custkey"), visit, F.date_format("o_orderdate", day).alias("SVSTDTC")),
+        "ds": o.select(study, subject("o_custkey"), visit, F.when(F.col("o_orderstatus") == "P", "ADVERSE EVENT").otherwise("COMPLETED").alias("DSDECOD"), F.date_format("o_orderdate", day).alias("DSSTDTC")),
+        "qs": e.select(study, subject("user_id"), (F.col("event_id") % 12).cast("int").alias("VISITNUM"), F.expr("CASE event_type WHEN 'click' THEN 'ADAS-COG' WHEN 'view' THEN 'CIBIC+' WHEN 'signup' THEN 'MINI-MENTAL STATE' END").alias("QSCAT"), F.floor("value").cast("string").alias("QSORRES")),
+        "mh": c.select(study, subject("c_custkey"), F.lit("PRIMARY DIAGNOSIS").alias("MHCAT"), F.date_format(F.date_add(F.lit("1985-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")), "yyyy-MM").alias("MHSTDTC")),
         "vs": c.select(study, subject("c_custkey"), F.explode(F.array(F.struct(F.lit("WEIGHT").alias("VSTESTCD"), (F.col("c_custkey") % 50 + 50).cast("double").alias("VSSTRESN")), F.struct(F.lit("HEIGHT").alias("VSTESTCD"), (F.col("c_custkey") % 40 + 150).cast("double").alias("VSSTRESN")))).alias("m"), F.lit(1).alias("VISITNUM")).select("STUDYID", "USUBJID", "VISITNUM", "m.*"),
         "findings": named,
         "subjects": c.select(study, subject("c_custkey"), F.date_add(F.lit("2024-01-08").cast("date"), (F.col("c_custkey") % 14).cast("int")).cast("timestamp").alias("TRTSDTM")),
@@ -504,14 +590,27 @@ def domains(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-@query(f"""WITH x AS (SELECT o_custkey, min(o_orderdate::DATE) AS s, last_day(max(o_orderdate::DATE)) AS e FROM orders WHERE o_totalprice > 50000 GROUP BY 1), l AS ({SEGMENTS_SQL})
-SELECT c_custkey::VARCHAR AS USUBJID, s AS TRTSDT, e AS TRTEDT, (e - s + 1)::DOUBLE AS TRTDURD, round((c_custkey % 50 + 50) / power((c_custkey % 40 + 150) / 100.0, 2), 4) AS BMIBL,
-CASE WHEN c_custkey % 90 < 18 THEN '<18' WHEN c_custkey % 90 < 65 THEN '18-64' ELSE '>=65' END AS AGEGR1, code AS RACEN
-FROM customer LEFT JOIN x ON c_custkey = o_custkey LEFT JOIN l ON c_mktsegment = decode""")
+@query(f"""WITH x AS (SELECT o_custkey, min(o_orderdate::DATE) AS s, last_day(max(CASE WHEN o_custkey % 4 <> 0 THEN o_orderdate::DATE END)) AS e FROM orders WHERE o_totalprice > 50000 GROUP BY 1), l AS ({SEGMENTS_SQL}),
+v AS (SELECT o_custkey, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 1) AS v1, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 4) AS v4, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 12) AS v12,
+ min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 8) AS v8, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 10) AS v10, min(o_orderdate::DATE) FILTER (o_orderstatus = 'P' AND o_orderkey % 13 > 3) AS disc FROM orders GROUP BY 1),
+q AS (SELECT user_id, bool_or(event_type = 'click' AND event_id % 12 > 3) AS adas, bool_or(event_type = 'view' AND event_id % 12 > 3) AS cibic, sum(floor(value)) FILTER (event_type = 'signup') AS mm FROM events GROUP BY 1),
+a AS (SELECT c_custkey AS k, c_mktsegment, s, coalesce(e, disc) AS e, v1, v4, v8, v10, v12, adas, cibic, mm, code, last_day(DATE '1997-01-01' + (c_custkey % 900)::INTEGER) AS rfend,
+ DATE '1990-06-15' - (c_custkey % 90 * 365)::INTEGER AS birth, date_trunc('month', DATE '1985-01-01' + (c_custkey % 3000)::INTEGER)::DATE AS onset
+ FROM customer LEFT JOIN x ON c_custkey = x.o_custkey LEFT JOIN v ON c_custkey = v.o_custkey LEFT JOIN q ON c_custkey = user_id LEFT JOIN l ON c_mktsegment = decode),
+b AS (SELECT *, (e - s + CASE WHEN e >= s THEN 1 ELSE 0 END)::DOUBLE AS dur, CASE WHEN s >= birth THEN year(s) - year(birth) - CASE WHEN strftime(s, '%m%d') < strftime(birth, '%m%d') THEN 1 ELSE 0 END
+ ELSE -(year(birth) - year(s) - CASE WHEN strftime(birth, '%m%d') < strftime(s, '%m%d') THEN 1 ELSE 0 END) END::DOUBLE AS age, (k % 10 <> 0 AND s IS NOT NULL) AS safe,
+ 54.0::DOUBLE * greatest(coalesce(least(e, coalesce(v4, e)) - s + 1, 0), 0) + 81.0::DOUBLE * greatest(coalesce(least(e, coalesce(v12, e)) - (v4 + 1) + 1, 0), 0) + 54.0::DOUBLE * greatest(coalesce(e - (v12 + 1) + 1, 0), 0) AS titrated FROM a),
+c AS (SELECT *, CASE WHEN k % 3 = 2 THEN CASE WHEN e IS NOT NULL THEN titrated END ELSE (k % 3) * 27 * dur END::DOUBLE AS cum FROM b)
+SELECT k::VARCHAR AS USUBJID, c_mktsegment AS TRT01P, s AS TRTSDT, e AS TRTEDT, dur AS TRTDURD, round((k % 50 + 50) / power((k % 40 + 150) / 100.0, 2), 4) AS BMIBL, age AS AGE,
+CASE WHEN age < 0 THEN NULL WHEN age < 18 THEN '<18' WHEN age < 65 THEN '18-64' WHEN age <= 200 THEN '>=65' END AS AGEGR1, code AS RACEN, CASE WHEN safe THEN 'Y' ELSE 'N' END AS SAFFL,
+CASE WHEN safe AND coalesce(adas, false) AND coalesce(cibic, false) THEN 'Y' ELSE 'N' END AS EFFFL, mm AS MMSETOT, v1 AS VISIT1DT,
+CASE WHEN coalesce(v8 <= rfend, false) THEN 'Y' ELSE 'N' END AS COMP8FL, CASE WHEN coalesce(v10 <= rfend, false) THEN 'Y' ELSE 'N' END AS COMP16FL, CASE WHEN coalesce(v12 <= rfend, false) THEN 'Y' ELSE 'N' END AS COMP24FL,
+cum AS CUMDOSE, round(cum / nullif(dur, 0), 4) + 0.0 AS AVGDD, round((v1 - onset) / 30.4375::DOUBLE, 4) AS DURDIS FROM c""")
 def l1_build_adsl(spark, sf_dir):
     d = domains(spark, sf_dir)
-    out = pipelines.build_adsl(d["dm"], d["ex"], d["vs"], {"RACE": project.codelist_from_data(d["dm"], "RACE")})
-    return out.select("USUBJID", "TRTSDT", "TRTEDT", "TRTDURD", F.round("BMIBL", 4).alias("BMIBL"), "AGEGR1", "RACEN")
+    out = pipelines.build_adsl(d["dm"], d["ex"], d["vs"], {"RACE": project.codelist_from_data(d["dm"], "RACE")}, **{k: d[k] for k in ("qs", "sv", "ds", "mh")})
+    rounded = [F.round(c, 4).alias(c) for c in ("BMIBL", "AVGDD", "DURDIS")]
+    return out.select("USUBJID", "TRT01P", "TRTSDT", "TRTEDT", "TRTDURD", "AGE", "AGEGR1", "RACEN", "SAFFL", "EFFFL", "MMSETOT", "VISIT1DT", "COMP8FL", "COMP16FL", "COMP24FL", "CUMDOSE", *rounded)
 
 
 FINDINGS_SQL = """e AS (SELECT event_id AS SEQ, user_id::VARCHAR AS USUBJID, event_type AS PARAMCD, value AS AVAL, date_trunc('second', ts) AS ADTM, (DATE '2024-01-08' + (c_custkey % 14)::INTEGER)::TIMESTAMP AS TRTSDTM, ts FROM events LEFT JOIN customer ON user_id = c_custkey),
@@ -524,19 +623,22 @@ def lookup(spark, sf_dir, prefix: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_type").alias(f"{prefix}TESTCD")).distinct().withColumn("PARAM", F.upper(f"{prefix}TESTCD"))
 
 
-@query(f"""WITH {FINDINGS_SQL} SELECT SEQ AS VSSEQ, upper(PARAMCD) AS PARAM, ABLFL, BASE, round(AVAL - BASE, 4) AS CHG,
+@query(f"""WITH {FINDINGS_SQL} SELECT SEQ AS VSSEQ, upper(PARAMCD) AS PARAM, ABLFL, BASE, round(AVAL - BASE, 4) AS CHG, 'mg' AS AVALU,
+CASE WHEN SEQ % 3 = 0 THEN 'SCREENING' ELSE 'WEEK ' || SEQ % 3 END AS AVISIT, CASE WHEN PARAMCD = 'purchase' THEN CASE WHEN AVAL < 20 THEN 'LOW' WHEN AVAL > 60 THEN 'HIGH' ELSE 'NORMAL' END END AS ANRIND,
 (CASE WHEN ADTM::DATE >= TRTSDTM::DATE THEN ADTM::DATE - TRTSDTM::DATE + 1 ELSE ADTM::DATE - TRTSDTM::DATE END)::INTEGER AS ADY FROM c""")
 def l2_build_advs(spark, sf_dir):
     d = domains(spark, sf_dir)
-    out = pipelines.build_advs(d["findings"]("VS"), d["subjects"], lookup(spark, sf_dir, "VS"))
-    return out.select("VSSEQ", "PARAM", "ABLFL", "BASE", F.round("CHG", 4).alias("CHG"), "ADY")
+    at = (F.col("VSSEQ") % 3).cast("string")
+    vs = d["findings"]("VS").withColumns({"VSSTRESU": F.lit("mg"), "VISIT": F.when(at == "0", "SCREENING 1").otherwise(F.concat(F.lit("WEEK "), at))})
+    out = pipelines.build_advs(vs, d["subjects"], lookup(spark, sf_dir, "VS"), {"purchase": (20, 60)})
+    return out.select("VSSEQ", "PARAM", "AVALU", "AVISIT", "ANRIND", "ABLFL", "BASE", F.round("CHG", 4).alias("CHG"), "ADY")
 
 
-@query("""WITH m AS (SELECT user_id, min(date_trunc('second', ts)) AS d FROM events GROUP BY 1)
-SELECT c_custkey::VARCHAR AS USUBJID, round(epoch(d - (DATE '2024-01-08' + (c_custkey % 14)::INTEGER)::TIMESTAMP) / 86400, 4) AS AVAL, (d IS NULL)::INTEGER AS CNSR FROM customer LEFT JOIN m ON user_id = c_custkey""")
+@query("""WITH m AS (SELECT user_id, min(date_trunc('second', ts)) AS d FROM events WHERE date_trunc('second', ts) >= (DATE '2024-01-08' + (user_id % 14)::INTEGER)::TIMESTAMP GROUP BY 1)
+SELECT c_custkey::VARCHAR AS USUBJID, round(epoch(d - (DATE '2024-01-08' + (c_custkey % 14)::INTEGER)::TIMESTAMP)) / 86400 AS AVAL, (d IS NULL)::INTEGER AS CNSR FROM customer LEFT JOIN m ON user_id = c_custkey""")
 def l3_build_adtte(spark, sf_dir):
     d = domains(spark, sf_dir)
-    return pipelines.build_adtte(d["subjects"], d["ae"]).select("USUBJID", F.round("AVAL", 4).alias("AVAL"), "CNSR")
+    return pipelines.build_adtte(d["subjects"], d["ae"]).select("USUBJID", "AVAL", "CNSR")
 
 
 def _first(by: str, ok: str) -> str:
@@ -544,21 +646,23 @@ def _first(by: str, ok: str) -> str:
 
 
 @query(f"""WITH e AS (SELECT event_id AS AESEQ, user_id, event_type AS PT, 'SOC' || (event_id % 3) AS SOC, value > 50 AS ser, ts::DATE AS ASTDT, DATE '2024-01-08' + (c_custkey % 14)::INTEGER AS TRTSDT FROM events LEFT JOIN customer ON user_id = c_custkey),
-t AS (SELECT *, coalesce(ASTDT >= TRTSDT, false) AS te, coalesce(ASTDT >= TRTSDT, false) AND ser AS ts FROM e)
-SELECT AESEQ, CASE WHEN te THEN 'Y' END AS TRTEMFL, {_first("user_id", "te")} AS AOCCFL, {_first("user_id, SOC", "te")} AS AOCCSFL, {_first("user_id, SOC, PT", "te")} AS AOCCPFL, {_first("user_id", "ts")} AS AOCC02FL,
+t AS (SELECT *, coalesce(ASTDT >= TRTSDT, false) AS te, coalesce(ASTDT >= TRTSDT, false) AND ser AS ts, PT LIKE '%click%' OR SOC = 'SOC2' AS skin, last_day(ASTDT) AS AENDT FROM e)
+SELECT AESEQ, CASE WHEN te THEN 'Y' END AS TRTEMFL, CASE WHEN skin THEN 'DERMATOLOGIC EVENTS' END AS CQ01NAM, (AENDT - ASTDT + 1)::INTEGER AS ADURN, {_first("user_id", "te AND skin")} AS AOCC01FL, {_first("user_id", "te")} AS AOCCFL, {_first("user_id, SOC", "te")} AS AOCCSFL, {_first("user_id, SOC, PT", "te")} AS AOCCPFL, {_first("user_id", "ts")} AS AOCC02FL,
 {_first("user_id, SOC", "ts")} AS AOCC03FL, {_first("user_id, SOC, PT", "ts")} AS AOCC04FL FROM t""")
 def l4_build_adae(spark, sf_dir):
     d = domains(spark, sf_dir)
     adsl = d["subjects"].withColumns({"TRTSDT": F.to_date("TRTSDTM"), "TRTEDT": F.lit(None).cast("date")})
-    return pipelines.build_adae(d["ae"], adsl).select("AESEQ", "TRTEMFL", "AOCCFL", "AOCCSFL", "AOCCPFL", "AOCC02FL", "AOCC03FL", "AOCC04FL")
+    ae = d["ae"].withColumn("AEENDTC", F.substring("AESTDTC", 1, 7))
+    return pipelines.build_adae(ae, adsl, words=["click"], system="SOC2").select("AESEQ", "TRTEMFL", "CQ01NAM", "ADURN", "AOCC01FL", "AOCCFL", "AOCCSFL", "AOCCPFL", "AOCC02FL", "AOCC03FL", "AOCC04FL")
 
 
 @query(f"""WITH {FINDINGS_SQL}, r AS (SELECT *, AVAL / 10 AS R2A1LO, greatest(AVAL - 75, 5 - AVAL) AS trv, day(ts) = 12 AS v FROM c)
-SELECT SEQ AS LBSEQ, round(R2A1LO, 4) AS R2A1LO, round(max(CASE WHEN ABLFL = 'Y' THEN R2A1LO END) OVER g, 4) AS BR2A1LO, CASE WHEN trv = max(trv) OVER g THEN 'Y' END AS ANL01FL,
+SELECT SEQ AS LBSEQ, round(R2A1LO, 4) AS R2A1LO, round(max(CASE WHEN ABLFL = 'Y' THEN R2A1LO END) OVER g, 4) AS BR2A1LO, CASE WHEN trv = max(trv) OVER g THEN 'Y' END AS ANL01FL, 'VISIT ' || day(ts) AS AVISIT, day(ts)::INTEGER AS AVISITN,
+CASE WHEN AVAL < 5 THEN 'L' WHEN AVAL > 75 THEN 'H' ELSE 'N' END AS ANRIND, CASE WHEN BASE < 5 THEN 'L' WHEN BASE > 75 THEN 'H' WHEN BASE IS NOT NULL THEN 'N' END AS BNRIND,
 CASE WHEN v OR (NOT bool_or(v) OVER g AND row_number() OVER (PARTITION BY USUBJID, PARAMCD ORDER BY day(ts) DESC, SEQ DESC) = 1) THEN 'Y' END AS AENTMTFL
 FROM r WINDOW g AS (PARTITION BY USUBJID, PARAMCD)""")
 def l5_build_adlbc(spark, sf_dir):
     d = domains(spark, sf_dir)
-    lb = d["findings"]("LB").withColumns({"LBSTNRLO": F.lit(10.0), "LBSTNRHI": F.lit(50.0)})
+    lb = d["findings"]("LB").withColumns({"LBSTNRLO": F.lit(10.0), "LBSTNRHI": F.lit(50.0), "VISIT": F.concat(F.lit("VISIT "), F.col("VISITNUM").cast("string"))})
     out = pipelines.build_adlbc(lb, d["subjects"], lookup(spark, sf_dir, "LB"))
-    return out.select("LBSEQ", F.round("R2A1LO", 4).alias("R2A1LO"), F.round("BR2A1LO", 4).alias("BR2A1LO"), "ANL01FL", "AENTMTFL")
+    return out.select("LBSEQ", F.round("R2A1LO", 4).alias("R2A1LO"), F.round("BR2A1LO", 4).alias("BR2A1LO"), "ANL01FL", "AVISIT", "AVISITN", "ANRIND", "BNRIND", "AENTMTFL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "variable string, check string, status string, details string"
@@ -25,7 +25,7 @@ def run_checks(df: DataFrame, checks: Sequence[tuple[str, str]], keys: Sequence[
     """``variable, check, status (PASS, FAIL, MANUAL), details`` for ``(variable, check)`` pairs. An action.
 
     ``not_all_na``, ``non_negative`` and ``flag_rate`` of all variables are one aggregate, key uniqueness one more, and so
-    is each codelist. A check that does not apply to the column is MANUAL.
+    is each codelist. A column that is absent fails these three; a check that does not apply to the column is MANUAL.
     """
     spark, kinds = df.sparkSession, dict(df.dtypes)
     wanted, results = {}, {}
@@ -37,13 +37,15 @@ def run_checks(df: DataFrame, checks: Sequence[tuple[str, str]], keys: Sequence[
             else:
                 wanted[k] = F.count(F.col(variable))
         elif check == "non_negative":
-            if kinds.get(variable, "string") in ("string", "date", "timestamp", "boolean", "binary"):
+            if variable not in kinds:
+                results[variable, check] = ("FAIL", "column is absent")
+            elif kinds[variable] in ("string", "date", "timestamp", "boolean", "binary"):
                 results[variable, check] = ("MANUAL", "not a number")
             else:
                 wanted[k] = F.count_if(F.col(variable) < 0)
         elif check == "flag_rate":
             if variable not in kinds:
-                results[variable, check] = ("MANUAL", "column is absent")
+                results[variable, check] = ("FAIL", "column is absent")
             else:
                 wanted[k] = F.count_if(F.col(variable).isNotNull() & (F.col(variable).cast("string") != ""))
         elif check == "imputation_flag":
@@ -74,9 +76,18 @@ def check_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n_checks"))
 
 
-def table_snapshot(df: DataFrame, source: str) -> DataFrame:
+def _digest(df: DataFrame, kind: str) -> Column:
+    """A number from all columns of a row: Spark's own hash, or 60 bits of the MD5 of the columns as text, which other
+    engines can compute."""
+    if kind == "xxhash64":
+        return F.xxhash64(*df.columns)
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in df.columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def table_snapshot(df: DataFrame, source: str, digest: str = "xxhash64") -> DataFrame:
     """One row: ``source, n_rows, n_columns, columns, digest_sum, digest_xor``. The digest does not depend on row order."""
-    h = F.xxhash64(*df.columns)
+    h = _digest(df, digest)
     row = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("digest_sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("digest_xor"))
     return row.select(F.lit(source).alias("source"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("columns"), "digest_sum", "digest_xor")
 

@@ -29,8 +29,8 @@ def _joined(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys:
 def _agree(v: str, a: Column, b: Column, kinds: tuple[str, str], tol: float) -> Column:
     if v.endswith(("DT", "DTM")) or "date" in kinds:
         return _date(a, kinds[0]) == _date(b, kinds[1])
-    if all(map(_number, kinds)):
-        return F.abs(a.cast("double") - b.cast("double")) <= tol
+    if any(map(_number, kinds)):  # a number stored as text is a number; text that is none agrees with nothing
+        return F.abs(a.try_cast("double") - b.try_cast("double")) <= tol
     return a.cast("string") == b.cast("string")
 
 
@@ -38,8 +38,8 @@ def compare_datasets(ours: DataFrame, oracle: DataFrame, variables: Sequence[str
     """``variable, status, value_agree, value_agree_rounded, n_joined, na_agree``, a row per variable; percent to 1 decimal.
 
     Status is the first that holds of not_produced, not_in_oracle, id (value_agree is then the share of our rows whose id
-    the oracle has), join_key, all_missing, compared. Values agree only if both are non-NULL; na_agree counts NULL on both
-    sides. One key join and one aggregate serve up to ``CHUNK`` variables.
+    the oracle has), join_key, all_missing, compared. Values agree only if both are non-NULL; na_agree is the
+    share of rows that are NULL on both sides or on neither. Where either side is a number both are compared as numbers. One key join and one aggregate serve up to ``CHUNK`` variables.
     """
     tolerance, round_digits = tolerance or {}, round_digits or {}
     both = [v for v in variables if v in ours.columns and v in oracle.columns and v not in keys and v != id_var]
@@ -55,7 +55,7 @@ def compare_datasets(ours: DataFrame, oracle: DataFrame, variables: Sequence[str
             rounded = same
             if v in round_digits and all(map(_number, kinds[v])):
                 rounded = F.coalesce(F.abs(F.round(a.cast("double"), round_digits[v]) - b.cast("double")) <= tolerance.get(v, default_tol), F.lit(False))
-            sums += [F.count(a).alias(f"pa{i}"), F.count(b).alias(f"pb{i}"), F.avg(same.cast("double")).alias(f"s{i}"), F.avg(rounded.cast("double")).alias(f"r{i}"), F.avg((a.isNull() & b.isNull()).cast("double")).alias(f"m{i}")]
+            sums += [F.count(a).alias(f"pa{i}"), F.count(b).alias(f"pb{i}"), F.avg(same.cast("double")).alias(f"s{i}"), F.avg(rounded.cast("double")).alias(f"r{i}"), F.avg((a.isNull() == b.isNull()).cast("double")).alias(f"m{i}")]
             empty = (F.col(f"pa{i}") == 0) & (F.col(f"pb{i}") == 0)
             rows.append(
                 F.struct(

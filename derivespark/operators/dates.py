@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import need
 
+PARTS = ("year", "month", "day", "hour", "minute", "second")
 #: Fixed pattern: YYYY[-MM[-DD[THH[:MM[:SS]]]]], a single dash for a missing part.
 ISO = r"^(\d{4}|-)(?:-(\d{2}|-)(?:-(\d{2}|-)(?:[T ](\d{2}|-)(?::(\d{2}|-)(?::(\d{2}|-)(?:\.\d+)?)?)?)?)?)?$"
 
@@ -27,32 +30,38 @@ def impute_dtc(df: DataFrame, target: str, dtc: str, output: str = "dt", highest
     if highest_imputation not in "YMD" or date_imputation not in ("first", "last") or time_imputation not in (None, "first", "last"):
         raise ValueError("unknown imputation")
     need(df, dtc)
-    last, late, names = date_imputation == "last", time_imputation == "last", _helpers(df, 9)
-    text, year, month, day, hour, minute, second, date, stamp = map(F.col, names)
-    # Each step is a projection of its own and its columns are used more than once, so nothing is computed twice.
-    source = F.trim(F.col(dtc).cast("string"))
-    out = df.withColumn(names[0], F.split(F.regexp_replace(source, ISO, "\n$1\n$2\n$3\n$4\n$5\n$6"), "\n"))
-    matched = F.when(F.size(text) == 7, text)  # the pattern admits no line break
-    out = out.withColumns({n: F.nullif(F.nullif(F.get(matched, F.lit(i)), F.lit("")), F.lit("-")) for i, n in enumerate(names[1:7], 1)})
-    day = F.when(month.isNotNull(), day)  # without a month the day says nothing
-    hour = F.when(day.isNotNull(), hour)
-    minute = F.when(hour.isNotNull(), minute)
-    second = F.when(minute.isNotNull(), second)
-    allowed = year.isNotNull() if highest_imputation in "MY" else year.isNotNull() & month.isNotNull()
-    whole = F.try_to_date(F.concat_ws("-", year, F.coalesce(month, F.lit("12" if last else "01")), F.coalesce(day, F.lit("01"))), "yyyy-MM-dd")
-    out = out.withColumn(names[7], F.when(allowed, F.when(day.isNull(), F.last_day(whole)).otherwise(whole) if last else whole))
-    date_flag = F.when(month.isNull(), F.lit("M")).when(day.isNull(), F.lit("D"))
-    columns: dict[str, Column] = {}
-    if output == "dt":
-        columns[target] = date
-        columns[stem + "DTF"] = F.when(date.isNotNull(), date_flag)
-    else:
-        clock = F.concat_ws(":", F.coalesce(hour, F.lit("23" if late else "00")), F.coalesce(minute, F.lit("59" if late else "00")), F.coalesce(second, F.lit("59" if late else "00")))
-        out = out.withColumn(names[8], F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")))
-        columns[target] = stamp
-        columns[stem + "DTF"] = F.when(stamp.isNotNull(), date_flag)
-        columns[stem + "TMF"] = F.when(stamp.isNotNull(), F.when(hour.isNull(), F.lit("H")).when(minute.isNull(), F.lit("M")).when(second.isNull(), F.lit("S")))
-    return out.withColumns(columns).drop(*names)
+    last, late, (name,) = date_imputation == "last", time_imputation == "last", _helpers(df, 1)
+
+    def read(text: Column) -> Column:  # the whole and six parts; the pattern admits no line break
+        part = lambda i: F.when(F.size(text) == 7, F.nullif(F.nullif(F.get(text, F.lit(i)), F.lit("")), F.lit("-")))
+        return F.struct(*[part(i).alias(n) for i, n in enumerate(PARTS, 1)])
+
+    def settle(parts: Column) -> Column:
+        year, month, day, hour, minute, second = (parts[n] for n in PARTS)
+        day = F.when(month.isNotNull(), day)  # without a month the day says nothing
+        hour = F.when(day.isNotNull(), hour)
+        minute = F.when(hour.isNotNull(), minute)
+        second = F.when(minute.isNotNull(), second)
+        allowed = year.isNotNull() if highest_imputation in "MY" else year.isNotNull() & month.isNotNull()
+        date = F.try_to_date(F.concat_ws("-", year, F.coalesce(month, F.lit("12" if last else "01")), F.coalesce(day, F.lit("01"))), "yyyy-MM-dd")
+        value = F.when(allowed, F.when(day.isNull(), F.last_day(date)).otherwise(date) if last else date)
+        if output == "dtm":
+            clock = F.concat_ws(":", F.coalesce(hour, F.lit("23" if late else "00")), F.coalesce(minute, F.lit("59" if late else "00")), F.coalesce(second, F.lit("59" if late else "00")))
+            value = F.try_to_timestamp(F.concat(value.cast("string"), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss"))
+        date_flag = F.when(month.isNull(), F.lit("M")).when(day.isNull(), F.lit("D"))
+        time_flag = F.when(hour.isNull(), F.lit("H")).when(minute.isNull(), F.lit("M")).when(second.isNull(), F.lit("S"))
+        return F.struct(value.alias("value"), date_flag.alias("date_flag"), time_flag.alias("time_flag"))
+
+    lines = F.split(F.regexp_replace(F.trim(F.col(dtc).cast("string")), ISO, "\n$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+    found = F.col(name)
+    flags = {stem + "DTF": found["date_flag"]} | ({stem + "TMF": found["time_flag"]} if output == "dtm" else {})
+    out = df.withColumn(name, _bound(_bound(lines, read), settle))
+    return out.withColumns({target: found["value"]} | {c: F.when(found["value"].isNotNull(), flag) for c, flag in flags.items()}).drop(name)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used and wherever the expression is moved to."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _helpers(df: DataFrame, n: int) -> list[str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NUMBERS = ("integer", "float", "double", "decimal")
 TEXTS = ("string", "URI", "date", "datetime", "time")
 DATE = r"^\d{4}-\d{2}-\d{2}$"
-STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+STAMP = r"^\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-](0\d|1[0-3]):[0-5]\d|[+-]14:00)?$"
 HEADER = ("datasetJSONVersion", "records", "name", "label", "itemGroupOID", "studyOID", "metaDataVersionOID", "originator", "sourceSystem")
 
 
@@ -73,8 +73,8 @@ def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
 
     Numbers are doubles (``null`` and "NA" are NULL), booleans only true, false or null; another kind of cell, an integer with
     a fraction, a nested cell or a row of the wrong length is an error when it is computed. A temporal column whose target
-    is Date or Datetime is converted, to UTC, if every value can be, and keeps its strings in ``<col>__raw``; else it
-    stays a string. Rows may be left out if records is 0 or absent; a differing count gives a warning.
+    is Date or Datetime is converted, to UTC, if every value can be (an empty one is missing), and keeps its strings in
+    ``<col>__raw``; else it stays a string. Offsets have a colon and are at most 14:00. Rows may be left out if records is 0 or absent; a differing count gives a warning.
     """
     (head,) = _head(spark, path)
     columns = _columns(head)
@@ -88,10 +88,14 @@ def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
         warnings.warn(f"records is {declared}, rows are {found}", stacklevel=2)
     docs = _documents(spark, path)
     cells = F.coalesce(F.try_variant_get("data", "$.rows", "array<variant>"), F.try_variant_get("data", "$.itemData", "array<variant>"), F.array().cast("array<variant>"))
-    rows = docs.select(F.posexplode(cells).alias("_at", "_row"))
-    rows = rows.select("_at", F.try_variant_get("_row", "$", "array<variant>").alias("_cells"))
+    rows = docs.select(F.explode(cells).alias("_row")).select(F.try_variant_get("_row", "$", "array<variant>").alias("_cells"))
+    return _typed(rows, columns)
+
+
+def _typed(rows: DataFrame, columns: list[dict]) -> DataFrame:
+    """Typed columns of the rows in ``_cells`` (arrays of variants)."""
     wrong = F.raise_error(F.lit("a row's length differs from the number of columns"))
-    rows = rows.select("_at", F.when(F.col("_cells").isNull() | (F.size("_cells") != len(columns)), wrong).otherwise(F.col("_cells")).alias("_cells"))
+    rows = rows.select(F.when(F.col("_cells").isNull() | (F.size("_cells") != len(columns)), wrong).otherwise(F.col("_cells")).alias("_cells"))
 
     def cell(i: int, c: dict):
         v, kind = F.col("_cells")[i], F.schema_of_variant(F.col("_cells")[i])
@@ -109,24 +113,71 @@ def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         return F.when(null, None).when(nested, bad).otherwise(F.try_variant_get(v, "$", "string"))
 
-    out = rows.select("_at", *[cell(i, c).alias(c["name"]) for i, c in enumerate(columns)])
+    out = rows.select(*[cell(i, c).alias(c["name"]) for i, c in enumerate(columns)])
     targets = {c["name"]: c["targetDataType"].lower() for c in columns if (c.get("targetDataType") or "").lower() in ("date", "datetime")}
 
     def parsed(name: str):
-        x = F.trim(F.col(name))
+        x = F.col(name)
         if targets[name] == "date":
             return F.when(x.rlike(DATE), F.try_to_date(x))
-        zoned = F.when(x.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), x).otherwise(F.concat(x, F.lit("Z")))
-        padded = F.regexp_replace(zoned, r"(T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+        zoned = F.when(x.rlike(r"(Z|[+-]\d{2}:\d{2})$"), x).otherwise(F.concat(x, F.lit("Z")))
+        padded = F.regexp_replace(zoned, r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
         return F.when(x.rlike(STAMP), padded.try_cast("timestamp"))
 
     if targets:
-        ok = out.agg(*[F.coalesce(F.bool_and(F.col(n).isNull() | parsed(n).isNotNull()), F.lit(True)).alias(n) for n in targets]).first()
+        ok = out.agg(*[F.coalesce(F.bool_and(F.col(n).isNull() | (F.col(n) == "") | parsed(n).isNotNull()), F.lit(True)).alias(n) for n in targets]).first()
         for n in targets:
             if ok[n]:
                 out = out.withColumn(f"{n}__raw", F.col(n)).withColumn(n, parsed(n))
-    out = out.drop("_at")
     for c in columns:
         if c.get("label"):
             out = out.withMetadata(c["name"], {"label": c["label"]})
     return out
+
+
+def write_dataset_ndjson(df: DataFrame, path: str, name: str, columns: list[dict], records: int | None = None) -> None:
+    """Dataset-NDJSON: a line of metadata and a line per row, in files that Spark writes in parallel. ``columns`` has the
+    ``name`` and ``dataType`` (and ``label``, ``targetDataType``) of columns of ``df``; temporal ones are written as they
+    print in ISO 8601."""
+    head = {"datasetJSONVersion": "1.1.0", "itemGroupOID": f"IG.{name}", "name": name, "label": name, "columns": [{"itemOID": f"IT.{name}.{c['name']}", "label": c["name"]} | c for c in columns]}
+    if records is not None:
+        head["records"] = records
+    texts = {"date": "yyyy-MM-dd", "timestamp": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+    def cell(c: str, kind: str):
+        value = F.date_format(c, texts[kind]) if kind in texts else F.col(c)
+        return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(.*)\}$', 1), F.lit("null"))
+
+    kinds = dict(df.dtypes)
+    line = F.concat(F.lit("["), F.concat_ws(",", *[cell(c["name"], kinds[c["name"]]) for c in columns]), F.lit("]"))
+    df.sparkSession.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(path)
+    df.select(line.alias("value")).write.mode("append").text(path)
+
+
+def _ndjson(spark: SparkSession, path: str) -> tuple[dict, list[dict], DataFrame]:
+    """Header, columns and row lines of one dataset. An action on the header line."""
+    lines = spark.read.text(path)
+    heads = lines.where(F.ltrim("value").startswith("{")).limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("a dataset has one line of metadata")
+    head = json.loads(heads[0]["value"])
+    columns = _columns({"version": head.get("datasetJSONVersion"), "columns": json.dumps(head.get("columns")), "items": None})
+    return head, columns, lines.where(F.ltrim("value").startswith("["))
+
+
+def read_dataset_ndjson(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a Dataset-NDJSON file or folder, typed as ``read_dataset_json`` does. Lines are read in splits, so a
+    dataset of any size is read in parallel; a document that is one JSON object is one cell, of 128 MB at most."""
+    _, columns, lines = _ndjson(spark, path)
+    return _typed(lines.select(F.try_variant_get(F.parse_json("value"), "$", "array<variant>").alias("_cells")), columns)
+
+
+def dataset_ndjson_meta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(header, columns)`` of a Dataset-NDJSON dataset; without ``records`` its lines are counted."""
+    head, columns, lines = _ndjson(spark, path)
+    names = [h for h in HEADER if h != "records"]
+    records = lines.agg(F.count(F.lit(1)).alias("records")) if head.get("records") is None else spark.createDataFrame([(int(head["records"]),)], "records long")
+    header = records.select(F.lit(path).alias("path"), "records", *[F.lit(head.get(h)).cast("string").alias(h) for h in names])
+    fields = ("itemOID", "name", "label", "dataType", "targetDataType")
+    rows = [(path, i, *[c.get(n) for n in fields], c.get("length")) for i, c in enumerate(columns)]
+    return header, spark.createDataFrame(rows, "path string, position int, itemOID string, name string, label string, dataType string, targetDataType string, length long")

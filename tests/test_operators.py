@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from derivespark.operators import agree, analysis, checks, compare, dates, finalize, joins, project, records, windows
-from derivespark.sources.dataset_json import dataset_json_meta, read_dataset_json
+from derivespark.sources.dataset_json import dataset_json_meta, dataset_ndjson_meta, read_dataset_json, read_dataset_ndjson, write_dataset_ndjson
 
 
 def column(df, name):
@@ -239,3 +239,45 @@ def test_imputation_parses_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_") == 1
     got = [tuple(str(v) if v is not None else None for v in r[1:]) for r in out.collect()]
     assert got == [("2024-02-29 23:59:59", "D", "H"), (None, None, None), ("2024-12-31 23:59:59", "M", "H"), (None, None, None), (None, None, None), ("2024-02-03 04:05:06", None, None)]
+
+
+def test_absent_columns_fail(spark):
+    df = spark.createDataFrame([(1, "x")], "A int, T string")
+    got = {(r.variable, r.check): r.status for r in checks.run_checks(df, [("B", "non_negative"), ("B", "flag_rate"), ("T", "non_negative"), ("A", "non_negative")]).collect()}
+    assert got == {("B", "non_negative"): "FAIL", ("B", "flag_rate"): "FAIL", ("T", "non_negative"): "MANUAL", ("A", "non_negative"): "PASS"}
+
+
+def test_compare_numbers_as_text_and_missing_values(spark):
+    ours = spark.createDataFrame([(1, 1.0, None), (2, 2.5, "b"), (3, None, None)], "K int, V double, T string")
+    oracle = spark.createDataFrame([(1, "1", None), (2, "x", "b"), (3, None, "c")], "K int, V string, T string")
+    got = {r.variable: (r.value_agree, r.na_agree) for r in compare.compare_datasets(ours, oracle, ["V", "T"], ["K"], "ID").collect()}
+    assert got == {"V": (33.3, 100.0), "T": (33.3, 66.7)}
+
+
+@pytest.mark.parametrize("value, whole", [("2020-01-01 10:30:00", True), ("2020-01-01T10:30+05:30", True), ("2020-01-01T10:30:00+0530", False), ("2020-01-01T10:30:00+15:30", False), ("2020-01-01T10:30:00+14:00", True), ("2020-01-01T24:00:00", False), ("2020-02-30T10:00:00", False)])
+def test_dataset_json_datetimes(spark, tmp_path, value, whole):
+    got = read_dataset_json(spark, written(tmp_path, document([("D", "datetime", "Datetime")], [[value], [""], [None]])))
+    assert ("D__raw" in got.columns) == whole and (got.where("D IS NULL").count() == 2 or not whole)
+
+
+def test_dataset_json_empty_date_is_missing(spark, tmp_path):
+    assert column(read_dataset_json(spark, written(tmp_path, document([("D", "date", "Date")], [["2010-04-30"], [""]]))), "D") == [dt.date(2010, 4, 30), None]
+
+
+def test_dataset_ndjson(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "quoted",\n[line]', dt.date(2020, 1, 2), True), (2, None, None, None)], "N int, T string, D date, B boolean")
+    kinds = [{"name": "N", "dataType": "integer"}, {"name": "T", "dataType": "string"}, {"name": "D", "dataType": "date", "targetDataType": "Date"}, {"name": "B", "dataType": "boolean"}]
+    path = f"file://{tmp_path}/nd"
+    write_dataset_ndjson(df, path, "X", kinds, records=2)
+    got = sorted(tuple(r) for r in read_dataset_ndjson(spark, path).drop("D__raw").collect())
+    assert got == [(1.0, 'a "quoted",\n[line]', dt.date(2020, 1, 2), True), (2.0, None, None, None)]
+    header, columns = dataset_ndjson_meta(spark, path)
+    assert (header.first().records, [r["name"] for r in columns.orderBy("position").collect()]) == (2, ["N", "T", "D", "B"])
+
+
+def test_snapshot_digests(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "A int, B string")
+    for kind in ("xxhash64", "md5"):
+        one, other = (checks.table_snapshot(d, "t", kind).first() for d in (df, df.orderBy("A", ascending=False).repartition(3)))
+        assert one == other and one.n_rows == 2
+        assert checks.table_snapshot(df.withColumn("B", F.coalesce("B", F.lit(""))), "t", kind).first().digest_sum != one.digest_sum
