@@ -25,8 +25,7 @@ NOBODY = np.iinfo(np.int64).max
 
 CHUNK = "chunk_id long, doc_ids array<long>, sizes array<int>, text binary"
 ANCHORS = "bucket int, chunk_id long, anchors binary, low binary, many binary"
-OPEN = "bucket int, chunk_id long, place binary, doc binary, start binary, count binary, text binary"
-COVERED = "chunk_id long, place binary, start binary, count binary"
+OPEN = "bucket int, chunk_id long, place binary, doc binary, start binary, count binary, text binary, size int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -41,7 +40,7 @@ def suffix_array(buf: np.ndarray, depth: int = 64) -> np.ndarray:
     are sorted by the group of the suffix h bytes on, and groups of one are left alone from then on."""
     n = len(buf)
     key = words_at(buf, ">")[:n].astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     rank = np.full(n + depth + 1, -1, dtype=np.int64)
 
     def regroup(at: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -56,7 +55,7 @@ def suffix_array(buf: np.ndarray, depth: int = 64) -> np.ndarray:
     h = 8
     while h < depth and len(rest):
         joint = rank[sa[rest]] * (n + 2) + rank[sa[rest] + h] + 1
-        order = np.argsort(joint, kind="stable")
+        order = np.argsort(joint)
         sa[rest] = sa[rest][order]
         joint = joint[order]
         rest = regroup(rest, np.r_[True, joint[1:] != joint[:-1]])
@@ -213,7 +212,7 @@ def _open_passages(buckets: int):
             local = np.flatnonzero(done)
             f, n = runs(at[local], place[local])
             where = place[local][f]
-            out = [(-1, chunk.id, _binary(where, "<i4"), b"", _binary(at[local][f] - chunk.bounds[where], "<i4"), _binary(n, "<i4"), b"")] if len(f) else []
+            out = [(-1, chunk.id, _binary(where, "<i4"), b"", _binary(at[local][f] - chunk.bounds[where], "<i4"), _binary(n, "<i4"), b"", 0)] if len(f) else []
             rest = np.flatnonzero(~done)
             at, place, anchor = at[rest], place[rest], anchor[rest]
             f, n = runs(at, place, anchor)
@@ -222,50 +221,144 @@ def _open_passages(buckets: int):
                 index = np.repeat(at[f[i]] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
                 where = place[f[i]]
                 starts = at[f[i]] - chunk.bounds[where]
-                out.append((b, chunk.id, _binary(where, "<i4"), _binary(chunk.docs[where], "<i8"), _binary(starts, "<i4"), _binary(n[i], "<i4"), chunk.buf[index].tobytes()))
+                out.append((b, chunk.id, _binary(where, "<i4"), _binary(chunk.docs[where], "<i8"), _binary(starts, "<i4"), _binary(n[i], "<i4"), chunk.buf[index].tobytes(), len(index)))
             if out:
                 yield _table(out, OPEN)
 
     return run
 
 
-def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    """Merges the open passages of all chunks in one bucket: a binary search among the least documents' passages, each
-    hit compared byte by byte."""
-    take = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in part[c]]).astype(np.int64)
-    place, doc, start, count = take("place", "<i4"), take("doc", "<i8"), take("start", "<i4"), take("count", "<i4")
-    chunk = np.repeat(part["chunk_id"].to_numpy(), [len(b) // 4 for b in part["place"]])
-    buf = np.frombuffer(b"".join(part["text"]), dtype=np.uint8)
-    length = count + LENGTH - 1
-    segment = np.repeat(np.arange(len(count)), count)
-    step = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-    at = np.r_[0, np.cumsum(length)[:-1]][segment] + step
-    key, owner = rolling(buf, LENGTH)[at], doc[segment]
-    order = np.lexsort((owner, key))
-    keys, first = np.unique(key[order], return_index=True)
-    best = order[first][np.searchsorted(keys, key)]
-    words = words_at(buf, "<")
-    behind = np.flatnonzero(owner > owner[best])
-    equal = np.ones(len(behind), dtype=bool)
-    for j in (0, 8, 16, 24, 32, 40, 42):
-        equal &= words[at[behind] + j] == words[at[best[behind]] + j]
-    done = np.zeros(len(at), dtype=bool)
-    done[behind[equal]] = True
-    clash = np.unique(key[behind[~equal]])
-    if len(clash):  # different passages with one hash: settle by their bytes
-        among = np.flatnonzero(np.isin(key, clash))
-        passages = [buf[at[i] : at[i] + LENGTH].tobytes() for i in among]
-        least: dict[bytes, int] = {}
-        for i, p in zip(among, passages, strict=True):
-            least[p] = min(least.get(p, NOBODY), int(owner[i]))
-        for i, p in zip(among, passages, strict=True):
-            done[i] = owner[i] > least[p]
-    hit = np.flatnonzero(done)
-    f, n = runs(start[segment[hit]] + step[hit], segment[hit])
-    s = segment[hit][f]
-    begin = start[s] + step[hit][f]
-    out = [(int(chunk[s[i[0]]]), _binary(place[s[i]], "<i4"), _binary(begin[i], "<i4"), _binary(n[i], "<i4")) for _, i in _dealt(chunk[s])]
-    return pd.DataFrame(out, columns=["chunk_id", "place", "start", "count"])
+#: A passage as seven words of eight bytes, of which the last overlaps.
+WORDS = (0, 8, 16, 24, 32, 40, LENGTH - 8)
+
+
+def sorted_passages(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``at`` in the order of the passages that start there: by the first word, then ties by the next, and so on."""
+    at = at[np.argsort(words[at])]
+    group = np.cumsum(np.r_[False, words[at[1:]] != words[at[:-1]]]) if len(at) else at
+    for k in WORDS[1:]:
+        tied = np.r_[False, group[1:] == group[:-1]]
+        tied[:-1] |= tied[1:]
+        rest = np.flatnonzero(tied)
+        if not len(rest):
+            break
+        word = words[at[rest] + k]
+        order = np.lexsort((word, group[rest]))
+        at[rest] = at[rest][order]
+        new = np.zeros(len(at), dtype=bool)
+        new[rest[1:]] = (np.diff(word[order]) != 0) & (group[rest[1:]] == group[rest[:-1]])
+        group = group + np.cumsum(new)
+    return at
+
+
+def located(words: np.ndarray, among: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each passage at ``at`` the place of an equal one in the sorted ``among``, or -1: binary search, word by word."""
+    first = words[among]
+    low, high = np.searchsorted(first, words[at], "left"), np.searchsorted(first, words[at], "right")
+    for k in WORDS[1:]:
+        rest = np.flatnonzero(high - low > 1)
+        want = words[at[rest] + k]
+        for side in (0, 1):  # the first place not below the word, then the first above it
+            a, b = low[rest].copy(), high[rest].copy()
+            open_ = np.arange(len(rest))
+            while len(open_):
+                middle = (a[open_] + b[open_]) >> 1
+                have = words[among[middle] + k]
+                below = have < want[open_] if side == 0 else have <= want[open_]
+                a[open_[below]] = middle[below] + 1
+                b[open_[~below]] = middle[~below]
+                open_ = open_[a[open_] < b[open_]]
+            if side == 0:
+                start = a
+            else:
+                low[rest], high[rest] = start, a
+    place = np.where(high > low, low, -1)
+    some = np.flatnonzero(place >= 0)
+    same = np.ones(len(some), dtype=bool)
+    for k in WORDS:
+        same &= words[among[place[some]] + k] == words[at[some] + k]
+    place[some[~same]] = -1
+    return place
+
+
+def _merge(last: bool):
+    """Merges the open passages of some chunks: those with a hash that another document has too go on; of each hash the
+    least document's passage enters one sorted array, in which all are searched. Passages that an earlier document has
+    are done; the others stay open for chunks of other groups, unless this is the ``last`` round."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        take = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in part[c]]).astype(np.int64)
+        place, doc, start, count = take("place", "<i4"), take("doc", "<i8"), take("start", "<i4"), take("count", "<i4")
+        chunk = np.repeat(part["chunk_id"].to_numpy(), [len(b) // 4 for b in part["place"]])
+        buf = np.frombuffer(b"".join(part["text"]), dtype=np.uint8)
+        length = count + LENGTH - 1
+        segment = np.repeat(np.arange(len(count)), count)
+        step = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+        at = np.r_[0, np.cumsum(length)[:-1]][segment] + step
+        key, owner, words = rolling(buf, LENGTH)[at], doc[segment], words_at(buf, ">")
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(owner[order], first)
+        group = np.cumsum(new) - 1
+        shared = np.maximum.reduceat(owner[order], first) > least
+        seen = order[shared[group]]
+        heads = order[(owner[order] == least[group]) & shared[group]]
+        heads = heads[np.r_[True, key[heads[1:]] != key[heads[:-1]]]] if len(heads) else heads
+        among = sorted_passages(words, at[heads])
+        owner_of = np.empty(len(buf), dtype=np.int64)
+        owner_of[at[heads]] = owner[heads]
+        found = located(words, among, at[seen])
+        done = np.zeros(len(at), dtype=bool)
+        known = found >= 0
+        done[seen[known]] = owner[seen[known]] > owner_of[among[found[known]]]
+        if not known.all():  # different passages with one hash: settle by their bytes
+            clash = np.flatnonzero(np.isin(key, key[seen[~known]]))
+            passages = [buf[at[i] : at[i] + LENGTH].tobytes() for i in clash]
+            best: dict[bytes, int] = {}
+            for i, p in zip(clash, passages, strict=True):
+                best[p] = min(best.get(p, NOBODY), int(owner[i]))
+            for i, p in zip(clash, passages, strict=True):
+                done[i] = owner[i] > best[p]
+        out = []
+        for bucket, which in ((-1, done), (int(part["bucket"].iloc[0]), ~done)):
+            hit = np.flatnonzero(which) if bucket < 0 or not last else np.zeros(0, np.int64)
+            f, n = runs(start[segment[hit]] + step[hit], segment[hit])
+            s, begin, here = segment[hit][f], (start[segment[hit]] + step[hit])[f], at[hit[f]] if len(f) else f
+            for _, i in _dealt(chunk[s]):
+                index = np.concatenate([np.arange(x, x + m + LENGTH - 1) for x, m in zip(here[i], n[i], strict=True)]) if bucket >= 0 else here[:0]
+                out.append((bucket, int(chunk[s[i[0]]]), _binary(place[s[i]], "<i4"), _binary(doc[s[i]], "<i8"), _binary(begin[i], "<i4"), _binary(n[i], "<i4"), buf[index].tobytes(), len(index)))
+        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in OPEN.split(", ")])
+
+    return run
+
+
+def _merged(opened: DataFrame) -> DataFrame:
+    """What is covered. A bucket with much more than ``MERGE_SHARE`` of text, as of a passage that every chunk has, is
+    merged in groups of chunks first: of equal passages one a group stays open, so rounds go on as long as they halve it."""
+    covered, before, rounds = [opened.where("bucket < 0")], {}, 0
+    opened = opened.where("bucket >= 0")
+    while True:
+        sizes = opened.groupBy("bucket").agg(F.sum("size").alias("volume")).where(F.col("volume") > 4 * MERGE_SHARE)
+        heavy = {r["bucket"]: r["volume"] for r in sizes.collect()}  # a few buckets far above the mean
+        heavy = {b: v for b, v in heavy.items() if v <= before.get(b, v * 2) // 2}
+        if not heavy:
+            break
+        before |= heavy
+        rounds += 1
+        named = opened.sparkSession.createDataFrame(list(heavy.items()), "heavy int, volume long")
+        dealt = opened.join(F.broadcast(named), F.col("bucket") == F.col("heavy"), "left")
+        groups = F.ceil(F.col("volume") / (2 * MERGE_SHARE)).cast("int")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("chunk_id", F.lit(rounds)), groups))
+        round_ = dealt.where("heavy IS NOT NULL").groupBy("bucket", "part").applyInPandas(_merge(False), OPEN)
+        after = saved(round_.unionByName(dealt.where("heavy IS NULL").drop("heavy", "volume", "part")), "suffix-open")
+        covered.append(after.where("bucket < 0"))
+        opened = after.where("bucket >= 0")
+    out = opened.groupBy("bucket").applyInPandas(_merge(True), OPEN)
+    for one in covered:
+        out = out.unionByName(one)
+    return out.select("chunk_id", "place", "start", "count")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +393,10 @@ def suffix_dedup(docs: DataFrame, *, keep_bytes: bool = False) -> DataFrame:
     Texts are written once in chunks, bucketed by chunk, so later joins on the chunk leave the text where it is. Anchors
     (least hash of the 26-byte windows in a passage) that more than one document has pick the regions that can repeat;
     equal passages have equal anchors, so nothing is missed. Each chunk sorts the suffixes of its regions and settles
-    what repeats inside it; only passages of its least documents go on, to the bucket of their anchor, where chunks
-    are merged. A passage in any number of documents reaches a bucket once or so from each chunk.
+    what repeats inside it; only passages of its least documents go on, to the bucket of their anchor. There the passages
+    that several chunks have, as a hash tells, are sorted, one of each, and all are found among them by binary search on
+    their bytes. A passage in any number of documents reaches a bucket once or so from each chunk, and a bucket that grows
+    so is merged in rounds. One text is never cut: a task holds some fifty bytes a byte of the longest.
     """
     spark = docs.sparkSession
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -319,8 +414,7 @@ def suffix_dedup(docs: DataFrame, *, keep_bytes: bool = False) -> DataFrame:
     repeated = repeated.groupBy("chunk_id").agg(F.collect_list("anchors").alias("repeated"))
     opened = saved(stored.join(repeated, "chunk_id").mapInArrow(_open_passages(share(MERGE_SHARE)), OPEN), "suffix-open")
     release(spark)
-    merged = opened.where("bucket >= 0").groupBy("bucket").applyInPandas(_merge, COVERED)
-    covered = saved(merged.unionByName(opened.where("bucket < 0").select("chunk_id", "place", "start", "count")), "suffix-covered")
+    covered = saved(_merged(opened), "suffix-covered")
     release(spark)
     covers = covered.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "start", "count")).alias("covers"))
     cut = stored.join(covers, "chunk_id", "left").mapInArrow(_cut, RESULT)

@@ -221,6 +221,32 @@ def test_suffix_dedup_across_chunks(spark, rows, docs, monkeypatch):
     assert got == brute.suffix(rows)
 
 
+def test_suffix_dedup_of_a_passage_in_every_chunk(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MERGE_SHARE", 300)  # many rounds
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 150)
+    rng = random.Random(9)
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    common = letters(70)
+    some = [(i, letters(rng.randint(0, 60)) + common[: rng.randint(40, 70)] + letters(30)) for i in range(150)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, some)).collect()}
+    assert got == brute.suffix(some)
+
+
+def test_passages_are_sorted_and_found():
+    rng = np.random.default_rng(3)
+    buf = np.concatenate([rng.integers(97, 99, 400), rng.integers(97, 99, 60).repeat(3), np.full(120, 97), np.zeros(90)] * 2).astype(np.uint8)
+    words = suffix_dedup.words_at(buf, ">")
+    at = np.arange(len(buf) - 50)
+    text = lambda i: buf[i : i + 50].tobytes()
+    order = suffix_dedup.sorted_passages(words, rng.permutation(at))
+    assert [text(i) for i in order] == sorted(map(text, at))
+    among = np.array([i for k, i in enumerate(order) if k % 3 == 0])
+    among = among[np.r_[True, [text(a) != text(b) for a, b in zip(among[1:], among[:-1], strict=True)]]]
+    place = suffix_dedup.located(words, among, at)
+    have = {text(i): k for k, i in enumerate(among)}
+    assert place.tolist() == [have.get(text(i), -1) for i in at]
+
+
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "a"])
 def test_suffix_array_and_prefixes(alphabet):
     rng = random.Random(len(alphabet))
