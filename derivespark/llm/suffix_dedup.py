@@ -303,8 +303,9 @@ def _merge(last: bool):
         least = np.minimum.reduceat(owner[order], first)
         group = np.cumsum(new) - 1
         shared = np.maximum.reduceat(owner[order], first) > least
-        seen = order[shared[group]]
-        heads = order[(owner[order] == least[group]) & shared[group]]
+        owned, shared = owner[order] == least[group], shared[group]
+        heads, seen = order[owned & shared], order[~owned & shared]  # the least document's own passages stay
+        seen = seen[np.argsort(words[at[seen]])]  # in the order of the array, which a search then reads in passing
         heads = heads[np.r_[True, key[heads[1:]] != key[heads[:-1]]]] if len(heads) else heads
         among = sorted_passages(words, at[heads])
         owner_of = np.empty(len(buf), dtype=np.int64)
