@@ -129,10 +129,10 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, of: tuple | None =
     ratio there, as the least of many noisy ratios that all lie above the prior.
     """
     found = []
+    half = lambda x, a: x[a::2] if len(x) > 1 else x
     for a in (0, 1):
-        model = fit_nnpu(positive[a::2], unlabelled[a::2], 0.5, of=of)
-        parts = [x[1 - a :: 2] if len(x) > 1 else x for x in (positive, unlabelled)]
-        p, u = (np.sort(model.score(x)) for x in parts)
+        model = fit_nnpu(half(positive, a), half(unlabelled, a), 0.5, of=of)
+        p, u = (np.sort(model.score(half(x, 1 - a))) for x in (positive, unlabelled))
         at = p[: max(1, int(len(p) * (1 - least)))]
         above, among = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
         ratio = among / above
