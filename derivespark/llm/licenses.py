@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import saved, small
 
 #: Spellings that count as equal, and what stands for them.
 SPELLINGS = {
@@ -127,35 +127,47 @@ def _words(out: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """``(license_id, license_digest)``; texts that come to one form share the first id in order."""
-    rows = spark.createDataFrame(list(texts.items()), "license_id string, text string")
+def _registry(spark: SparkSession, texts: dict[str, str] | DataFrame) -> DataFrame:
+    """``(license_id, text)`` of a dict or of a table with these columns."""
+    if isinstance(texts, DataFrame):
+        return texts.select(F.col("license_id").cast("string").alias("license_id"), F.col("text").cast("string").alias("text"))
+    return spark.createDataFrame(list(texts.items()), "license_id string, text string")
+
+
+def known_licenses(spark: SparkSession, texts: dict[str, str] | DataFrame = KNOWN) -> DataFrame:
+    """``(license_digest, license_id)``; texts that come to one form share the first id in order."""
     digest = F.sha2(canonical(F.col("text")), 256)
-    return rows.groupBy(digest.alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+    return _registry(spark, texts).groupBy(digest.alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def whole_licenses(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
+def whole_licenses(spark: SparkSession, texts: dict[str, str] | DataFrame = KNOWN) -> DataFrame:
     """``(whole_digest, whole_id)`` of the texts in their usual wordings, with and without a title, and of ``LONG``."""
-    each = [(k, t) for k, text in texts.items() for t in [text, *(text.replace(*w) for w in WORDINGS.get(k, []))]]
-    titled = each + [(k, f"{title}\n\n{t}") for k, t in each for title in TITLES.get(k, [])]
+    each = _registry(spark, texts).select(F.col("license_id").alias("whole_id"), "text")
+    for key, changes in WORDINGS.items():
+        for old, new in changes:
+            each = each.unionByName(each.where(F.col("whole_id") == key).withColumn("text", F.replace("text", F.lit(old), F.lit(new))))
+    titles = spark.createDataFrame([(k, t) for k, of in TITLES.items() for t in of], "whole_id string, title string")
+    titled = each.join(F.broadcast(titles), "whole_id").select("whole_id", F.concat("title", F.lit("\n\n"), "text").alias("text"))  # some titles
     form = whole_form(F.col("text"))
-    short = spark.createDataFrame(titled, "whole_id string, text string").where(form != "").select(F.sha2(form, 256).alias("whole_digest"), "whole_id")
+    short = each.unionByName(titled).where(form != "").select(F.sha2(form, 256).alias("whole_digest"), "whole_id")
     long = spark.createDataFrame([(d, k) for d, k in LONG.items() if texts is KNOWN], "whole_digest string, whole_id string")
     return short.unionByName(long).groupBy("whole_digest").agg(F.min("whole_id").alias("whole_id"))
 
 
-def license_scan(docs: DataFrame, texts: dict[str, str] = KNOWN) -> DataFrame:
+def license_scan(docs: DataFrame, texts: dict[str, str] | DataFrame = KNOWN) -> DataFrame:
     """One row per document: ``doc_id, digest, license_id``; the id of the licence whose whole text the document's whole
     text is, after both are brought to one form, else null. ``digest`` is that of ``canonical``; a text that it does not
     find is looked up by ``whole_form``, which a title, list marks and wraps do not change.
 
-    Null and empty texts, and texts of copyright lines and punctuation alone, have the digest of the empty form and no
-    licence. Rows that repeat a doc_id are scanned each. Other columns are ignored.
+    ``texts`` is the registry: a dict or a table ``(license_id, text)`` of full texts, of any size; its digests are
+    broadcast while they are few. Null and empty texts, and texts of copyright lines and punctuation alone, have the
+    digest of the empty form and no licence. Rows that repeat a doc_id are scanned each, a text of any length as a whole.
+    Other columns are ignored.
     """
-    if len(texts) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} licences")
+    spark = docs.sparkSession
     forms = F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(whole_form(F.col("text")), 256).alias("whole")
-    known = known_licenses(docs.sparkSession, texts).where(F.col("license_digest") != F.sha2(F.lit(""), 256))
-    rows = docs.select("doc_id", *forms).join(F.broadcast(known), F.col("digest") == F.col("license_digest"), "left")
-    rows = rows.join(F.broadcast(whole_licenses(docs.sparkSession, texts)), F.col("whole") == F.col("whole_digest"), "left")
+    known = saved(known_licenses(spark, texts).where(F.col("license_digest") != F.sha2(F.lit(""), 256)), "license-digests")
+    whole = saved(whole_licenses(spark, texts), "license-digests")
+    rows = docs.select("doc_id", *forms).join(small(known), F.col("digest") == F.col("license_digest"), "left")
+    rows = rows.join(small(whole), F.col("whole") == F.col("whole_digest"), "left")
     return rows.select("doc_id", "digest", F.coalesce("license_id", "whole_id").alias("license_id"))
