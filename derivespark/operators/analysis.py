@@ -47,11 +47,23 @@ def method_spec(operations: Sequence[str], categorical: bool = False) -> list[di
     return [{"operation": n, "scale": OPERATIONS[n][0], "pattern": "XX" + ("." + "X" * OPERATIONS[n][1]) * bool(OPERATIONS[n][1]), "order": OPERATIONS[n][2]} for n in ordered]
 
 
-def analysis(df: DataFrame, output: str, analysis_id: str, variable: str, operations: Sequence[str], grouping: Sequence[str] = (), analysis_set: Column | str | None = None, data_subset: Column | str | None = None) -> DataFrame:
+#: Quantiles that a sketch gives instead, within one part in ``accuracy`` of the rank.
+QUANTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+
+
+def _statistic(name: str, x: Column, accuracy: int | None) -> Column:
+    if accuracy and name in QUANTILES:
+        return F.percentile_approx(x, QUANTILES[name], accuracy)
+    return STATISTICS[name](x)
+
+
+def analysis(df: DataFrame, output: str, analysis_id: str, variable: str, operations: Sequence[str], grouping: Sequence[str] = (), analysis_set: Column | str | None = None, data_subset: Column | str | None = None, accuracy: int | None = None) -> DataFrame:
     """``output, analysis_id, <grouping>, level, operation, op_order, value, display``, a row per statistic and group.
 
     Numeric statistics of a variable are one aggregate; count and pct are per level, with the rows of the analysis
-    set in the group, before ``data_subset``, as denominator. NULL group keys form a group.
+    set in the group, before ``data_subset``, as denominator. NULL group keys form a group. Exact quantiles keep the
+    distinct values of a group in one task; with ``accuracy``, for groups of any size, mergeable sketches of bounded
+    size give them within one part in ``accuracy`` of the rank.
     """
     categorical = "count" in operations or "pct" in operations
     spec = method_spec(operations, categorical)
@@ -61,7 +73,7 @@ def analysis(df: DataFrame, output: str, analysis_id: str, variable: str, operat
     parts = []
     if numeric:
         x = F.col(variable) if categorical else F.col(variable).cast("double")
-        wide = rows.groupBy(*grouping).agg(*[STATISTICS[n](x).alias(n) for n in numeric])
+        wide = rows.groupBy(*grouping).agg(*[_statistic(n, x, accuracy).alias(n) for n in numeric])
         stats = F.array(*[F.struct(F.lit(n).alias("operation"), F.col(n).cast("double").alias("value")) for n in numeric])
         parts.append(wide.select(*grouping, F.lit(None).cast("string").alias("level"), F.explode(stats).alias("_s")).select(*grouping, "level", "_s.*"))
     if categorical:

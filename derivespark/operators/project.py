@@ -52,10 +52,15 @@ def categorize(df: DataFrame, target: str, from_: str, breaks: Sequence[float],
     return df.withColumn(target, out)
 
 
-def codelist_from_data(df: DataFrame, var: str) -> DataFrame:
-    """``(code, decode)``: the distinct non-null values in order, numbered from 1."""
-    values = df.select(F.col(var).cast("string").alias("decode")).where(F.col("decode").isNotNull()).distinct()
-    return values.select(F.row_number().over(Window.orderBy("decode")).cast("long").alias("code"), "decode")
+#: A codelist has at most so many codes; a variable with more is an error, found before its values meet in one task.
+MAX_CODES = 100_000
+
+
+def codelist_from_data(df: DataFrame, var: str, max_codes: int = MAX_CODES) -> DataFrame:
+    """``(code, decode)``: the distinct non-null values in order, numbered from 1. More than ``max_codes`` are an error."""
+    values = df.select(F.col(var).cast("string").alias("decode")).where(F.col("decode").isNotNull()).distinct().limit(max_codes + 1)
+    code = F.row_number().over(Window.orderBy("decode")).cast("long")
+    return values.select(fail_if(code > max_codes, f"more than {max_codes} codes", code).alias("code"), "decode")
 
 
 def codelist_var(df: DataFrame, target: str, from_: str, codelist: DataFrame, decode_to_code: bool = True) -> DataFrame:

@@ -281,3 +281,16 @@ def test_snapshot_digests(spark):
         one, other = (checks.table_snapshot(d, "t", kind).first() for d in (df, df.orderBy("A", ascending=False).repartition(3)))
         assert one == other and one.n_rows == 2
         assert checks.table_snapshot(df.withColumn("B", F.coalesce("B", F.lit(""))), "t", kind).first().digest_sum != one.digest_sum
+
+
+def test_codelists_are_bounded(spark):
+    df = spark.range(20).select(F.col("id").cast("string").alias("V"))
+    assert project.codelist_from_data(df, "V", max_codes=20).count() == 20
+    with pytest.raises(PySparkException):
+        project.codelist_from_data(df, "V", max_codes=19).collect()
+
+
+def test_sketched_quantiles(spark):
+    df = spark.range(10_001).select((F.col("id") % 2).alias("G"), F.col("id").cast("double").alias("V"))
+    for r in analysis.analysis(df, "T", "A", "V", ["median", "q1", "q3"], ["G"], accuracy=1000).collect():
+        assert abs(r["value"] - {"median": 5000, "q1": 2500, "q3": 7500}[r.operation]) <= 20
