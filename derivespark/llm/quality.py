@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -45,29 +44,26 @@ def features(text: bytes) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches, "text", CHUNK_BYTES):
         x = pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), x], ["positive", "unlabelled", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
 
 
-#: Features are summed as whole numbers of this fraction, so that the sums do not depend on the order of the tasks.
-UNIT = 2**20
+def featured(docs: DataFrame) -> DataFrame:
+    """``(doc_id, x)``: the features of every whole text, written once for all that reads them."""
+    texts = text_batches(docs).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return saved(texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "quality-features")
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in chunks(batches, "text", CHUNK_BYTES):
-        x = np.array([features(t) for t in texts]).reshape(len(texts), -1)
-        sums = [[Decimal(sum(map(int, column))) for column in np.rint(v * UNIT).T.tolist()] for v in (x, x**2)]
-        columns = [pa.array([len(texts)], pa.int64()), *(pa.array([v], pa.list_(pa.decimal128(38, 0))) for v in sums)]
-        yield pa.RecordBatch.from_arrays(columns, ["n", "sums", "squares"])
+#: Features are summed as whole numbers of this fraction, so that the sums do not depend on the order of the tasks.
+UNIT = 2**20
 
 
-def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Means and standard deviations of the features of all ``docs``."""
-    texts = text_batches(docs).select(F.col("text").cast("string").cast("binary").alias("text"))
-    found = texts.mapInArrow(_sums, "n long, sums array<decimal(38,0)>, squares array<decimal(38,0)>")
-    width = range(len(features(b"")))
-    row = found.agg(F.sum("n"), *[F.sum(F.col(c)[i]) for c in ("sums", "squares") for i in width]).first()
-    n, values = max(row[0] or 0, 1), np.array([float(v or 0) / UNIT for v in row[1:]])
-    mean, square = values[: len(width)] / n, values[len(width) :] / n
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard deviations of the features ``x`` of all ``rows``."""
+    width = len(features(b""))
+    whole = lambda i, k: F.sum(F.rint(F.pow(F.col("x")[i], k) * UNIT).cast("decimal(28,0)"))
+    row = rows.agg(F.count(F.lit(1)), *[whole(i, k) for k in (1, 2) for i in range(width)]).first()
+    n, values = max(row[0], 1), np.array([float(v or 0) / UNIT for v in row[1:]])
+    mean, square = values[:width] / n, values[width:] / n
     return mean, np.sqrt(np.maximum(square - mean**2, 0))
 
 
@@ -146,8 +142,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior: float | None = None) -> Model:
-    """Fits on at most about ``rows`` positives and ``rows`` unlabelled documents, all outside the held-out third.
+def train(rows_of: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior: float | None = None) -> Model:
+    """Fits the ``featured`` documents on at most about ``rows`` positives and ``rows`` unlabelled ones, all outside the
+    held-out third.
 
     Positives are drawn by a hash of doc_id among the documents labelled 1 (a doc_id with differing labels is not
     trusted), however many others there are; the unlabelled text is drawn by another hash among all. Means and scales
@@ -157,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
     """
     learn = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n_positive = learn.agg(F.count_if(F.col("quality") == 1)).first()[0]
-    ours = text_batches(docs).where(~held_out()).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    ours = rows_of.where(~held_out())
     n_ours = ours.select("doc_id").count()
     if not n_positive or not n_ours:
         n = len(features(b""))
@@ -170,14 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
 
     chosen = trusted.where(drawn("positive", trusted.agg(F.sum("n")).first()[0] or 0)).select("doc_id", F.lit(True).alias("positive"))
     joined = ours.join(F.broadcast(chosen), "doc_id", "left")  # about ``rows`` ids
-    sample = joined.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), drawn("fit", n_ours).alias("unlabelled"))
-    sample = sample.where("positive or unlabelled")
-    got = saved(sample.mapInArrow(_features, "positive boolean, unlabelled boolean, x array<double>"), "quality-sample").toPandas()
+    sample = joined.select("x", F.coalesce("positive", F.lit(False)).alias("positive"), drawn("fit", n_ours).alias("unlabelled"))
+    got = sample.where("positive or unlabelled").toPandas()  # at most about twice ``rows``
+    got = got.assign(x=got["x"].map(tuple)).sort_values(["x", "positive", "unlabelled"], ignore_index=True)  # in whatever order tasks end
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features(b"")))
     positive, unlabelled = x[got["positive"].to_numpy(dtype=bool)], x[got["unlabelled"].to_numpy(dtype=bool)]
     if not len(positive) or not len(unlabelled):
         raise ValueError(f"{n_positive} positive labels, but {len(positive)} positive and {len(unlabelled)} unlabelled documents drawn")
-    of = moments(docs)
+    of = moments(rows_of)
     if prior is None:
         prior = class_prior(positive, unlabelled, of)
     return fit_nnpu(positive, unlabelled, prior, of=of)
@@ -201,5 +198,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str]
 def quality_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``. Labels, lang, source and doc_id never reach the score;
     rows with equal texts score alike; a null doc_id hashes as an empty one."""
-    scored = score(docs, train(docs, labels, **how), ["doc_id"])
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    rows = featured(docs)
+    model = train(rows, labels, **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
+
+    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
