@@ -48,7 +48,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, x)``: the features of every whole text, written once for all that reads them."""
+    """``(doc_id, x)``: the features of every whole text, written once for all that reads them; such a table as it is."""
+    if docs.columns == ["doc_id", "x"]:
+        return docs
     texts = text_batches(docs).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     return saved(texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "quality-features")
 
@@ -57,11 +59,11 @@ def featured(docs: DataFrame) -> DataFrame:
 UNIT = 2**20
 
 
-def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Means and standard deviations of the features ``x`` of all ``rows``."""
+def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard deviations of the features of all ``docs``."""
     width = len(features(b""))
     whole = lambda i, k: F.sum(F.rint(F.pow(F.col("x")[i], k) * UNIT).cast("decimal(28,0)"))
-    row = rows.agg(F.count(F.lit(1)), *[whole(i, k) for k in (1, 2) for i in range(width)]).first()
+    row = featured(docs).agg(F.count(F.lit(1)), *[whole(i, k) for k in (1, 2) for i in range(width)]).first()
     n, values = max(row[0], 1), np.array([float(v or 0) / UNIT for v in row[1:]])
     mean, square = values[:width] / n, values[width:] / n
     return mean, np.sqrt(np.maximum(square - mean**2, 0))
@@ -142,9 +144,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(rows_of: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior: float | None = None) -> Model:
-    """Fits the ``featured`` documents on at most about ``rows`` positives and ``rows`` unlabelled ones, all outside the
-    held-out third.
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior: float | None = None) -> Model:
+    """Fits on at most about ``rows`` positives and ``rows`` unlabelled documents, all outside the held-out third; ``docs``
+    may be ``featured`` already.
 
     Positives are drawn by a hash of doc_id among the documents labelled 1 (a doc_id with differing labels is not
     trusted), however many others there are; the unlabelled text is drawn by another hash among all. Means and scales
@@ -154,7 +156,8 @@ def train(rows_of: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, pri
     """
     learn = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n_positive = learn.agg(F.count_if(F.col("quality") == 1)).first()[0]
-    ours = rows_of.where(~held_out())
+    described = featured(docs)
+    ours = described.where(~held_out())
     n_ours = ours.select("doc_id").count()
     if not n_positive or not n_ours:
         n = len(features(b""))
@@ -174,7 +177,7 @@ def train(rows_of: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, pri
     positive, unlabelled = x[got["positive"].to_numpy(dtype=bool)], x[got["unlabelled"].to_numpy(dtype=bool)]
     if not len(positive) or not len(unlabelled):
         raise ValueError(f"{n_positive} positive labels, but {len(positive)} positive and {len(unlabelled)} unlabelled documents drawn")
-    of = moments(rows_of)
+    of = moments(described)
     if prior is None:
         prior = class_prior(positive, unlabelled, of)
     return fit_nnpu(positive, unlabelled, prior, of=of)
