@@ -13,6 +13,8 @@ from .common import saved, text_of
 
 #: At most so many cells of the ring are counted, sent to the driver and broadcast back.
 MAX_CELLS = 131_072
+#: Rows that repeat id, size and checksum up to so often are numbered by one task; more are cut into parts of this size.
+COPIES = 100_000
 
 
 def ring(shards: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +55,13 @@ def bounded_loads(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -
     return pieces
 
 
-def place(docs: DataFrame, *, shards: int = 16, nodes: int = 64, cell_rows: int = 20_000, slack: float = 0.0) -> DataFrame:
-    """``(doc_id, size, text_crc32, shard, slot)`` for every row.
+def ranges(docs: DataFrame, *, shards: int = 16, nodes: int = 64, cell_rows: int = 20_000, slack: float = 0.0) -> DataFrame:
+    """``(doc_id, size, text_crc32, shard, first_slot, first_copy, n)``: ``n`` rows of one id, size and checksum that take
+    neighbouring slots of a shard, counted from ``first_copy`` among all such rows.
 
-    A key's position is a hash of its doc_id, or of the text's checksum if it has none; rows that share a position
-    are told apart by size and checksum. Capacity is ``(1 + slack)`` times the mean; without slack the first shards take the
-    remainder, so row counts are at most one apart. Slots run from 0 without gaps.
-
-    The ring is cut at the nodes and then evenly into cells of about ``cell_rows`` keys, ``MAX_CELLS`` at most. Cell
-    counts decide how many keys of each cell every shard takes; rows are ranked within their cell only, so no task
-    holds a shard. A hot doc_id cannot be split by its hash and stays in one cell.
+    The ring is cut at the nodes and then evenly into cells of about ``cell_rows`` keys, ``MAX_CELLS`` at most. Equal rows
+    are counted before the shuffle, so a row repeated without end is one entry with a count. Cell counts decide how many
+    rows of each cell every shard takes; entries are ranked within their cell only, so no task holds a shard.
     """
     spark = docs.sparkSession
     at, shard_of = ring(shards, nodes)
@@ -85,10 +84,11 @@ def place(docs: DataFrame, *, shards: int = 16, nodes: int = 64, cell_rows: int
         F.crc32(text_of()).alias("text_crc32"),
         F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.crc32(text_of()))).alias("position"),
     )
+    keyed = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n"))
     keyed = saved(keyed.withColumn("cell", cell("position")), "ring-keys")
     counts = np.zeros(len(at) * parts, dtype=np.int64)
-    for r in keyed.groupBy("cell").count().collect():  # at most MAX_CELLS rows
-        counts[r["cell"]] = r["count"]
+    for r in keyed.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most MAX_CELLS rows
+        counts[r["cell"]] = r["n"]
     total = int(counts.sum())
     if slack:
         capacity = np.full(shards, int(np.ceil((1 + slack) * total / shards)), dtype=np.int64)
@@ -96,11 +96,35 @@ def place(docs: DataFrame, *, shards: int = 16, nodes: int = 64, cell_rows: int
         capacity = total // shards + (np.arange(shards) < total % shards).astype(np.int64)
     pieces = bounded_loads(counts, np.repeat(shard_of, parts), capacity)
     cells = spark.createDataFrame(pieces, "piece_cell int, low long, high long, shard int, first_slot long")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("position", "doc_id", "size", "text_crc32")) - 1)
-    hit = (F.col("cell") == F.col("piece_cell")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    before = Window.partitionBy("cell").orderBy("position", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keyed.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    hit = (F.col("cell") == F.col("piece_cell")) & (F.col("rank") < F.col("high")) & (F.col("rank") + F.col("n") > F.col("low"))
+    start, end = F.greatest("rank", "low"), F.least(F.col("rank") + F.col("n"), F.col("high"))
     return ranked.join(F.broadcast(cells), hit).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("low")).alias("slot")
-    )
+        "doc_id", "size", "text_crc32", "shard",
+        (F.col("first_slot") + start - F.col("low")).alias("first_slot"), (start - F.col("rank")).alias("first_copy"), (end - start).alias("n"),
+    )
+
+
+def _each(found: DataFrame, step: int = COPIES) -> DataFrame:
+    """A row for each of the ``n`` rows of a range. Ranges of over ``step`` rows are cut and dealt to all tasks first."""
+    cut = found.where(F.col("n") > step).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(tasks, "doc_id", "at").withColumn("stop", F.least(F.col("at") + step, F.col("n")))
+    whole = found.where(F.col("n") <= step).withColumns({"at": F.lit(0).cast("long"), "stop": F.col("n")})
+    one = whole.unionByName(cut).withColumn("i", F.explode(F.sequence("at", F.col("stop") - 1)))
+    return one.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("i")).alias("slot"), (F.col("first_copy") + F.col("i")).alias("copy"))
+
+
+def place(docs: DataFrame, **how) -> DataFrame:
+    """``(doc_id, size, text_crc32, shard, slot)`` for every row.
+
+    A key's position is a hash of its doc_id, or of the text's checksum if it has none; rows that share a position
+    are told apart by size and checksum. Capacity is ``(1 + slack)`` times the mean; without slack the first shards take the
+    remainder, so row counts are at most one apart. Slots run from 0 without gaps. Rows that repeat id, size and checksum
+    take neighbouring slots and overflow clockwise as others do.
+    """
+    return _each(saved(ranges(docs, **how), "ring-ranges")).drop("copy")
 
 
 def shard_report(docs: DataFrame, *, shards: int = 16, **how) -> DataFrame:
@@ -110,21 +134,32 @@ def shard_report(docs: DataFrame, *, shards: int = 16, **how) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 16, **how) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``. Rows that repeat a doc_id are numbered, so each takes a slot of its own."""
-    def numbered(df: DataFrame) -> DataFrame:
-        same = Window.partitionBy("_ring_id", "_ring_crc", "_ring_size").orderBy("_ring_id")
-        return df.withColumn("_ring_n", F.row_number().over(same))
-
-    placed = place(docs, shards=shards, **how).select(
-        F.col("doc_id").alias("_ring_id"), F.col("text_crc32").alias("_ring_crc"), F.col("size").alias("_ring_size"), "shard", "slot"
-    )
+def shard_documents(docs: DataFrame, *, shards: int = 16, copies: int = COPIES, **how) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``. Rows that repeat a doc_id are numbered, so each takes a slot of its own; where
+    some row repeats over ``copies`` times, rows are dealt to parts of about so many first and numbered in these."""
+    found = saved(ranges(docs, shards=shards, **how), "ring-ranges")
+    most = found.agg(F.max(F.col("first_copy") + F.col("n"))).first()[0] or 0
+    key = ["_ring_id", "_ring_crc", "_ring_size"]
     marked = docs.drop("shard", "slot").withColumns(
         {"_ring_id": F.col("doc_id"), "_ring_crc": F.crc32(text_of()), "_ring_size": F.octet_length(text_of()).cast("long") + 1}
     )
-    left, right = numbered(marked), saved(numbered(placed), "ring-slots")
-    on = F.col("l._ring_id").eqNullSafe(F.col("r._ring_id"))
-    for c in ("_ring_crc", "_ring_size", "_ring_n"):
-        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    if most > copies:
+        parts = F.lit(-(-most // copies))
+        dealt = saved(marked.withColumn("_ring_part", F.pmod(F.monotonically_increasing_id(), parts)), "ring-dealt")
+        before = Window.partitionBy(*key).orderBy("_ring_part").rowsBetween(Window.unboundedPreceding, -1)
+        count = dealt.groupBy(*key, "_ring_part").agg(F.count("*").alias("_ring_n"))
+        count = count.withColumn("_ring_n", F.coalesce(F.sum("_ring_n").over(before), F.lit(0))).alias("c")
+        within = Window.partitionBy(*key, "_ring_part").orderBy("_ring_id")
+        dealt = dealt.withColumn("_ring_copy", F.row_number().over(within) - 1).alias("d")
+        same = F.lit(True)
+        for c in (*key, "_ring_part"):
+            same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
+        left = dealt.join(count, same).select("d.*", "c._ring_n").withColumn("_ring_copy", F.col("_ring_copy") + F.col("_ring_n"))
+    else:
+        left = marked.withColumn("_ring_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_ring_id")) - 1)
+    right = _each(found, copies)
+    on = F.col("l._ring_id").eqNullSafe(F.col("r.doc_id"))
+    for mine, other in (("_ring_crc", "text_crc32"), ("_ring_size", "size"), ("_ring_copy", "copy")):
+        on = on & (F.col(f"l.{mine}") == F.col(f"r.{other}"))
     columns = [F.col(f"l.{c}") for c in docs.columns if c not in ("shard", "slot")]
     return left.alias("l").join(right.alias("r"), on).select(*columns, "r.shard", "r.slot")
