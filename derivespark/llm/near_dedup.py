@@ -86,6 +86,27 @@ def _sets(k: int):
     return run
 
 
+def _tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "text", CHUNK_BYTES):
+            sets = lists([s.view(np.int64) for s in shingle_sets(texts, k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component")), sets], ["node", "component", "tokens"])
+
+    return run
+
+
+def _candidates(banded: DataFrame, label: str) -> DataFrame:
+    """``(node, component)`` of the nodes that share a key with another, by chains of shared keys, for rows ``(rep, key)``.
+    A node points to the smallest member of its keys, and the smallest members of its other keys do so too, once for
+    all nodes that say it: a hot key gives no pairs and a node one edge of its own."""
+    shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
+    met = banded.join(shared, "key").where("rep <> low").select("rep", "low")
+    met = saved(met.withColumn("first", F.min("low").over(Window.partitionBy("rep"))), label + "-met")  # over one node's keys
+    near = met.groupBy(F.col("rep").alias("a")).agg(F.first("first").alias("b"))
+    near = near.unionByName(met.where("low <> first").select(F.col("low").alias("a"), F.col("first").alias("b")).distinct())
+    return components(near, label + "-clusters")
+
+
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links ``100 * intersection >= percent * union`` that join all sets which such links connect: a forest, not all
     pairs. A search from each set counts shared shingles with the sets not yet reached through their postings."""
@@ -134,6 +155,20 @@ def _verify(percent: int):
     return run
 
 
+def _rare_shingles(texts: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``(node, key)``: the shingles, rarest within the cluster first, of which linked sets must share one, without those
+    that no other member has."""
+    sets = texts.join(members.select("node", "component"), texts["doc_id"] == members["node"]).select("doc_id", "component", "text")
+    sets = sets.mapInArrow(_tokens(shingle), "node long, component long, tokens array<long>")
+    size = F.size("tokens")
+    prefix = size - F.ceil(percent * size / 100) + 1
+    each = sets.select("node", "component", F.xxhash64("tokens").alias("set"), prefix.alias("prefix"), F.explode("tokens").alias("token"))
+    held = each.groupBy("component", "token").agg(F.count("*").alias("holders")).where("holders > 1")
+    each = each.join(held, ["component", "token"], "left")
+    rank = F.row_number().over(Window.partitionBy("node", "set").orderBy(F.coalesce("holders", F.lit(1)), "token"))
+    return each.withColumn("rank", rank).where("rank <= prefix and holders > 1").select("node", F.xxhash64("component", "token").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, rows: int = 8) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -144,13 +179,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     doc_id link with nothing and stay. Other columns are ignored.
 
     Documents with equal sets form a class, which the smallest doc_id stands for. Classes that meet in a band form
-    candidate clusters: a class points to the smallest member of its buckets, and the smallest members of its other
-    buckets do so too, once for all classes that say it, so a hot bucket gives no pairs and a class one edge of its own.
-    Every link lies inside a cluster. A task takes the full sets of small clusters together. A large cluster is cut into blocks, and each
-    block is verified together with the cluster's smallest member: near copies of one text come together there, at a cost
-    that follows the cluster's size. Only members that did not reach the smallest one, if any, are then compared with
-    all blocks, a block of them at a time. So every pair that could join two components is met within bounded memory,
-    and only a forest of links leaves a task.
+    candidate clusters; every link lies inside one. A task takes the full sets of small clusters together. A large cluster
+    is cut into blocks, and each block is verified together with the cluster's smallest member: near copies of one text
+    come together there, at a cost that follows the cluster's size. If some members do not reach the smallest one, the
+    cluster is divided: linked sets share one of the rarest shingles of both (the prefix of a set that leaves too few
+    others for a link), so only rare shingles whose holders are still in different components can join these, and
+    their holders form new, smaller clusters, which are verified likewise, until none is open. Where a round leaves over
+    half of the members open, as in a chain of versions, the blocks of a cluster meet in pairs instead. So every pair that
+    could join two components is met within bounded memory, and only a forest of links leaves a task.
     """
     bands, rows = band_plan(percent, rows)
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -163,44 +199,54 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         "minhash-classes",
     )
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
-    met = banded.join(shared, "key").where("rep <> low").select("rep", "low")
-    met = saved(met.withColumn("first", F.min("low").over(Window.partitionBy("rep"))), "minhash-met")  # over one class's bands
-    near = met.groupBy(F.col("rep").alias("a")).agg(F.first("first").alias("b"))
-    near = near.unionByName(met.where("low <> first").select(F.col("low").alias("a"), F.col("first").alias("b")).distinct())
-    clusters = components(near, "minhash-clusters")
-
-    sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    load = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = sized.join(load, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = saved(members, "minhash-members")
+    clusters = _candidates(banded, "minhash")
     total = classes.agg(F.sum("n")).first()[0] or 0
     bundles = F.lit(max(1, 2 * total // BLOCK_SHINGLES))
 
-    def verified(units: DataFrame) -> DataFrame:
+    def blocked(clusters: DataFrame) -> DataFrame:
+        sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+        load = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        return saved(sized.join(load, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "minhash-members")
+
+    def verified(members: DataFrame, pairs: bool = False) -> DataFrame:
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if pairs:
+            units = F.transform(every, lambda i: F.xxhash64("component", F.least("block", i), F.greatest("block", i)))
+        else:
+            own = F.when(F.col("node") == F.col("component"), every).otherwise(F.array("block"))
+            units = F.transform(own, lambda i: F.xxhash64("component", i))
+        units = F.when(F.col("blocks") > 1, units).otherwise(F.array(F.pmod(F.xxhash64("component"), bundles)))
+        units = members.select("node", "component", units.alias("units"))
         sets = texts.join(units, texts["doc_id"] == units["node"]).select("doc_id", "component", "units", "text")
         sets = sets.mapInArrow(_sets(shingle), "doc_id long, component long, units array<long>, shingles binary")
         each = sets.select("doc_id", "component", "shingles", F.explode("units").alias("unit"))
         return saved(each.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
 
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = F.when(F.col("node") == F.col("component"), every).otherwise(F.array("block"))
-    units = F.when(F.col("blocks") > 1, F.transform(own, lambda i: F.xxhash64("component", i))).otherwise(F.array(F.pmod(F.xxhash64("component"), bundles)))
-    links = verified(members.select("node", "component", units.alias("units")))
-
-    large = members.where("blocks > 1")
+    members = blocked(clusters)
+    links = verified(members)
     linked = components(links, "minhash-components")
-    apart = large.join(linked.select("node", F.col("component").alias("reached")), "node", "left").where("reached is null or reached <> component")
-    apart = saved(apart.drop("reached"), "minhash-apart")
+    reached = F.coalesce("reached", "node")
+    labels = lambda: linked.select("node", F.col("component").alias("reached"))
+    apart = members.where("blocks > 1").join(labels(), "node", "left").where(reached != F.col("component"))
+    apart = saved(apart.select("component").distinct(), "minhash-apart")
     if apart.limit(1).count():
-        rests = apart.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("rests"))
-        paired = large.join(rests, "component").join(apart.select("node", F.lit(True).alias("is_apart")), "node", "left")
-        rest = F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int")
-        unit = lambda i, j: F.xxhash64("component", i, j)
-        met = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: unit(F.col("block"), j))
-        meets = F.when(F.col("is_apart"), F.transform(every, lambda i: unit(i, rest))).otherwise(F.array().cast("array<long>"))
-        links = links.unionByName(verified(paired.select("node", "component", F.array_union(met, meets).alias("units"))))
-        linked = components(links, "minhash-components")
+        rare = saved(_rare_shingles(texts, members.join(apart, "component", "left_semi"), shingle, percent), "minhash-rare")
+        waiting = None
+        while True:
+            held = rare.join(labels(), "node", "left").withColumn("reached", reached)
+            spread = held.groupBy("key").agg(F.min("reached").alias("low"), F.max("reached").alias("high")).where("low < high")
+            held = rare.join(spread, "key", "left_semi").select(F.col("node").alias("rep"), "key")
+            members = blocked(_candidates(held, "minhash-open"))
+            found = members.count()
+            if not found:
+                break
+            pairs = waiting is not None and 2 * found > waiting
+            links = links.unionByName(verified(members, pairs))
+            linked = components(links, "minhash-components")
+            if pairs:
+                break
+            waiting = found
+            rare = saved(rare.join(members.where("blocks > 1"), "node", "left_semi"), "minhash-rare")  # the others are done
 
     reached = classes.select("same", "rep").join(linked, F.col("rep") == F.col("node"), "left")
     reached = reached.select(F.col("same").alias("of"), F.coalesce("component", "rep").alias("component"))
