@@ -135,6 +135,10 @@ def test_near_duplicates(spark, rows, docs, odd, none, monkeypatch):
     hot = drifted + copies
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, hot), shingle=3, percent=85).collect()}
     assert got == brute.near(hot, 3, 85)
+    for left, slots, whole in ((0, 50, 30), (60, 12, 60)):  # forms filled in, less alike than the links; two forms in one cluster
+        forms = [(i, " ".join([*(f"f{left and i % 2}{j}" for j in range(left)), *base[:whole], *(f"z{i}_{j}" for j in range(slots if i % 3 else 1))])) for i in range(1, 60)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, forms), shingle=3, percent=85).collect()}
+        assert got == brute.near(forms, 3, 85)
     found = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, shingle=3).collect())
     assert found == {(None, None, True): 2, (5, 5, True): 3, (6, 5, False): 1}
     assert near_dedup.near_duplicates(none).count() == 0
@@ -295,6 +299,11 @@ def test_sharding(spark, rows, docs, odd, none):
     placed = sharding.shard_documents(odd.unionByName(odd), shards=4)
     assert placed.count() == 12 == placed.select("shard", "slot").distinct().count()
     assert sharding.shard_report(none).count() == 0 == sharding.shard_documents(none).count()
+    hot = frame(spark, [(7, "a")] * 50 + [(None, None)] * 30 + [(i, f"t{i}") for i in range(20)])
+    spread = sharding.shard_documents(hot, shards=4, copies=8)  # rows of one key fill shards and go on clockwise
+    assert spread.drop("shard", "slot").exceptAll(hot.drop("slot")).count() == 0 and spread.count() == 100
+    assert {tuple(r) for r in spread.select("shard", "slot").collect()} == {(s, i) for s in range(4) for i in range(25)}
+    assert {tuple(r) for r in sharding.shard_report(hot, shards=4).select("shard", "slot").collect()} == {(s, i) for s in range(4) for i in range(25)}
 
 
 def test_sharding_against_a_plain_ring(spark, rows, docs):
