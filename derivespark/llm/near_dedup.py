@@ -155,6 +155,17 @@ def _verify(percent: int):
     return run
 
 
+def _joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``linked`` joined by further ``links``: only their components are looked at anew."""
+    for c in ("a", "b"):
+        at = linked.select(F.col("node").alias(c), F.col("component").alias("at"))
+        links = links.join(at, c, "left").withColumn(c, F.coalesce("at", c)).drop("at")
+    over = components(links, "minhash-joined")
+    known = linked.unionByName(over.select("node", F.col("node").alias("component")).join(linked.select("node"), "node", "left_anti"))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return saved(known.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "minhash-components")
+
+
 def _rare_shingles(texts: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``(node, key)``: the shingles, rarest within the cluster first, of which linked sets must share one, without those
     that no other member has."""
@@ -223,8 +234,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         return saved(each.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
 
     members = blocked(clusters)
-    links = verified(members)
-    linked = components(links, "minhash-components")
+    linked = components(verified(members), "minhash-components")
     reached = F.coalesce("reached", "node")
     labels = lambda: linked.select("node", F.col("component").alias("reached"))
     apart = members.where("blocks > 1").join(labels(), "node", "left").where(reached != F.col("component"))
@@ -241,8 +251,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
             if not found:
                 break
             pairs = waiting is not None and 2 * found > waiting
-            links = links.unionByName(verified(members, pairs))
-            linked = components(links, "minhash-components")
+            linked = _joined(linked, verified(members, pairs))
             if pairs:
                 break
             waiting = found
