@@ -136,30 +136,29 @@ def shard_report(docs: DataFrame, *, shards: int = 16, **how) -> DataFrame:
 
 def shard_documents(docs: DataFrame, *, shards: int = 16, copies: int = COPIES, **how) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``. Rows that repeat a doc_id are numbered, so each takes a slot of its own; where
-    some row repeats over ``copies`` times, rows are dealt to parts of about so many first and numbered in these."""
+    some row repeats over ``copies`` times, rows are dealt to parts of about so many first and numbered in these.
+
+    The ranges of equal rows are brought together before the join, so a text is shuffled once: its numbering takes place
+    where the join put it. An id, size and checksum has at most a range for each piece of its cell.
+    """
+    key = ["_ring_id", "_ring_crc", "_ring_size"]
+    ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_ring_id")  # null has one of its own
     found = saved(ranges(docs, shards=shards, **how), "ring-ranges")
     most = found.agg(F.max(F.col("first_copy") + F.col("n"))).first()[0] or 0
-    key = ["_ring_id", "_ring_crc", "_ring_size"]
-    marked = docs.drop("shard", "slot").withColumns(
-        {"_ring_id": F.col("doc_id"), "_ring_crc": F.crc32(text_of()), "_ring_size": F.octet_length(text_of()).cast("long") + 1}
-    )
+    found = found.select(ident, F.col("text_crc32").alias("_ring_crc"), F.col("size").alias("_ring_size"), F.struct("first_copy", "n", "shard", "first_slot").alias("range"))
+    taken = found.groupBy(*key).agg(F.collect_list("range").alias("_ring_ranges"))
+    marked = docs.drop("shard", "slot").withColumns({"_ring_id": ident, "_ring_crc": F.crc32(text_of()), "_ring_size": F.octet_length(text_of()).cast("long") + 1})
     if most > copies:
         parts = F.lit(-(-most // copies))
-        dealt = saved(marked.withColumn("_ring_part", F.pmod(F.monotonically_increasing_id(), parts)), "ring-dealt")
+        marked = saved(marked.withColumn("_ring_part", F.pmod(F.monotonically_increasing_id(), parts)), "ring-dealt")
         before = Window.partitionBy(*key).orderBy("_ring_part").rowsBetween(Window.unboundedPreceding, -1)
-        count = dealt.groupBy(*key, "_ring_part").agg(F.count("*").alias("_ring_n"))
-        count = count.withColumn("_ring_n", F.coalesce(F.sum("_ring_n").over(before), F.lit(0))).alias("c")
-        within = Window.partitionBy(*key, "_ring_part").orderBy("_ring_id")
-        dealt = dealt.withColumn("_ring_copy", F.row_number().over(within) - 1).alias("d")
-        same = F.lit(True)
-        for c in (*key, "_ring_part"):
-            same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
-        left = dealt.join(count, same).select("d.*", "c._ring_n").withColumn("_ring_copy", F.col("_ring_copy") + F.col("_ring_n"))
+        count = marked.groupBy(*key, "_ring_part").agg(F.count("*").alias("n"))
+        taken = count.withColumn("_ring_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(taken, key)
+        key = [*key, "_ring_part"]
     else:
-        left = marked.withColumn("_ring_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_ring_id")) - 1)
-    right = _each(found, copies)
-    on = F.col("l._ring_id").eqNullSafe(F.col("r.doc_id"))
-    for mine, other in (("_ring_crc", "text_crc32"), ("_ring_size", "size"), ("_ring_copy", "copy")):
-        on = on & (F.col(f"l.{mine}") == F.col(f"r.{other}"))
-    columns = [F.col(f"l.{c}") for c in docs.columns if c not in ("shard", "slot")]
-    return left.alias("l").join(right.alias("r"), on).select(*columns, "r.shard", "r.slot")
+        taken = taken.withColumn("_ring_before", F.lit(0))
+    placed = marked.join(taken, key).withColumn("_ring_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_ring_id")) - 1 + F.col("_ring_before"))
+    own = F.filter("_ring_ranges", lambda r: (r["first_copy"] <= F.col("_ring_copy")) & (F.col("_ring_copy") < r["first_copy"] + r["n"]))[0]
+    placed = placed.withColumn("_ring_own", own)
+    slot = F.col("_ring_own.first_slot") + F.col("_ring_copy") - F.col("_ring_own.first_copy")
+    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot")), F.col("_ring_own.shard").alias("shard"), slot.alias("slot"))
