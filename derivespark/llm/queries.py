@@ -11,9 +11,12 @@ from .exact_dedup import exact_dedup
 from .licenses import COPYRIGHT_LINES, KNOWN, SPELLINGS, license_scan
 from .mixing import HASH_RANGE, mix_report
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .quality import quality_report
+from .resample import importance_resample
 from .secrets import RULES, scan_secrets
 from .sharding import shard_report
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .warc import archive_report
 
@@ -68,10 +71,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), shortest=7, least=2, ratio=10, typo_every=31)
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 #: Near matches of ``op6_decontaminate``: words off their place, and the share of a window's words that is there.
 NEAR, LEAST = 1, 0.8
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality, op6_decontaminate, op7_mixing, op8_suffix_dedup, op9_secrets, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_exact_dedup, op3_sharding, op4_license_scan, op5_quality, op6_decontaminate, op7_mixing, op8_suffix_dedup, op9_secrets, op10_near_dedup, op11_spelling_variants, op12_importance_resample, op13_nearest_neighbours)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -113,6 +129,16 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULE
 FROM texts LEFT JOIN listed USING (doc_id)"""
 
 
+#: The table of crc32 by its rule, as a relation ``crc`` with the list ``t``; and the checksum of a text with it.
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32_sql(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
 SPAN = 10 + NEAR
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -187,4 +213,47 @@ rates AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate FROM ta
 SELECT doc_id, size, s.source_size, target, size * (floor(rate)::BIGINT + (hash < (rate - floor(rate)) * {HASH_RANGE}::DOUBLE)::BIGINT) AS taken, source
 FROM (SELECT z.*, r.source_size, target, rate FROM sized z JOIN rates r ON z.source IS NOT DISTINCT FROM r.source) s""",
     "op9_secrets": _secrets_sql(),
+    "op11_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+occurs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM occurs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32_sql("doc_id || ':' || run")} AS h FROM counted, crc),
+left_out AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM left_out WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+shorter AS (SELECT DISTINCT gaps.word AS a, words.word AS b FROM gaps JOIN words ON rest = words.word),
+pairs AS (
+  SELECT x.word AS a, y.word AS b FROM gaps x JOIN gaps y USING (p, rest) WHERE x.word <> y.word
+  UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+near AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM pairs JOIN words ON b = word GROUP BY a),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+follow AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT f.word, f.next, g.form FROM follow f JOIN formed g ON f.next = g.word)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN (SELECT word, root FROM follow WHERE next IS NULL) USING (word)""",
+    "op12_importance_resample": rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') AS w FROM documents),
+ours AS (SELECT row, unnest(w) AS word FROM d),
+theirs AS (SELECT unnest(regexp_extract_all({_LOWER.format("text")}, '{_WORD}')) AS word FROM benchmark),
+known AS (
+  SELECT word, {_crc32_sql("word")} % 10000 AS bucket
+  FROM (SELECT word FROM ours UNION SELECT word FROM theirs), crc),
+s AS (SELECT bucket, count(*) AS n FROM ours JOIN known USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM theirs JOIN known USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS all_s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS all_t),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (all_s + 10000) / ((s.n + 1) * (all_t + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), sums),
+weighed AS (
+  SELECT row, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM ours JOIN known USING (word) JOIN gain USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (row)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM placed""",
 }
