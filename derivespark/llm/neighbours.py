@@ -48,11 +48,13 @@ def _padded(values: pa.ListArray, width: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_name: str, vector_name: str) -> DataFrame:
-    """``(id, vector)``: rows with an id whose vector has only finite components, one of them not zero."""
+    """``(id, vector)``: a row for each id of which some vector has only finite components, one of them not zero; of
+    several the least, component by component."""
     x = F.col(vector_name).cast("array<double>")
     sound = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))  # null and NaN pass neither
     some = F.exists("vector", lambda v: v != 0)
-    return vectors.select(F.col(id_name).cast("long").alias("id"), x.alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(sound & some)
+    rows = vectors.select(F.col(id_name).cast("long").alias("id"), x.alias("vector"))
+    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(sound & some).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
 def classes(points: DataFrame, k: int) -> DataFrame:
@@ -60,7 +62,7 @@ def classes(points: DataFrame, k: int) -> DataFrame:
     vectors can be among the ``k`` nearest. Spark limits each task's rows of a vector so before it shuffles them. Numbers
     of classes follow their smallest ids."""
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    few = points.distinct().withColumn("_nth", first).where(F.col("_nth") <= k + 1)
+    few = points.withColumn("_nth", first).where(F.col("_nth") <= k + 1)
     grouped = saved(few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), "forest-vectors")
     ordered = grouped.repartitionByRange("ids", "vector").sortWithinPartitions("ids", "vector")
     return ordered.select(F.monotonically_increasing_id().alias("class"), "ids", "vector")
@@ -224,8 +226,8 @@ def nearest(
     """``query_id, rank, vec_id, score``: for each row of ``queries`` the ``k`` rows of ``points`` with another id and the
     largest inner product found, nearest first, ties to smaller ids; all, if there are fewer.
 
-    Vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do rows without an id. Rows
-    that share an id are one point that is as near as the nearest of its vectors; a shorter vector reads as if zeros
+    Vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do rows without an id. Of
+    rows that share an id the one with the least vector counts, component by component; a shorter vector reads as if zeros
     followed. Equal vectors are searched as one and given back under each of their ids. Other columns are ignored.
 
     A tree holds all points sorted by a string of random bits that near points tend to share. A query first descends, in all
@@ -237,7 +239,7 @@ def nearest(
     Blocks of points meet blocks of queries by a join on tree and first bits; groups of equal first bits are dealt to
     blocks of bounded size on both sides, so a hot string is many small products instead of one task."""
     spark = points.sparkSession
-    sound, asking = usable(points, point_id, vector), usable(queries, query_id, vector).distinct()
+    sound, asking = usable(points, point_id, vector), usable(queries, query_id, vector)
     square = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
     width, most = sound.agg(F.max(F.size("vector")), F.max(square)).first()
     width = max(width or 0, asking.agg(F.max(F.size("vector"))).first()[0] or 0)
@@ -267,13 +269,13 @@ def nearest(
     last = found.where(F.col("nth") == k + 1).select(F.col("query_id").alias("id"), F.col("score").alias("last"))
     cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("last") / (F.col("length") * planes.norm)))
     same = F.lit(1.0) - F.acos(cosine) / math.pi
-    least = F.floor(F.when(same >= 1, BITS).otherwise(math.log(1 - miss ** (1 / trees)) / F.log(same)))
-    risen = first.join(last, "id", "left").withColumn("needed", F.coalesce(F.least(least, F.lit(BITS)), F.lit(0)).cast("int")).where("needed < level")
+    least = F.when(same >= 1, F.lit(BITS)).otherwise(F.floor(math.log(1 - miss ** (1 / trees)) / F.log(same)))
+    needed = F.when(F.col("last").isNull() | least.isNull(), 0).otherwise(F.least(least, F.lit(BITS)))  # too few found, or the opposite way: all points
+    risen = first.join(last, "id", "left").withColumn("needed", needed.cast("int")).where("needed < level")
     risen = saved(risen.select("id", "x", "hashes", F.col("needed").alias("level")), "forest-risen")
     more = _search(blocks, risen, bits, k + 1, width, kinds)
     found = found.join(risen.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
 
     each = found.join(distinct.select("class", "ids"), "class").select("query_id", F.explode("ids").alias("vec_id"), "score")
-    each = each.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.where("query_id <> vec_id").withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
