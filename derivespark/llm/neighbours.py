@@ -18,9 +18,11 @@ BITS = 64
 BLOCK_ROWS, QUERY_ROWS = 2048, 256
 #: Queries descend to the longest prefixes at which their trees together hold so many candidates for each neighbour wanted.
 AMPLE = 16
+#: Candidates that a task keeps before it drops all but the best of each query.
+HELD = 500_000
 
 BLOCKS = "tree int, cell long, ids binary, hashes binary, vectors binary"
-FOUND = "query_id long, classes array<long>, scores array<double>"
+FOUND = "query_id long, class long, score double"
 
 
 class Planes:
@@ -165,25 +167,39 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every row of ``q`` the ids and exact scores of the ``k`` rows of ``x`` with the largest inner product, ties to
-    smaller ids. A matrix product finds all that rounding could put among these, and those are added up again."""
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Row of ``q``, id and exact score of the ``k`` rows of ``x`` with the largest inner product with each, ties to smaller
+    ids. A matrix product finds all that rounding could put among these, and those are added up again."""
     rough = q @ x.T
     take = min(k, len(x))
     least = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take]
     slack = 1e-12 * np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", x, x).max())
     row, column = np.nonzero(rough >= (least - slack)[:, None])
-    score = _exact(q[row], x[column])
-    order = np.lexsort((ids[column], -score, row))
-    row, column, score = row[order], column[order], score[order]
-    first = np.searchsorted(row, np.arange(len(q)))
-    return [(ids[column[f : f + take]], score[f : f + take]) for f in first]
+    return best_candidates(row, ids[column], _exact(q[row], x[column]), k)
+
+
+def best_candidates(query: np.ndarray, classes: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best different classes of each query, ties to smaller ones."""
+    order = np.lexsort((classes, -score, query))
+    query, classes, score = query[order], classes[order], score[order]
+    new = np.r_[True, (query[1:] != query[:-1]) | (classes[1:] != classes[:-1])][: len(query)]  # equal classes score alike
+    query, classes, score = query[new], classes[new], score[new]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return query[nth < k], classes[nth < k], score[nth < k]
 
 
 def _searched(k: int, width: int, kinds: tuple[str, str]):
-    """The ``k`` best of a block's candidates for each query that asks it: those whose strings share the query's level."""
+    """The ``k`` best of a task's candidates for each query: points of its blocks whose strings share the query's level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def best() -> tuple[np.ndarray, ...]:
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            return best_candidates(*(np.concatenate(x) for x in zip(none, *held, strict=True)), k)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 asks = batch.column("asks")[i]
@@ -195,14 +211,19 @@ def _searched(k: int, width: int, kinds: tuple[str, str]):
                 low, high = _ranges(hashes, wanted, level)
                 order = np.lexsort((high, low))
                 cuts = np.flatnonzero(np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
-                out = []
                 for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):  # queries with one range together
                     which, (f, t) = order[a:b], (low[order[a]], high[order[a]])
                     if t > f:
-                        out += [(queries[w], *best) for w, best in zip(which, best_of(q[which], x[f:t], ids[f:t], k), strict=True)]
-                sizes = pa.array(np.cumsum([0] + [len(c) for _, c, _ in out]).astype(np.int32))
-                flat = [np.concatenate([np.zeros(0, t), *(o[j] for o in out)]) for j, t in ((1, np.int64), (2, np.float64))]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *(pa.ListArray.from_arrays(sizes, pa.array(v)) for v in flat)], ["query_id", "classes", "scores"])
+                        row, classes, score = best_of(q[which], x[f:t], ids[f:t], k)
+                        held.append((queries[which[row]], classes, score))
+                        size += len(row)
+            if size > HELD:
+                held = [best()]
+                size = len(held[0][0])
+                if 2 * size > HELD:  # so many queries
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "class", "score"])
+                    held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best()], ["query_id", "class", "score"])
 
     return run
 
@@ -213,9 +234,7 @@ def _search(trees: DataFrame, asked: DataFrame, bits: int, k: int, width: int, k
     found = blocks.join(trees, ["tree", "cell"]).select("asks", "ids", "hashes", "vectors")
     with small_batches(trees.sparkSession, 16):
         each = saved(found.mapInArrow(_searched(k, width, kinds), FOUND), "forest-found")
-    pairs = each.select("query_id", F.explode(F.arrays_zip("classes", "scores")).alias("f"))
-    pairs = pairs.select("query_id", F.col("f.classes").alias("class"), F.col("f.scores").alias("score"))
-    pairs = pairs.groupBy("query_id", "class").agg(F.max("score").alias("score"))
+    pairs = each.groupBy("query_id", "class").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "class"))
     return saved(pairs.withColumn("nth", best).where(F.col("nth") <= k), "forest-best")
 
