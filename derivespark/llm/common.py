@@ -56,11 +56,12 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def text_batches(docs: DataFrame) -> DataFrame:
-    """``docs`` for a Python step over whole texts: batches of few rows, so that a worker's memory follows the text of a
-    few documents and not of Spark's usual 10,000."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return docs
+def whole_id(docs: DataFrame) -> Column:
+    """``doc_id`` as a long; ids of another kind have no such number and are refused."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"doc_id is {kind}: this operator takes whole numbers; number the documents first")
+    return F.col("doc_id").cast("long").alias("doc_id")
 
 
 def release(spark: SparkSession) -> None:

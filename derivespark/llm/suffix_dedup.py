@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U, chunks, rolling, window_min
-from .common import release, saved, text_batches
+from .common import new_path, release, saved, small_batches, whole_id
 
 #: A passage has so many bytes; any passage holds exactly one least hash among its GRAM-byte windows, its anchor.
 LENGTH, GRAM = 50, 26
@@ -22,10 +22,12 @@ CHUNK_BYTES = 1_500_000
 #: Text whose anchors, and whose open passages, one task takes.
 ANCHOR_SHARE, MERGE_SHARE, TABLE_SHARE = 16_000_000, 5_000_000, 32_000_000
 NOBODY = np.iinfo(np.int64).max
+#: Buckets from this number on are parts of another one, by passage.
+PARTS = 2**24
 
 CHUNK = "chunk_id long, doc_ids array<long>, sizes array<int>, text binary"
 ANCHORS = "bucket int, chunk_id long, anchors binary, low binary, many binary"
-OPEN = "bucket int, chunk_id long, place binary, doc binary, start binary, count binary, text binary, size int"
+OPEN = "bucket long, chunk_id long, place binary, doc binary, start binary, count binary, text binary, size int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -335,28 +337,56 @@ def _merge(last: bool):
     return run
 
 
-def _merged(opened: DataFrame) -> DataFrame:
-    """What is covered. A bucket with much more than ``MERGE_SHARE`` of text, as of a passage that every chunk has, is
-    merged in groups of chunks first: of equal passages one a group stays open, so rounds go on as long as they halve it."""
-    covered, before, rounds = [opened.where("bucket < 0")], {}, 0
+def _by_passage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open passages one by one, each in the part of its bucket that its own hash gives."""
+    for row in _rows(batches):
+        take = lambda c, kind: np.frombuffer(row[c], kind).astype(np.int64)  # noqa: B023, E731
+        place, doc, start, count = take("place", "<i4"), take("doc", "<i8"), take("start", "<i4"), take("count", "<i4")
+        buf = np.frombuffer(row["text"], dtype=np.uint8)
+        segment = np.repeat(np.arange(len(count)), count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        length = count + LENGTH - 1
+        at = (np.cumsum(length) - length)[segment] + step
+        parts = (rolling(buf, LENGTH)[at] % U(row["parts"])).astype(np.int64)
+        out = []
+        for part, i in _dealt(parts):
+            text = buf[at[i][:, None] + np.arange(LENGTH)].tobytes()
+            s = segment[i]
+            out.append(((row["bucket"] + 1) * PARTS + part, row["chunk_id"], _binary(place[s], "<i4"), _binary(doc[s], "<i8"), _binary(start[s] + step[i], "<i4"), _binary(np.ones(len(i)), "<i4"), text, len(text)))
+        yield _table(out, OPEN)
+
+
+def _shrunk(opened: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Open passages in buckets of about ``MERGE_SHARE`` of text that one task each can take, and what is covered already.
+
+    A bucket with much more, as of a passage that every chunk has, is merged in groups of chunks first: of equal passages
+    one a group stays open, so rounds go on as long as they halve it. A bucket that they don't halve holds different
+    passages around one anchor; these are dealt to parts by the hash of the whole passage, which equal ones share."""
+    covered, before = [opened.where("bucket < 0")], {}
     opened = opened.where("bucket >= 0")
     while True:
         sizes = opened.groupBy("bucket").agg(F.sum("size").alias("volume")).where(F.col("volume") > 4 * MERGE_SHARE)
         heavy = {r["bucket"]: r["volume"] for r in sizes.collect()}  # a few buckets far above the mean
-        heavy = {b: v for b, v in heavy.items() if v <= before.get(b, v * 2) // 2}
-        if not heavy:
-            break
-        before |= heavy
-        rounds += 1
-        named = opened.sparkSession.createDataFrame(list(heavy.items()), "heavy int, volume long")
+        halved = {b: v for b, v in heavy.items() if v <= before.get(b, v * 2) // 2}
+        mixed = {b: v for b, v in heavy.items() if b not in halved and b < PARTS}
+        if not halved and not mixed:
+            return opened, covered
+        before |= halved
+        ways = [(b, -(-v // (2 * MERGE_SHARE)), 0) for b, v in halved.items()] + [(b, 0, -(-v * (LENGTH // 2) // MERGE_SHARE)) for b, v in mixed.items()]
+        named = opened.sparkSession.createDataFrame(ways, "heavy long, groups long, parts long")
         dealt = opened.join(F.broadcast(named), F.col("bucket") == F.col("heavy"), "left")
-        groups = F.ceil(F.col("volume") / (2 * MERGE_SHARE)).cast("int")
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("chunk_id", F.lit(rounds)), groups))
-        round_ = dealt.where("heavy IS NOT NULL").groupBy("bucket", "part").applyInPandas(_merge(False), OPEN)
-        after = saved(round_.unionByName(dealt.where("heavy IS NULL").drop("heavy", "volume", "part")), "suffix-open")
+        grouped = dealt.where("groups > 0").withColumn("part", F.pmod(F.xxhash64("chunk_id", F.lit(len(covered))), F.col("groups")))
+        round_ = grouped.groupBy("bucket", "part").applyInPandas(_merge(False), OPEN)
+        apart = dealt.where("parts > 0").mapInArrow(_by_passage, OPEN)
+        after = saved(round_.unionByName(apart).unionByName(dealt.where("heavy IS NULL").drop("heavy", "groups", "parts")), "suffix-open")
         covered.append(after.where("bucket < 0"))
         opened = after.where("bucket >= 0")
-    out = opened.groupBy("bucket").applyInPandas(_merge(True), OPEN)
+
+
+def _merged(opened: DataFrame) -> DataFrame:
+    """What is covered."""
+    rest, covered = _shrunk(opened)
+    out = rest.groupBy("bucket").applyInPandas(_merge(True), OPEN)
     for one in covered:
         out = out.unionByName(one)
     return out.select("chunk_id", "place", "start", "count")
@@ -397,28 +427,32 @@ def suffix_dedup(docs: DataFrame, *, keep_bytes: bool = False) -> DataFrame:
     what repeats inside it; only passages of its least documents go on, to the bucket of their anchor. There the passages
     that several chunks have, as a hash tells, are sorted, one of each, and all are found among them by binary search on
     their bytes. A passage in any number of documents reaches a bucket once or so from each chunk, and a bucket that grows
-    so is merged in rounds. One text is never cut: a task holds some fifty bytes a byte of the longest.
+    so is merged in rounds; one that different passages fill is cut by the passages' own hashes. A doc_id of another kind
+    than a whole number is an error. One text is never cut: a task holds some fifty bytes a byte of the longest.
     """
     spark = docs.sparkSession
-    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = docs.select(whole_id(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = lambda part: int(max(1, -(-volume // part)))
     name = f"suffix_chunks_{uuid.uuid4().hex}"
     buckets = max(share(TABLE_SHARE), int(spark.conf.get("spark.sql.shuffle.partitions")))  # fewer, and a join would shuffle the text
-    texts.mapInArrow(_write_chunks, CHUNK).write.bucketBy(buckets, "chunk_id").option("compression", "zstd").saveAsTable(name)
-    stored = spark.table(name)
-
-    anchors = stored.mapInArrow(_anchors(share(ANCHOR_SHARE)), ANCHORS)
-    repeated = anchors.groupBy("bucket").applyInPandas(_repeated, "chunk_id long, anchors binary")
-    repeated = saved(repeated, "suffix-anchors")
-    release(spark)
-    repeated = repeated.groupBy("chunk_id").agg(F.collect_list("anchors").alias("repeated"))
-    opened = saved(stored.join(repeated, "chunk_id").mapInArrow(_open_passages(share(MERGE_SHARE)), OPEN), "suffix-open")
-    release(spark)
-    covered = saved(_merged(opened), "suffix-covered")
-    release(spark)
-    covers = covered.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "start", "count")).alias("covers"))
-    cut = stored.join(covers, "chunk_id", "left").mapInArrow(_cut, RESULT)
-    result = saved(cut if keep_bytes else cut.drop("kept"), "suffix-kept")
-    spark.sql(f"DROP TABLE {name}")
-    return result
+    with small_batches(spark):
+        written = texts.mapInArrow(_write_chunks, CHUNK).write.bucketBy(buckets, "chunk_id").option("compression", "zstd")
+        written.option("path", new_path(spark, "suffix-chunks")).saveAsTable(name)  # for the buckets; the files are in the shared folder
+    try:
+        stored = spark.table(name)
+        anchors = stored.mapInArrow(_anchors(share(ANCHOR_SHARE)), ANCHORS)
+        repeated = anchors.groupBy("bucket").applyInPandas(_repeated, "chunk_id long, anchors binary")
+        with small_batches(spark):
+            repeated = saved(repeated, "suffix-anchors")
+            release(spark)
+            repeated = repeated.groupBy("chunk_id").agg(F.collect_list("anchors").alias("repeated"))
+            opened = saved(stored.join(repeated, "chunk_id").mapInArrow(_open_passages(share(MERGE_SHARE)), OPEN), "suffix-open")
+            release(spark)
+            covered = saved(_merged(opened), "suffix-covered")
+            release(spark)
+            covers = covered.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "start", "count")).alias("covers"))
+            cut = stored.join(covers, "chunk_id", "left").mapInArrow(_cut, RESULT)
+            return saved(cut if keep_bytes else cut.drop("kept"), "suffix-kept")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
