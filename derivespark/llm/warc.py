@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 import pyarrow.fs
@@ -16,7 +17,7 @@ from .common import new_path, saved, small
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
-    "content_type string, content_length long, http_length long, payload binary"
+    "content_type string, content_length long, http_length long, truncated boolean, payload binary"
 )
 #: WARC header of each column that a predicate can reach.
 HEADERS = {
@@ -43,6 +44,7 @@ class _Inflated(io.RawIOBase):
 
     def __init__(self, raw) -> None:
         self.raw, self.inner, self.rest = raw, zlib.decompressobj(31), b""
+        self.started = self.cut = False
 
     def readable(self) -> bool:
         return True
@@ -51,9 +53,11 @@ class _Inflated(io.RawIOBase):
         while True:
             data = self.rest or self.raw.read(1 << 16)
             if not data:
+                self.cut = self.started and not self.inner.eof
                 return 0
             if self.inner.eof:
                 self.inner = zlib.decompressobj(31)
+            self.started = True
             out = self.inner.decompress(data, len(into))
             self.rest = self.inner.unused_data if self.inner.eof else self.inner.unconsumed_tail
             if out:
@@ -61,31 +65,47 @@ class _Inflated(io.RawIOBase):
                 return len(out)
 
 
-def records(stream, wanted, with_payload: bool) -> Iterator[tuple]:
+def records(stream, wanted, with_payload: bool, mark: bool = False) -> Iterator[tuple]:
     """Records whose header passes ``wanted``. Headers are read first; the block of any other record is skipped, and so
-    is a wanted record's payload if no one asks for it."""
-    seekable = not isinstance(stream.raw, _Inflated)
-
-    def skip(n: int) -> None:
-        if seekable:
-            stream.seek(n, io.SEEK_CUR)
-        else:
-            while n > 0 and (got := len(stream.read(min(n, 1 << 20)))):
-                n -= got
+    is a wanted record's payload if no one asks for it.
+
+    A file that ends within a record is an error; with ``mark`` that record is given as far as it goes and marked as
+    truncated, if its header is whole."""
+    inflated = stream.raw if isinstance(stream.raw, _Inflated) else None
+    size = stream.seek(0, io.SEEK_END) if inflated is None else 0
+    if inflated is None:
+        stream.seek(0)
+
+    def skip(n: int) -> int:
+        """Bytes that are missing after going on by ``n``."""
+        if inflated is None:
+            return max(0, stream.seek(n, io.SEEK_CUR) - size)
+        while n > 0 and (got := len(stream.read(min(n, 1 << 20)))):
+            n -= got
+        return n
+
+    def cut(what: str) -> None:
+        if not mark:
+            raise ValueError(f"the archive ends within {what}")
 
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {line[:40]!r}")
+            if inflated is None or not inflated.cut:
+                raise ValueError(f"no WARC record at {line[:40]!r}")
+            return cut("a header")
         head: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
+        if not line:
+            return cut("a header")
         length = int(head["content-length"])
         values = {c: head.get(h) for c, h in HEADERS.items()}
         if not wanted(values):
-            skip(length)
+            if skip(length):
+                return cut("a record")
             continue
         http_length, http_bytes = None, 0
         if (values["content_type"] or "").startswith("application/http"):
@@ -98,27 +118,25 @@ def records(stream, wanted, with_payload: bool) -> Iterator[tuple]:
         payload = None
         if with_payload and values["record_type"] != "revisit":
             payload = stream.read(length - http_bytes)
+            missing = length - http_bytes - len(payload)
         else:
-            skip(length - http_bytes)
-        yield (*values.values(), length, http_length, payload)
+            missing = skip(length - http_bytes)
+        if missing:
+            cut("a record")
+        yield (*values.values(), length, http_length, missing > 0, payload)
+        if missing:
+            return
+    if inflated is not None and inflated.cut:
+        cut("a compressed record")
 
 
-class WarcReader(DataSourceReader):
+class PlainReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.with_payload, self.tests = options["path"], options.get("payload", "true") == "true", []
-
-    def pushFilters(self, filters):
-        """Equality, membership and prefix tests of header columns run on the headers; Spark keeps the rest."""
-        for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 and isinstance(f, EqualTo | In | StringStartsWith) else None
-            if column in HEADERS and isinstance(f, EqualTo):
-                self.tests.append((column, "in", (f.value,)))
-            elif column in HEADERS and isinstance(f, In):
-                self.tests.append((column, "in", tuple(f.value)))
-            elif column in HEADERS:
-                self.tests.append((column, "prefix", f.value))
-            else:
-                yield f
+        for column in HEADERS:  # options of the reader's own, whatever the session pushes
+            if f"only.{column}" in options:
+                self.tests.append((column, "in", tuple(json.loads(options[f"only.{column}"]))))
+        self.mark = {"error": False, "mark": True}[options.get("truncated", "error")]
 
     def partitions(self) -> list[Files]:
         fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
@@ -140,7 +158,7 @@ class WarcReader(DataSourceReader):
             return all(values[c] is not None and (values[c] in v if how == "in" else values[c].startswith(v)) for c, how, v in self.tests)
 
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split(" ")[1]] for c in SCHEMA.split(", ")]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split(" ")[1]] for c in SCHEMA.split(", ")]
         rows, size = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -151,7 +169,7 @@ class WarcReader(DataSourceReader):
                 gz = raw.read(2) == b"\x1f\x8b"
                 raw.seek(0)
                 stream = io.BufferedReader(_Inflated(raw) if gz else raw, 1 << 20)
-                for r in records(stream, wanted, self.with_payload):
+                for r in records(stream, wanted, self.with_payload, self.mark):
                     rows.append(r)
                     size += len(r[-1] or b"")
                     if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
@@ -161,8 +179,24 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
+class WarcReader(PlainReader):
+    def pushFilters(self, filters):
+        """Equality, membership and prefix tests of header columns run on the headers; Spark keeps the rest."""
+        for f in filters:
+            column = f.attribute[0] if len(f.attribute) == 1 and isinstance(f, EqualTo | In | StringStartsWith) else None
+            if column in HEADERS and isinstance(f, EqualTo):
+                self.tests.append((column, "in", (f.value,)))
+            elif column in HEADERS and isinstance(f, In):
+                self.tests.append((column, "in", tuple(f.value)))
+            elif column in HEADERS:
+                self.tests.append((column, "prefix", f.value))
+            else:
+                yield f
+
+
 class WarcSource(DataSource):
-    """``spark.read.format("warc").option("payload", "false").load(path)``: plain or gzipped WARC files, by file."""
+    """``spark.read.format("warc").option("payload", "false").load(path)``: plain or gzipped WARC files, by file. An archive
+    that ends within a record is an error, or with ``option("truncated", "mark")`` its last record has ``truncated``."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,14 +205,23 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> WarcReader:
-        return WarcReader(dict(self.options))
+    def reader(self, schema) -> PlainReader:
+        """Spark refuses a reader that takes predicates where the session does not push them."""
+        return (WarcReader if self.options.get("pushdown", "true") == "true" else PlainReader)(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(spark: SparkSession, path: str, *, payload: bool = True, truncated: str = "error", only: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The records under ``path``; with ``only`` those whose headers have one of the values given for each column. These
+    tests run on the headers always; predicates of a query do so if the session has
+    ``spark.sql.python.filterPushdown.enabled``, else Spark applies them to the records. No setting is changed."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("warc").options(payload=str(payload).lower(), truncated=truncated, pushdown=pushed)
+    for column, values in (only or {}).items():
+        if column not in HEADERS:
+            raise ValueError(f"{column} is no header column")
+        reader = reader.option(f"only.{column}", json.dumps(list(values)))
+    return reader.load(path)
 
 
 def _urn(c):
@@ -190,7 +233,7 @@ def write_warc(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00:00Z
 
     Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the smallest page_id is a response and the others
     revisit it without a payload. Null html is empty; a row without page_id is a response unless its payload
-    repeats; rows that repeat the smallest page_id are responses too. Blanks and control characters of a url are
+    repeats; rows that repeat the smallest page_id are responses too. A payload of any length is one record. Blanks and control characters of a url are
     percent-encoded as one blank, a null url is left out.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
