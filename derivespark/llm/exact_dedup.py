@@ -11,6 +11,8 @@ from .common import ascii_lower, new_path, saved, small, text_of
 
 #: Bits of one bitmap of ``bitmap_construct_agg``.
 BUCKET_BITS = 32768
+#: Digests that one task deals to the folders of several filters.
+COPY_ROWS = 25_000_000
 
 
 def repeated_slots(digests: DataFrame, bits: int) -> DataFrame:
@@ -33,6 +35,14 @@ def flagged(digests: DataFrame, bits: int, repeated: DataFrame) -> DataFrame:
     return joined.select("doc_id", "sha", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("maybe"))
 
 
+def by_range(digests: DataFrame, ranges: int, rows: int) -> DataFrame:
+    """``digests`` with ``range``, a folder for each. Few large tasks write them, as each has a file in every folder."""
+    tasks = max(digests.sparkSession.sparkContext.defaultParallelism, -(-rows // COPY_ROWS))
+    path = new_path(digests.sparkSession, "exact-ranges")
+    digests.withColumn("range", F.pmod(F.hash("sha"), F.lit(ranges))).coalesce(tasks).write.partitionBy("range").option("compression", "zstd").parquet(path)
+    return digests.sparkSession.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in digests.schema)}, range int").parquet(path)
+
+
 def exact_dedup(docs: DataFrame, *, bits_per_row: int = 32, filter_bits: int = 2**30) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -45,15 +55,18 @@ def exact_dedup(docs: DataFrame, *, bits_per_row: int = 32, filter_bits: int = 2
     ``bits_per_row`` of the others goes with them, the rest are unique for certain and pass straight through.
 
     A filter has ``filter_bits`` bits at most (128 MB, the bound of what is broadcast). More digests are split by a range
-    of their hashes into as many filters as keep the bits a row, and each reads the table of digests once.
+    of their hashes into as many filters as keep the bits a row; the table of digests is then dealt to a folder for each
+    range, by a copy without a shuffle, so that each filter reads its own rows and all together read the table once.
     """
     rows = saved(docs.select("doc_id", F.unhex(F.sha2(ascii_lower(text_of()), 256)).alias("sha")), "exact-digests")
     wanted = rows.count() * bits_per_row
     ranges = max(1, math.ceil(wanted / filter_bits))
     bits = max(1, math.ceil(wanted / ranges / BUCKET_BITS)) * BUCKET_BITS
+    if ranges > 1:
+        rows = by_range(rows, ranges, wanted // bits_per_row)
     path = new_path(rows.sparkSession, "exact-maybe")
     for k in range(ranges):
-        part = rows.where(F.pmod(F.hash("sha"), F.lit(ranges)) == k) if ranges > 1 else rows
+        part = rows.where(F.col("range") == k) if ranges > 1 else rows
         flagged(part, bits, saved(repeated_slots(part, bits), "exact-filter")).write.mode("append").parquet(path)
     marked = rows.sparkSession.read.schema("doc_id {}, sha binary, maybe boolean".format(dict(docs.dtypes)["doc_id"])).parquet(path)
 
