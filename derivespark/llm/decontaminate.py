@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ALNUM, chunks, lists
-from .common import ascii_lower, saved, text_batches, text_of
+from .common import ascii_lower, new_path, saved, small_batches, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Text of one block of the index; more query terms than this and the index holds every term; windows searched at once.
@@ -22,10 +22,11 @@ MAX_WINDOWS = 200_000
 #: Numbers of documents: a task, its blocks, a block's documents.
 TASK, BLOCK = 2**40, 2**16
 
-INDEX = "block long, doc_ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, positions array<int>"
+INDEX = "block long, doc_ids array<string>, n_words array<int>, terms array<binary>, counts array<int>, positions array<int>"
 HITS = "phrases_at array<int>, phrases_size array<int>, phrases_window array<long>, nears_at array<int>, nears_window array<long>"
-FOUND = "doc long, doc_id long, n_words long, n_hit long, phrase_starts array<int>, phrase_windows array<long>, near_starts array<int>, near_windows array<long>"
-KINDS = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+DOCUMENTS = "block long, doc_ids array<string>, n_words array<int>"
+FOUND = "doc long, doc_id string, n_words long, n_hit long, phrase_starts array<int>, phrase_windows array<long>, near_starts array<int>, near_windows array<long>"
+KINDS = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 
 def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
@@ -69,8 +70,9 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     if terms is not None:
         rows = terms.select("term").distinct().limit(MAX_TERMS + 1).collect()  # at most MAX_TERMS words of the query set
         wanted = {bytes(r["term"]): i for i, r in enumerate(rows)} if len(rows) <= MAX_TERMS else None
-    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return saved(texts.mapInArrow(_index_block(wanted), INDEX), "positional-index")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    with small_batches(docs.sparkSession):
+        return saved(texts.mapInArrow(_index_block(wanted), INDEX), "positional-index")
 
 
 def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
@@ -86,7 +88,8 @@ def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
     return each.join(numbered, "words").select("window", "words", "item_id")
 
 
-def _search(windows: list[tuple[int, list[bytes]]], frequency: dict[bytes, int], near: int, least: float):
+def _search(windows: list[tuple[int, list[bytes]]], frequency: dict[bytes, int], near: int, least: float, every: bool):
+    """Hits of ``windows`` in each block, with its documents if ``every`` block is reported; else of blocks with hits, alone."""
     ids = {w: i for i, w in enumerate(frequency)}
     freq = np.array([*frequency.values(), np.iinfo(np.int64).max], dtype=np.int64)  # words that no document has come last
     by_size: dict[int, list[int]] = {}
@@ -102,8 +105,11 @@ def _search(windows: list[tuple[int, list[bytes]]], frequency: dict[bytes, int],
         for batch in batches:
             for row in range(batch.num_rows):
                 block = {c: batch.column(c)[row] for c in batch.schema.names}
-                new = _search_block(block, ids, groups, near, least)
-                yield _batch([block[c].as_py() for c, _ in _fields(INDEX)] + [np.r_[block[c].values.to_numpy(), x] for (c, _), x in zip(_fields(HITS), new, strict=True)], f"{INDEX}, {HITS}")
+                hits = _search_block(block, ids, groups, near, least)
+                if every:
+                    yield _batch([block[c].as_py() for c, _ in _fields(DOCUMENTS)] + hits, f"{DOCUMENTS}, {HITS}")
+                elif len(hits[0]) or len(hits[3]):
+                    yield _batch([block["block"].as_py(), *hits], f"block long, {HITS}")
 
     return run
 
@@ -186,22 +192,30 @@ def search_index(index: DataFrame, windows: DataFrame, near: int = 0, least: flo
     A window starts from the posting list of its rarest term in the whole corpus and is checked against the next
     rarest in turn. With ``near``, a window also occurs nearly where its two rarest words that the corpus has, and
     ``least`` of all its words, stand at most ``near`` words off their places to the rarest one; ``near_starts`` has that
-    one's place. Tasks hold ``MAX_WINDOWS`` windows or so at a time; more are searched in rounds, each written before
-    the next.
+    one's place. Tasks hold ``MAX_WINDOWS`` windows or so at a time; more are searched in rounds, which read the index
+    and write a narrow row of hits for each block that has some. The index is never written again; all rounds' hits are
+    brought to their blocks once.
     """
     numbered = saved(windows.select("window", F.transform("words", lambda w: w.cast("binary")).alias("words")).distinct(), "windows")
     rounds = max(1, -(-numbered.count() // MAX_WINDOWS))
     counted = F.explode(F.arrays_zip("terms", "counts")).alias("t")
     sums = index.select(counted).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
-    state = index.select("*", *[F.array().cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in HITS.split(", ")])
+    path = new_path(index.sparkSession, "search-hits")
     for k in range(rounds):
         part = numbered.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == k)
         terms = part.select(F.explode("words").alias("term")).distinct()
         frequency = {bytes(r["term"]): r["n"] for r in sums.join(terms, "term").collect()}  # terms of this round's windows
         rows = [(r["window"], [bytes(w) for w in r["words"]]) for r in part.collect()]  # MAX_WINDOWS or so
-        state = state.mapInArrow(_search(rows, frequency, near, least), f"{INDEX}, {HITS}")
-        if k + 1 < rounds:  # the next round's tasks hold their own windows alone
-            state = saved(state, "search-round")
+        if rounds == 1:
+            state = index.mapInArrow(_search(rows, frequency, near, least, True), f"{DOCUMENTS}, {HITS}")
+            break
+        index.mapInArrow(_search(rows, frequency, near, least, False), f"block long, {HITS}").write.mode("append").parquet(path)
+    else:
+        names = [c for c, _ in _fields(HITS)]
+        hits = index.sparkSession.read.schema(f"block long, {HITS}").parquet(path)
+        hits = hits.groupBy("block").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])  # of one block's text
+        state = index.select(*[c for c, _ in _fields(DOCUMENTS)]).join(hits, "block", "left")
+        state = state.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in (f.split(" ") for f in HITS.split(", "))})
     return state.mapInArrow(_report, FOUND)
 
 
@@ -210,14 +224,16 @@ def contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10, near: int
     words occurs, ``phrase_starts``, and with ``near`` the ``near_items`` of which one occurs nearly, and ``near_starts``.
 
     Words are runs of characters other than ASCII ones that are neither letter nor digit, A-Z lower-cased. A null or
-    wordless text has no words and no hits; an item without words has no window; rows that repeat a doc_id or have
+    wordless text has no words and no hits; a doc_id may be of any type; an item without words has no window; rows that repeat a doc_id or have
     none are searched like any other; a text of any length is one piece of a block. Other columns are ignored.
 
     Only windows reach the tasks of the search; which items hold a window is joined to what was found.
     """
     windows = saved(windows_of(items, size), "item-windows")
     terms = windows.select(F.explode(F.transform("words", lambda w: w.cast("binary"))).alias("term"))
-    found = saved(search_index(build_index(docs, terms), windows.select("window", "words"), near, least), "window-hits")
+    with small_batches(docs.sparkSession):
+        found = saved(search_index(build_index(docs, terms), windows.select("window", "words"), near, least), "window-hits")
+    found = found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     holders = windows.select("window", "item_id")
     out = found.select("doc", "doc_id", "n_words", "n_hit", "phrase_starts", "near_starts")
     for kind, name in (("phrase", "items"), ("near", "near_items")):
