@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import U, chunks, lists, mix, shingle_sets
-from .common import components, saved, text_batches
+from .common import components, saved, small_batches, whole_id
 
 #: The two permutations of a set of up to LARGE shingles act on so many elements, and on all 64-bit numbers beyond: a set
 #: that filled much of a universe would share its least elements with any other such set.
@@ -141,7 +141,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     shingles of ``shingle`` words, or its whole sequence if it has fewer. Documents link if their sets share
     ``percent`` hundredths of their union; component_id is the smallest doc_id reachable. Null and wordless texts
     have an empty set and link with nothing. Rows that share a doc_id count as one document; rows without a
-    doc_id link with nothing and stay. Other columns are ignored.
+    doc_id link with nothing and stay; a doc_id of another kind than a whole number is an error. A text of any length is
+    one set; of a very long one the signature is taken over 64-bit numbers. Other columns are ignored.
 
     Documents with equal sets form a class, which the smallest doc_id stands for. Classes that meet in a band form
     candidate clusters: a class points to the smallest member of its buckets, and the smallest members of its other
@@ -153,10 +154,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     and only a forest of links leaves a task.
     """
     bands, rows = band_plan(percent, rows)
-    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = saved(
-        texts.mapInArrow(_signatures(shingle, percent, bands, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "minhash"
-    )
+    texts = docs.select(whole_id(docs), F.col("text").cast("string").cast("binary").alias("text"))
+    with small_batches(docs.sparkSession):
+        signed = saved(texts.mapInArrow(_signatures(shingle, percent, bands, rows), "doc_id long, n_shingles long, same binary, bands array<long>"), "minhash")
     known = signed.where("same is not null and doc_id is not null")
     classes = saved(
         known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")),
@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         sets = texts.join(units, texts["doc_id"] == units["node"]).select("doc_id", "component", "units", "text")
         sets = sets.mapInArrow(_sets(shingle), "doc_id long, component long, units array<long>, shingles binary")
         each = sets.select("doc_id", "component", "shingles", F.explode("units").alias("unit"))
-        return saved(each.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
+        with small_batches(docs.sparkSession):
+            return saved(each.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.when(F.col("node") == F.col("component"), every).otherwise(F.array("block"))

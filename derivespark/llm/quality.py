@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import chunks
-from .common import saved, text_batches
+from .common import saved, small_batches
 
 #: Positives drawn for the fit, and as many rows drawn as unlabelled text; their features fit on the driver whatever the
 #: input's size.
@@ -51,8 +52,9 @@ def featured(docs: DataFrame) -> DataFrame:
     """``(doc_id, x)``: the features of every whole text, written once for all that reads them; such a table as it is."""
     if docs.columns == ["doc_id", "x"]:
         return docs
-    texts = text_batches(docs).select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    return saved(texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "quality-features")
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    with small_batches(docs.sparkSession):
+        return saved(texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "quality-features")
 
 
 #: Features are summed as whole numbers of this fraction, so that the sums do not depend on the order of the tasks.
@@ -183,31 +185,33 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
     return fit_nnpu(positive, unlabelled, prior, of=of)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the score of the whole text and whether it is one half or more, under two
-    ``names`` that are not among ``keep``; null counts as empty, and a text of any length is scored as one."""
+def described(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the features of the whole text in a new column ``name``, written once: the text goes to Python, only
+    numbers come back. Null counts as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text", CHUNK_BYTES):
-            s = model.score(np.array([features(t) for t in texts]))
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, *names])
+    @F.pandas_udf("array<double>")
+    def of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: features(t or b""))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in docs.schema if f.name == c]
-    source = text_batches(docs).select(*dict.fromkeys([*keep, "text"]))
-    return source.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` double", f"`{names[1]}` int"]))
+    with small_batches(docs.sparkSession):
+        return saved(docs.withColumn(name, of(F.col("text").cast("string").cast("binary"))), "quality-described")
+
+
+def score(model: Model, name: str):
+    """The score from the features in the column ``name``."""
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+
+    return of(name)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``. Labels, lang, source and doc_id never reach the score;
-    rows with equal texts score alike; a null doc_id hashes as an empty one."""
+    rows with equal texts score alike, of any length; a null doc_id hashes as an empty one."""
     rows = featured(docs)
     model = train(rows, labels, **how)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
-
-    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = rows.select("doc_id", score(model, "x").alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

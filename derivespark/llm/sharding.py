@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import fresh_names, saved, text_of
 
 #: At most so many cells of the ring are counted, sent to the driver and broadcast back.
 MAX_CELLS = 131_072
@@ -122,7 +122,8 @@ def place(docs: DataFrame, **how) -> DataFrame:
     A key's position is a hash of its doc_id, or of the text's checksum if it has none; rows that share a position
     are told apart by size and checksum. Capacity is ``(1 + slack)`` times the mean; without slack the first shards take the
     remainder, so row counts are at most one apart. Slots run from 0 without gaps. Rows that repeat id, size and checksum
-    take neighbouring slots and overflow clockwise as others do.
+    take neighbouring slots and overflow clockwise as others do. A text of any length counts as one row; only its size and
+    checksum move.
     """
     return _each(saved(ranges(docs, **how), "ring-ranges")).drop("copy")
 
@@ -135,30 +136,33 @@ def shard_report(docs: DataFrame, *, shards: int = 16, **how) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 16, copies: int = COPIES, **how) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``. Rows that repeat a doc_id are numbered, so each takes a slot of its own; where
-    some row repeats over ``copies`` times, rows are dealt to parts of about so many first and numbered in these.
+    """``docs`` with ``shard`` and ``slot``, which take the place of columns that have these names; all others stay as they
+    are. Rows that repeat a doc_id are numbered, so each takes a slot of its own; where some row repeats over ``copies``
+    times, rows are dealt to parts of about so many first and numbered in these.
 
     The ranges of equal rows are brought together before the join, so a text is shuffled once: its numbering takes place
     where the join put it. An id, size and checksum has at most a range for each piece of its cell.
     """
-    key = ["_ring_id", "_ring_crc", "_ring_size"]
-    ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_ring_id")  # null has one of its own
+    ring_id, crc, size, part, taken_, before_, copy, own_ = fresh_names(docs, 8)
+    key = [ring_id, crc, size]
+    ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias(ring_id)  # null has one of its own
     found = saved(ranges(docs, shards=shards, **how), "ring-ranges")
     most = found.agg(F.max(F.col("first_copy") + F.col("n"))).first()[0] or 0
-    found = found.select(ident, F.col("text_crc32").alias("_ring_crc"), F.col("size").alias("_ring_size"), F.struct("first_copy", "n", "shard", "first_slot").alias("range"))
-    taken = found.groupBy(*key).agg(F.collect_list("range").alias("_ring_ranges"))
-    marked = docs.drop("shard", "slot").withColumns({"_ring_id": ident, "_ring_crc": F.crc32(text_of()), "_ring_size": F.octet_length(text_of()).cast("long") + 1})
+    found = found.select(ident, F.col("text_crc32").alias(crc), F.col("size").alias(size), F.struct("first_copy", "n", "shard", "first_slot").alias("range"))
+    taken = found.groupBy(*key).agg(F.collect_list("range").alias(taken_))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    marked = docs.select(*kept, ident, F.crc32(text_of()).alias(crc), (F.octet_length(text_of()).cast("long") + 1).alias(size))
     if most > copies:
         parts = F.lit(-(-most // copies))
-        marked = saved(marked.withColumn("_ring_part", F.pmod(F.monotonically_increasing_id(), parts)), "ring-dealt")
-        before = Window.partitionBy(*key).orderBy("_ring_part").rowsBetween(Window.unboundedPreceding, -1)
-        count = marked.groupBy(*key, "_ring_part").agg(F.count("*").alias("n"))
-        taken = count.withColumn("_ring_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(taken, key)
-        key = [*key, "_ring_part"]
+        marked = saved(marked.withColumn(part, F.pmod(F.monotonically_increasing_id(), parts)), "ring-dealt")
+        before = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        count = marked.groupBy(*key, part).agg(F.count("*").alias("n"))
+        taken = count.withColumn(before_, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(taken, key)
+        key = [*key, part]
     else:
-        taken = taken.withColumn("_ring_before", F.lit(0))
-    placed = marked.join(taken, key).withColumn("_ring_copy", F.row_number().over(Window.partitionBy(*key).orderBy("_ring_id")) - 1 + F.col("_ring_before"))
-    own = F.filter("_ring_ranges", lambda r: (r["first_copy"] <= F.col("_ring_copy")) & (F.col("_ring_copy") < r["first_copy"] + r["n"]))[0]
-    placed = placed.withColumn("_ring_own", own)
-    slot = F.col("_ring_own.first_slot") + F.col("_ring_copy") - F.col("_ring_own.first_copy")
-    return placed.select(*(c for c in docs.columns if c not in ("shard", "slot")), F.col("_ring_own.shard").alias("shard"), slot.alias("slot"))
+        taken = taken.withColumn(before_, F.lit(0))
+    placed = marked.join(taken, key).withColumn(copy, F.row_number().over(Window.partitionBy(*key).orderBy(ring_id)) - 1 + F.col(before_))
+    own = F.filter(taken_, lambda r: (r["first_copy"] <= F.col(copy)) & (F.col(copy) < r["first_copy"] + r["n"]))[0]
+    placed = placed.withColumn(own_, own)
+    slot = F.col(f"{own_}.first_slot") + F.col(copy) - F.col(f"{own_}.first_copy")
+    return placed.select(*kept, F.col(f"{own_}.shard").alias("shard"), slot.alias("slot"))

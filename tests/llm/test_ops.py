@@ -437,7 +437,7 @@ def test_quality(spark, none):
     model = quality.fit_nnpu(np.ones((5, 3)), np.r_[np.ones((5, 3)), np.zeros((5, 3))], 0.5)
     assert model.score(np.ones((1, 3)))[0] > 0.5 > model.score(np.zeros((1, 3)))[0]
     clash = docs.withColumnsRenamed({"score": "_score", "sha": "_predicted", "lang": "_0_", "slot": "_1_"})
-    assert quality.score(clash, model=quality.Model(0, 1, np.zeros((len(quality.features(b"")), 1)), np.zeros(1), np.zeros(1), 0.0), keep=clash.columns, names=("good", "is_good")).count() == 603
+    assert quality.described(clash, "_x_").where(quality.score(quality.Model(0, 1, np.zeros((len(quality.features(b"")), 1)), np.zeros(1), np.zeros(1), 0.0), "_x_") == 0.5).count() == 603
     negatives = labels.withColumn("quality", F.when(F.col("quality") == 1, 1))  # a label but 1 is never used
     assert sorted((str(r.doc_id), r.score) for r in quality.quality_report(docs, negatives).collect()) == sorted((str(r.doc_id), r.score) for r in got)
 
