@@ -9,7 +9,7 @@ from derivespark.llm.common import fresh_names, new_path, saved, small, table
 from derivespark.llm.decontaminate import contaminated
 from derivespark.llm.mixing import mix
 from derivespark.llm.near_dedup import near_duplicates
-from derivespark.llm.quality import featured, score, train
+from derivespark.llm.quality import described, score, train
 from derivespark.llm.sharding import shard_documents
 
 #: The first stage learns its scores, which SQL cannot; the stages are tested against brute force instead.
@@ -23,9 +23,10 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores one half or more."""
-    model = train(featured(docs), table(spark, sf_dir, "labels"))
-    names = fresh_names(docs, 2)
-    return score(docs, model, docs.columns, tuple(names)).where(F.col(names[1]) == 1).select(*docs.columns)
+    (name,) = fresh_names(docs, 1)
+    rows = described(docs, name)
+    model = train(rows.select("doc_id", F.col(name).alias("x")), table(spark, sf_dir, "labels"))
+    return rows.where(score(model, name) >= 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
