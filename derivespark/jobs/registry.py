@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scratch
 from ..operators import agree, analysis, checks, compare, dates, finalize, joins, project, records, windows
-from ..sources import dataset_json
+from ..sources import dataset_json, json_ranges
 from . import pipelines
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -406,20 +406,40 @@ ORDER_COLUMNS = [
 ]
 
 
+def orders_for_dataset(spark, sf_dir) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.withColumns({"o_orderdate": F.to_date("o_orderdate"), "seen": F.expr("timestampadd(SECOND, o_orderkey % 86400, o_orderdate)"), "open": F.col("o_orderstatus") == "O"})
+
+
 def orders_document(spark, sf_dir) -> str:
     path = scratch(spark, "dataset")
-    o = read(spark, sf_dir, "orders").withColumns({"o_orderdate": F.to_date("o_orderdate"), "seen": F.expr("timestampadd(SECOND, o_orderkey % 86400, o_orderdate)"), "open": F.col("o_orderstatus") == "O"})
-    dataset_json.write_dataset_ndjson(o, path, "ORDERS", ORDER_COLUMNS)
+    dataset_json.write_dataset_ndjson(orders_for_dataset(spark, sf_dir), path, "ORDERS", ORDER_COLUMNS)
     return path
 
 
-@query("SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate__raw, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS seen, o_orderstatus = 'O' AS open FROM orders")
+TYPED_SQL = "SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate__raw, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS seen, o_orderstatus = 'O' AS open FROM orders"
+
+
+@query(TYPED_SQL)
 def s1_read_dataset_ndjson(spark, sf_dir):
     """A table written as a dataset and read back, typed by its metadata."""
     out = dataset_json.read_dataset_ndjson(spark, orders_document(spark, sf_dir))
     return out.withColumn("seen", F.col("seen").cast("timestamp_ntz")).drop("seen__raw")
 
 
+#: Bytes of one range of the document below, few enough for many ranges on small tables.
+RANGE_BYTES = 200_000
+
+
+@query(TYPED_SQL)
+def s1_read_dataset_json(spark, sf_dir):
+    """A table written as one JSON object in one file, and read back in ranges."""
+    path = scratch(spark, "document")
+    dataset_json.write_dataset_json(orders_for_dataset(spark, sf_dir), path, "ORDERS", ORDER_COLUMNS)
+    out = dataset_json.read_dataset_json(spark, json_ranges.qualified(spark, path)[0], split=RANGE_BYTES)
+    return out.withColumn("seen", F.col("seen").cast("timestamp_ntz")).drop("seen__raw")
+
+
 @query("SELECT 'ORDERS' AS name, '1.1.0' AS version, count(*) AS records, 'o_orderkey:integer,o_orderstatus:string,o_totalprice:double,o_orderdate:date,seen:datetime,open:boolean' AS columns FROM orders")
 def s2_dataset_meta(spark, sf_dir):
     header, columns = dataset_json.dataset_ndjson_meta(spark, orders_document(spark, sf_dir))

@@ -8,6 +8,8 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_ranges import SPLIT_BYTES, document_rows, qualified
+
 #: Declared types and how their cells are read.
 NUMBERS = ("integer", "float", "double", "decimal")
 TEXTS = ("string", "URI", "date", "datetime", "time")
@@ -24,7 +26,6 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return doc.withColumn("data", F.coalesce(F.when(F.try_variant_get("doc", "$.columns", "variant").isNotNull(), F.col("doc")), group, F.col("doc")))
 
 
-
 def _head(spark: SparkSession, path: str) -> list[dict]:
     """Header of each file, without its rows: small driver-side metadata."""
     docs = _documents(spark, path)
@@ -56,9 +57,32 @@ def _columns(head: dict) -> list[dict]:
     return columns
 
 
-def dataset_json_meta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _split(spark: SparkSession, path: str, split: int) -> tuple[dict, DataFrame | None]:
+    """Header and row texts of one document that is read in ranges."""
+    rest, rows = document_rows(spark, path, split)
+    doc = json.loads(rest)
+    groups = (doc.get("clinicalData") or {}).get("itemGroupData") or (doc.get("referenceData") or {}).get("itemGroupData") or {}
+    data = doc if doc.get("columns") is not None or not groups else next(iter(groups.values()))
+    text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
+    head = {"path": path, "version": doc.get("datasetJSONVersion"), "columns": text(data.get("columns")), "items": text(data.get("items"))}
+    return head | {h: text(data.get(h, doc.get(h))) for h in HEADER} | {"n_rows": None}, rows
+
+
+def _large(spark: SparkSession, path: str, split: int) -> bool:
+    """Is it one uncompressed file of more than ``split`` bytes?"""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if any(c in path for c in "*?[{") or name.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(name).isDirectory():
+        return False
+    return not path.endswith((".gz", ".bz2", ".zst")) and qualified(spark, path)[1] > split
+
+
+def dataset_json_meta(spark: SparkSession, path: str, *, split: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(headers, columns)``: a row per file, and a row per file and column. An action."""
-    heads = _head(spark, path)
+    if _large(spark, path, split):
+        head, texts = _split(spark, path, split)
+        heads = [head | {"n_rows": texts.count() if texts is not None and head["records"] is None else 0}]
+    else:
+        heads = _head(spark, path)
     fields = ", ".join(f"{h} string" for h in HEADER if h != "records")
     headers = spark.createDataFrame(
         [(h["path"], int(float(h["records"])) if h["records"] is not None else max(h["n_rows"] or 0, 0), *[h[k] for k in HEADER if k != "records"]) for h in heads], f"path string, records long, {fields}"
@@ -68,14 +92,25 @@ def dataset_json_meta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return headers, spark.createDataFrame(rows, "path string, position int, itemOID string, name string, label string, dataType string, targetDataType string, length long")
 
 
-def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
+def read_dataset_json(spark: SparkSession, path: str, *, split: int = SPLIT_BYTES) -> DataFrame:
     """The rows of one Dataset-JSON file. An action: it reads the header and tests temporal columns.
 
     Numbers are doubles (``null`` and "NA" are NULL), booleans only true, false or null; another kind of cell, an integer with
     a fraction, a nested cell or a row of the wrong length is an error when it is computed. A temporal column whose target
     is Date or Datetime is converted, to UTC, if every value can be (an empty one is missing), and keeps its strings in
     ``<col>__raw``; else it stays a string. Offsets have a colon and are at most 14:00. Rows may be left out if records is 0 or absent; a differing count gives a warning.
+
+    A file of more than ``split`` bytes that is not compressed is read in ranges of that size, by ``json_ranges``: no task
+    holds more of it, and every row is parsed where it begins. A smaller one is a cell of one task.
     """
+    if _large(spark, path, split):
+        head, texts = _split(spark, path, split)
+        declared = None if head["records"] is None else int(float(head["records"]))
+        if texts is None:
+            if declared:
+                raise ValueError(f"rows are missing but records is {declared}")
+            texts = spark.createDataFrame([], "value string")
+        return _typed(texts.select(F.try_variant_get(F.parse_json("value"), "$", "array<variant>").alias("_cells")), _columns(head), declared, True)
     (head,) = _head(spark, path)
     columns = _columns(head)
     declared = None if head["records"] is None else int(float(head["records"]))
@@ -92,8 +127,9 @@ def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
     return _typed(rows, columns)
 
 
-def _typed(rows: DataFrame, columns: list[dict]) -> DataFrame:
-    """Typed columns of the rows in ``_cells`` (arrays of variants)."""
+def _typed(rows: DataFrame, columns: list[dict], declared: int | None = None, count: bool = False) -> DataFrame:
+    """Typed columns of the rows in ``_cells`` (arrays of variants); with ``count`` a number of rows other than the
+    ``declared`` one gives a warning."""
     wrong = F.raise_error(F.lit("a row's length differs from the number of columns"))
     rows = rows.select(F.when(F.col("_cells").isNull() | (F.size("_cells") != len(columns)), wrong).otherwise(F.col("_cells")).alias("_cells"))
 
@@ -124,8 +160,10 @@ def _typed(rows: DataFrame, columns: list[dict]) -> DataFrame:
         padded = F.regexp_replace(zoned, r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
         return F.when(x.rlike(STAMP), padded.try_cast("timestamp"))
 
-    if targets:
-        ok = out.agg(*[F.coalesce(F.bool_and(F.col(n).isNull() | (F.col(n) == "") | parsed(n).isNotNull()), F.lit(True)).alias(n) for n in targets]).first()
+    if targets or (count and declared is not None):
+        ok = out.agg(F.count(F.lit(1)).alias("_rows"), *[F.coalesce(F.bool_and(F.col(n).isNull() | (F.col(n) == "") | parsed(n).isNotNull()), F.lit(True)).alias(n) for n in targets]).first()
+        if count and declared is not None and ok["_rows"] != declared:
+            warnings.warn(f"records is {declared}, rows are {ok['_rows']}", stacklevel=3)
         for n in targets:
             if ok[n]:
                 out = out.withColumn(f"{n}__raw", F.col(n)).withColumn(n, parsed(n))
@@ -154,6 +192,20 @@ def write_dataset_ndjson(df: DataFrame, path: str, name: str, columns: list[dict
     df.select(line.alias("value")).write.mode("append").text(path)
 
 
+def write_dataset_json(df: DataFrame, path: str, name: str, columns: list[dict]) -> None:
+    """One JSON object in one file, in a folder ``path``: the form for exchange, written by one task; ``write_dataset_ndjson``
+    writes in parallel."""
+    spark = df.sparkSession
+    folder = f"{path}-lines"
+    write_dataset_ndjson(df, folder, name, columns)
+    head, _, lines = _ndjson(spark, folder)
+    ordered = lines.select(F.lit(1).alias("part"), "value").repartition(1)
+    first = F.monotonically_increasing_id() == 0  # of one partition
+    rows = ordered.withColumn("value", F.concat(F.when(first, "").otherwise(","), "value")).withColumn("row", F.monotonically_increasing_id())
+    ends = spark.createDataFrame([(0, json.dumps(head)[:-1] + ', "rows": [', -1), (2, "]}", -1)], "part int, value string, row long")
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("part", "row").select("value").write.text(path)
+
+
 def _ndjson(spark: SparkSession, path: str) -> tuple[dict, list[dict], DataFrame]:
     """Header, columns and row lines of one dataset. An action on the header line."""
     lines = spark.read.text(path)
