@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scratch
 from ..operators import agree, analysis, checks, compare, dates, finalize, joins, project, records, windows
-from ..sources import dataset_json, json_ranges
+from ..sources import dataset_json, json_ranges, xport
 from . import pipelines
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -440,6 +440,16 @@ def s1_read_dataset_json(spark, sf_dir):
     return out.withColumn("seen", F.col("seen").cast("timestamp_ntz")).drop("seen__raw")
 
 
+@query("""SELECT o_orderkey::DOUBLE AS OKEY, o_orderstatus AS STATUS, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS PRICE, CASE WHEN o_orderkey % 5 = 0 THEN '.' END AS PRICE__missing, o_orderdate::DATE AS ODT FROM orders""")
+def s5_read_xport(spark, sf_dir):
+    """A table written as transport files and some of its variables read back in ranges of rows, with missing codes."""
+    path = scratch(spark, "xport")
+    price = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("OKEY"), F.col("o_custkey").alias("CKEY"), F.col("o_orderstatus").alias("STATUS"), price.alias("PRICE"), F.to_date("o_orderdate").alias("ODT"))
+    xport.write_xport(o, path, "ORDERS")
+    return xport.read_xport(spark, path, ["OKEY", "STATUS", "PRICE", "ODT"], codes=True, split=RANGE_BYTES).drop("OKEY__missing", "ODT__missing")
+
+
 @query("SELECT 'ORDERS' AS name, '1.1.0' AS version, count(*) AS records, 'o_orderkey:integer,o_orderstatus:string,o_totalprice:double,o_orderdate:date,seen:datetime,open:boolean' AS columns FROM orders")
 def s2_dataset_meta(spark, sf_dir):
     header, columns = dataset_json.dataset_ndjson_meta(spark, orders_document(spark, sf_dir))

@@ -294,3 +294,28 @@ def test_sketched_quantiles(spark):
     df = spark.range(10_001).select((F.col("id") % 2).alias("G"), F.col("id").cast("double").alias("V"))
     for r in analysis.analysis(df, "T", "A", "V", ["median", "q1", "q3"], ["G"], accuracy=1000).collect():
         assert abs(r["value"] - {"median": 5000, "q1": 2500, "q3": 7500}[r.operation]) <= 20
+
+
+@pytest.mark.parametrize("limit", [500_000, 50])
+def test_exact_quantiles_of_any_group(spark, monkeypatch, limit, capsys):
+    import numpy as np
+
+    monkeypatch.setattr(analysis, "SORTED_ROWS", limit)
+    rng = np.random.default_rng(8)
+    groups = {"a": np.exp(10 * rng.normal(size=3000)), "b": np.round(rng.normal(size=2001)), "c": np.full(500, 7.0), "d": np.array([1.0]), "e": np.array([1.0, np.inf]), None: np.array([3.0, 1.0, 2.0, 10.0]), "big": rng.permutation(1_000_000) * 0.5 if limit > 50 else rng.permutation(20_000) * 0.5}
+    import pandas as pd
+
+    rows = pd.concat([pd.DataFrame({"g": pd.Series([g] * len(x), dtype=object), "x": x}) for g, x in groups.items()] + [pd.DataFrame({"g": ["none"], "x": [None]})])
+    df = spark.createDataFrame(rows, "g string, x double").replace(float("nan"), None, "x")
+    out = analysis.analysis(df, "T", "A", "x", ["n", "median", "q1", "q3"], ["g"])
+    out.explain()
+    assert "percentile" not in capsys.readouterr().out
+    got = {(r.g, r.operation): r.value for r in out.collect()}
+    for g, x in groups.items():
+        for op, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            want = np.quantile(x, p)
+            assert got[g, op] == pytest.approx(want, rel=1e-12) or (g == "e" and np.isinf(got[g, op])), (g, op)
+        assert got[g, "n"] == len(x)
+    assert [got["none", op] for op in ("n", "q1", "median", "q3")] == [0.0, None, None, None]
+    alone = analysis.analysis(df.where("g = 'a'"), "T", "A", "x", ["median"])
+    assert alone.first().value == pytest.approx(np.median(groups["a"]))
