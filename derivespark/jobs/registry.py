@@ -313,6 +313,23 @@ def w4_max_value_flag(spark, sf_dir):
     return windows.max_value_flag(events(spark, sf_dir), "ANL01FL", ["user_id", "PARAMCD"], "AVAL").select("event_id", "ANL01FL")
 
 
+W_LARGE_SQL = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY event_type, value > 50 ORDER BY ts DESC, event_id DESC) AS back,
+max(value) OVER (PARTITION BY event_type) AS most, bool_or(user_id = 3) OVER (PARTITION BY event_type) AS has, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS last FROM events)
+SELECT event_id, n AS ASEQ, CASE WHEN value > 50 AND back = 1 THEN 'Y' END AS LASTFL, CASE WHEN value = most THEN 'Y' END AS MAXFL, CASE WHEN user_id = 3 OR (NOT has AND last = 1) THEN 'Y' END AS ENDFL FROM e"""
+
+
+@query(W_LARGE_SQL)
+def w_large_groups(spark, sf_dir):
+    """Number and flags within five groups that hold all events, without a task that takes a group."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    by, order = ["event_type"], ["ts", "event_id"]
+    out = windows.obs_number(e, "ASEQ", by, order, large_groups=True)
+    out = windows.extreme_flag(out, "LASTFL", by, order, "last", restrict="value > 50", large_groups=True)
+    out = windows.max_value_flag(out, "MAXFL", by, "value", large_groups=True)
+    out = windows.last_or_visit_flag(out, "ENDFL", by, order, "user_id", 3, large_groups=True)
+    return out.select("event_id", "ASEQ", "LASTFL", "MAXFL", "ENDFL")
+
+
 @query("""SELECT event_id, CASE WHEN event_type = 'purchase' OR (NOT bool_or(event_type = 'purchase') OVER (PARTITION BY user_id, ts::DATE)
 AND row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) = 1) THEN 'Y' END AS AENTMTFL FROM events""")
 def w5_last_or_visit_flag(spark, sf_dir):
@@ -356,6 +373,22 @@ def c2_key_duplicates(spark, sf_dir):
     return checks.key_duplicates(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query("""SELECT variable, value, count(*) AS n_rows FROM (
+SELECT 'l_returnflag' AS variable, l_returnflag AS value FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem WHERE l_linestatus NOT IN ('F')
+UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR FROM lineitem WHERE l_linenumber NOT IN (1, 2)) GROUP BY 1, 2""")
+def c5_codelists_violations(spark, sf_dir):
+    codes = lambda *x: spark.createDataFrame([(i, v) for i, v in enumerate(x)], "code long, decode string")
+    return checks.codelists_violations(read(spark, sf_dir, "lineitem"), {"l_returnflag": codes("A", "N"), "l_linestatus": codes("F"), "l_linenumber": codes("1", "2")})
+
+
+KEY_SETS = {"line": ["l_orderkey", "l_linenumber"], "order": ["l_orderkey"], "part": ["l_partkey", "l_suppkey"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS key_set, coalesce(sum(n - 1), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(k)})" for n, k in KEY_SETS.items()))
+def c2_key_sets_duplicates(spark, sf_dir):
+    return checks.key_sets_duplicates(read(spark, sf_dir, "lineitem"), KEY_SETS)
+
+
 S6_TEXTS = {
     "customer": "concat_ws('|', c_custkey, coalesce(c_name, 'NULL'), coalesce(c_nationkey::VARCHAR, 'NULL'), coalesce(c_acctbal::DECIMAL(18,2)::VARCHAR, 'NULL'), coalesce(c_mktsegment, 'NULL'))",
     "orders": "concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, 'NULL'), coalesce(o_totalprice::DECIMAL(18,2)::VARCHAR, 'NULL'), o_orderdate::DATE, coalesce(o_orderpriority, 'NULL'))",
@@ -383,6 +416,36 @@ def s6_snapshot_rollup(spark, sf_dir):
     return checks.snapshot_rollup(snapshots(spark, sf_dir)).drop("digest")
 
 
+TREE_WIDTH, TREE_FANOUT = 100, 8
+
+
+def two_days(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders, and as they are a day later: some prices changed, rows gone and added, all within a few ranges of keys."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    at = F.col("o_orderkey") % 1000
+    later = o.where(at != 5).withColumn("o_totalprice", F.when(at.isin(1, 2), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(18,2)"))
+    return o, later.unionByName(o.where(at == 7).withColumn("o_orderkey", -F.col("o_orderkey")))
+
+
+DAYS_SQL = """b AS (SELECT o_orderkey, o_totalprice FROM orders),
+c AS (SELECT o_orderkey, 'removed' AS change, 1 AS n_before, 0 AS n_after FROM b WHERE o_orderkey % 1000 = 5 UNION ALL SELECT o_orderkey, 'changed', 1, 1 FROM b WHERE o_orderkey % 1000 IN (1, 2)
+UNION ALL SELECT -o_orderkey, 'added', 0, 1 FROM b WHERE o_orderkey % 1000 = 7)"""
+
+
+@query(f"WITH {DAYS_SQL} SELECT o_orderkey, change, n_before::BIGINT AS n_before, n_after::BIGINT AS n_after FROM c")
+def s6_changed_rows(spark, sf_dir):
+    """Rows that differ between two snapshots, read from the ranges of keys whose digests differ."""
+    days = two_days(spark, sf_dir)
+    ranges = checks.changed_ranges(*[checks.snapshot_tree(d, "orders", "o_orderkey", TREE_WIDTH, fanout=TREE_FANOUT) for d in days], fanout=TREE_FANOUT)
+    return checks.changed_rows(*days, ranges, "o_orderkey", TREE_WIDTH)
+
+
+@query(f"WITH {DAYS_SQL} SELECT DISTINCT floor(o_orderkey / {TREE_WIDTH}.0)::BIGINT AS range FROM c")
+def s6_changed_ranges(spark, sf_dir):
+    days = two_days(spark, sf_dir)
+    return checks.changed_ranges(*[checks.snapshot_tree(d, "orders", "o_orderkey", TREE_WIDTH, fanout=TREE_FANOUT) for d in days], fanout=TREE_FANOUT)
+
+
 LABEL_SPEC = [("o_orderkey", "Order"), ("o_orderstatus", "Status"), ("o_orderdate", "Date of Order")]
 
 
@@ -503,6 +566,36 @@ def o1_compare_datasets(spark, sf_dir):
     return accuracy_table(spark, sf_dir)
 
 
+def repeated_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Order lines by order alone, a key that repeats, and a copy with some lines gone, some quantities changed."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    other = li.where("(l_orderkey + l_linenumber) % 9 <> 0").withColumn("l_quantity", F.col("l_quantity") + F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 5 == 0, 100).otherwise(0))
+    return li.drop("l_linenumber"), other.drop("l_linenumber")
+
+
+LINES_SQL = """l AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS q, l_returnflag AS f FROM lineitem),
+r AS (SELECT l_orderkey AS k, (l_quantity + CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN 100 ELSE 0 END)::DOUBLE AS q, l_returnflag AS f FROM lineitem WHERE (l_orderkey + l_linenumber) % 9 <> 0),
+ln AS (SELECT *, row_number() OVER (PARTITION BY k, q, f) AS j FROM l), rn AS (SELECT *, row_number() OVER (PARTITION BY k, q, f) AS j FROM r),
+eq AS (SELECT ln.k, ln.q, ln.f, ln.q AS q2, ln.f AS f2 FROM ln JOIN rn ON ln.k = rn.k AND ln.q = rn.q AND ln.f = rn.f AND ln.j = rn.j),
+lo AS (SELECT k, q, f, row_number() OVER (PARTITION BY k ORDER BY q, f, j) AS n FROM ln WHERE NOT EXISTS (SELECT 1 FROM rn WHERE ln.k = rn.k AND ln.q = rn.q AND ln.f = rn.f AND ln.j = rn.j)),
+ro AS (SELECT k, q, f, row_number() OVER (PARTITION BY k ORDER BY q, f, j) AS n FROM rn WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.k = rn.k AND ln.q = rn.q AND ln.f = rn.f AND ln.j = rn.j)),
+m AS (SELECT k, 'equal' AS kind, q, f, q2, f2 FROM eq UNION ALL
+SELECT coalesce(lo.k, ro.k), CASE WHEN ro.n IS NULL THEN 'ours' WHEN lo.n IS NULL THEN 'oracle' ELSE 'paired' END, lo.q, lo.f, ro.q, ro.f FROM lo FULL JOIN ro ON lo.k = ro.k AND lo.n = ro.n)"""
+
+
+@query(f"WITH {LINES_SQL} SELECT kind, count(*)::BIGINT AS n_pairs, count(DISTINCT k) AS n_keys FROM m GROUP BY kind")
+def o1_match_repeated_keys(spark, sf_dir):
+    return compare.match_summary(compare.match_records(*repeated_lines(spark, sf_dir), ["l_quantity", "l_returnflag"], ["l_orderkey"]))
+
+
+@query(f"""WITH {LINES_SQL}, p AS (SELECT * FROM m WHERE kind IN ('equal', 'paired'))
+SELECT 'l_quantity' AS variable, 'compared' AS status, round(100 * avg((abs(q - q2) <= 1e-6)::INT::DOUBLE), 1) AS value_agree, NULL::DOUBLE AS value_agree_rounded, count(*) AS n_joined, 100.0 AS na_agree FROM p
+UNION ALL SELECT 'l_returnflag', 'compared', round(100 * avg((f = f2)::INT::DOUBLE), 1), NULL, count(*), 100.0 FROM p""")
+def o1_compare_repeated_keys(spark, sf_dir):
+    ours, oracle = repeated_lines(spark, sf_dir)
+    return compare.compare_datasets(ours, oracle, ["l_quantity", "l_returnflag"], ["l_orderkey"], "l_orderkey", repeated="match")
+
+
 @query(ACC_SQL + """SELECT count(*) FILTER (status = 'compared') AS n_compared, count(*) FILTER (status = 'compared' AND value_agree = 100) AS n_full,
 count(*) FILTER (status = 'compared' AND value_agree < 100) AS n_partial, round(avg(value_agree) FILTER (status = 'compared'), 1) AS mean_agree,
 (SELECT count(*) FROM o) AS n_ours, (SELECT count(*) FROM p) AS n_oracle FROM acc""")

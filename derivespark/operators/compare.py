@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 60
@@ -26,6 +26,67 @@ def _joined(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys:
     return left.join(right, [f"k{i}" for i in range(len(keys))])
 
 
+def _canonical(v: str, c: Column, kinds: tuple[str, str], own: str) -> Column:
+    """The form in which equal values are equal on both sides, whatever their types."""
+    if v.endswith(("DT", "DTM")) or "date" in kinds:
+        return _date(c, own).cast("string")
+    if any(map(_number, kinds)):
+        return (c.try_cast("double") + 0.0).cast("string")
+    return c.cast("string")
+
+
+def match_records(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``k0.., a0.., b0.., kind, n``: records of both sides that belong together, for keys that may repeat.
+
+    Equal records of a key are matched first, as many as both sides have (``kind`` equal); the others are paired in the
+    order of their values (paired), and what one side has too many is unpaired (ours, oracle). ``n`` counts equal pairs.
+    Records are counted before they are joined, so m and n records of a key give max(m, n) pairs at most, never m times n.
+    NULL keys match nothing."""
+    k = [f"k{i}" for i in range(len(keys))]
+    kinds = [(dict(ours.dtypes)[v], dict(oracle.dtypes)[v]) for v in variables]
+    canon = [f"c{i}" for i in range(len(variables))]
+
+    def counted(df: DataFrame, letter: str, side: int) -> DataFrame:
+        forms = [_canonical(v, F.col(v), kinds[i], kinds[i][side]).alias(f"c{i}") for i, v in enumerate(variables)]
+        rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *forms, *[F.col(v).alias(f"{letter}{i}") for i, v in enumerate(variables)])
+        values = [F.min(f"{letter}{i}").alias(f"{letter}{i}") for i in range(len(variables))]  # one of those with equal forms
+        return rows.groupBy(*k, *canon).agg(F.count(F.lit(1)).alias(f"n_{letter}"), *values)
+
+    left, right = counted(ours, "a", 0), counted(oracle, "b", 1)
+    of = {c: f"_{c}" for c in [*k, *canon]}
+    on = F.lit(True)
+    for c in k:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    for c in canon:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = left.join(right.withColumnsRenamed(of), on, "full")
+    both = both.withColumns({c: F.coalesce(c, f"_{c}") for c in of}).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_a", "n_b")})
+    a, b = ([f"{x}{i}" for i in range(len(variables))] for x in "ab")
+    same = both.where("n_a > 0 AND n_b > 0").select(*k, *a, *b, F.lit("equal").alias("kind"), F.least("n_a", "n_b").alias("n"))
+
+    def rest(letter: str, other: str, values: list[str]) -> DataFrame:
+        left_over = both.withColumn("_more", F.col(f"n_{letter}") - F.col(f"n_{other}")).where("_more > 0")
+        each = left_over.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_more").cast("int"))))
+        nth = F.row_number().over(Window.partitionBy(*k).orderBy(*values, *canon, "_i"))
+        return each.select(*k, *values, nth.alias("_nth"))
+
+    mine, theirs = rest("a", "b", a), rest("b", "a", b).withColumnsRenamed({**{c: f"_{c}" for c in k}, "_nth": "_other"})
+    on = F.col("_nth") == F.col("_other")
+    for c in k:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    pairs = mine.join(theirs, on, "full")
+    kind = F.when(F.col("_other").isNull(), "ours").when(F.col("_nth").isNull(), "oracle").otherwise("paired")
+    pairs = pairs.select(*[F.coalesce(c, f"_{c}").alias(c) for c in k], *a, *b, kind.alias("kind"), F.lit(1).cast("long").alias("n"))
+    return same.unionByName(pairs)
+
+
+def match_summary(matched: DataFrame) -> DataFrame:
+    """``kind, n_pairs, n_keys``: pairs of each kind, and the keys that have some."""
+    keys = [c for c in matched.columns if c[0] == "k" and c[1:].isdigit()]
+    per = matched.groupBy("kind", *keys).agg(F.sum("n").alias("n"))
+    return per.groupBy("kind").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_keys"))
+
+
 def _agree(v: str, a: Column, b: Column, kinds: tuple[str, str], tol: float) -> Column:
     if v.endswith(("DT", "DTM")) or "date" in kinds:
         return _date(a, kinds[0]) == _date(b, kinds[1])
@@ -34,28 +95,35 @@ def _agree(v: str, a: Column, b: Column, kinds: tuple[str, str], tol: float) ->
     return a.cast("string") == b.cast("string")
 
 
-def compare_datasets(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys: Sequence[str], id_var: str, tolerance: Mapping[str, float] | None = None, default_tol: float = 1e-6, round_digits: Mapping[str, int] | None = None) -> DataFrame:
+def compare_datasets(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys: Sequence[str], id_var: str, tolerance: Mapping[str, float] | None = None, default_tol: float = 1e-6, round_digits: Mapping[str, int] | None = None, repeated: str = "join") -> DataFrame:
     """``variable, status, value_agree, value_agree_rounded, n_joined, na_agree``, a row per variable; percent to 1 decimal.
 
     Status is the first that holds of not_produced, not_in_oracle, id (value_agree is then the share of our rows whose id
     the oracle has), join_key, all_missing, compared. Values agree only if both are non-NULL; na_agree is the
     share of rows that are NULL on both sides or on neither. Where either side is a number both are compared as numbers. One key join and one aggregate serve up to ``CHUNK`` variables.
+
+    Records that share a key on both sides are all joined with each other; with ``repeated="match"`` they are matched by
+    ``match_records`` on all variables, so that n_joined is no more than the records of either side.
     """
+    if repeated not in ("join", "match"):
+        raise ValueError(f"unknown way {repeated} for repeated keys")
     tolerance, round_digits = tolerance or {}, round_digits or {}
     both = [v for v in variables if v in ours.columns and v in oracle.columns and v not in keys and v != id_var]
     kinds = {v: (dict(ours.dtypes)[v], dict(oracle.dtypes)[v]) for v in both}
     percent = lambda x: F.round(F.lit(100.0) * x, 1)
+    share = lambda hit: F.try_divide(F.sum(F.when(hit, F.col("n")).otherwise(0)), F.sum("n"))
+    matched = match_records(ours, oracle, both, keys).where("kind IN ('equal', 'paired')") if repeated == "match" and both else None
     parts = []
     for at in range(0, len(both), CHUNK):
         some = both[at : at + CHUNK]
-        sums, rows = [F.count(F.lit(1)).alias("n")], []
+        sums, rows = [F.coalesce(F.sum("n"), F.lit(0)).alias("n_joined")], []
         for i, v in enumerate(some):
-            a, b = F.col(f"a{i}"), F.col(f"b{i}")
+            a, b = (F.col(f"{x}{i + at if matched is not None else i}") for x in "ab")
             same = F.coalesce(_agree(v, a, b, kinds[v], tolerance.get(v, default_tol)), F.lit(False))
             rounded = same
             if v in round_digits and all(map(_number, kinds[v])):
                 rounded = F.coalesce(F.abs(F.round(a.cast("double"), round_digits[v]) - b.cast("double")) <= tolerance.get(v, default_tol), F.lit(False))
-            sums += [F.count(a).alias(f"pa{i}"), F.count(b).alias(f"pb{i}"), F.avg(same.cast("double")).alias(f"s{i}"), F.avg(rounded.cast("double")).alias(f"r{i}"), F.avg((a.isNull() == b.isNull()).cast("double")).alias(f"m{i}")]
+            sums += [F.count(a).alias(f"pa{i}"), F.count(b).alias(f"pb{i}"), share(same).alias(f"s{i}"), share(rounded).alias(f"r{i}"), share(a.isNull() == b.isNull()).alias(f"m{i}")]
             empty = (F.col(f"pa{i}") == 0) & (F.col(f"pb{i}") == 0)
             rows.append(
                 F.struct(
@@ -63,11 +131,12 @@ def compare_datasets(ours: DataFrame, oracle: DataFrame, variables: Sequence[str
                     F.when(empty, "all_missing").otherwise("compared").alias("status"),
                     F.when(~empty, percent(F.col(f"s{i}"))).alias("value_agree"),
                     (F.when(~empty, percent(F.col(f"r{i}"))) if v in round_digits else F.lit(None).cast("double")).alias("value_agree_rounded"),
-                    F.col("n").alias("n_joined"),
+                    F.col("n_joined"),
                     percent(F.col(f"m{i}")).alias("na_agree"),
                 )
             )
-        parts.append(_joined(ours, oracle, some, keys).agg(*sums).select(F.explode(F.array(*rows)).alias("_r")).select("_r.*"))
+        pairs = _joined(ours, oracle, some, keys).withColumn("n", F.lit(1).cast("long")) if matched is None else matched
+        parts.append(pairs.agg(*sums).select(F.explode(F.array(*rows)).alias("_r")).select("_r.*"))
     told = [(v, "not_produced" if v not in ours.columns else "not_in_oracle" if v not in oracle.columns else "join_key", None, None, None, None) for v in variables if v not in both and not (v == id_var and v in ours.columns and v in oracle.columns)]
     schema = "variable string, status string, value_agree double, value_agree_rounded double, n_joined long, na_agree double"
     if told:

@@ -1,5 +1,6 @@
 """The operators on the small tables that fix their behaviour."""
 
+import contextlib
 import datetime as dt
 import json
 
@@ -11,6 +12,16 @@ from derivespark.operators import agree, analysis, checks, compare, dates, final
 from derivespark.sources.dataset_json import dataset_json_meta, dataset_ndjson_meta, read_dataset_json, read_dataset_ndjson, write_dataset_ndjson
 
 
+@contextlib.contextmanager
+def settings(spark, wanted):
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def column(df, name):
     return [r[name] for r in df.collect()]
 
@@ -319,3 +330,78 @@ def test_exact_quantiles_of_any_group(spark, monkeypatch, limit, capsys):
     assert [got["none", op] for op in ("n", "q1", "median", "q3")] == [0.0, None, None, None]
     alone = analysis.analysis(df.where("g = 'a'"), "T", "A", "x", ["median"])
     assert alone.first().value == pytest.approx(np.median(groups["a"]))
+
+
+def test_flags_and_numbers_of_large_groups(spark):
+    """As the window forms, on groups with NULL keys, ties and equal rows; no task holds a large group."""
+    rows = [(g, i % 7 if i % 5 else None, i) for g, n in (("big", 4000), (None, 30), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, id int").repartition(40)
+    known = lambda d, c: {(r.g, r.id): r[c] for r in d.collect()}
+    for mode in ("first", "last"):
+        for restrict in (None, "id % 2 = 1"):
+            pair = [windows.extreme_flag(df, "FL", ["g"], ["o", "id"], mode, restrict=restrict, large_groups=large) for large in (False, True)]
+            assert known(pair[0], "FL") == known(pair[1], "FL")
+    for ranges in (1, 30):
+        got = windows.obs_number(df, "N", ["g"], ["o"], large_groups=True, ranges=ranges)
+        assert known(got, "N") == known(windows.obs_number(df, "N", ["g"], ["o"]), "N") and got.columns == ["g", "o", "id", "N"]
+    assert known(windows.max_value_flag(df, "FL", ["g"], "o", large_groups=True), "FL") == known(windows.max_value_flag(df, "FL", ["g"], "o"), "FL")
+    for visit in (6, 99):
+        pair = [windows.last_or_visit_flag(df, "FL", ["g"], ["o", "id"], "o", visit, large_groups=large) for large in (False, True)]
+        assert known(pair[0], "FL") == known(pair[1], "FL")
+    with pytest.raises(PySparkException, match="several extreme"):
+        windows.extreme_flag(df, "FL", ["g"], ["o"], on_ties="error", large_groups=True).collect()
+    windows.extreme_flag(df.where("g = 'one'"), "FL", ["g"], ["o"], on_ties="error", large_groups=True).collect()
+    same = spark.createDataFrame([("a", 1)] * 3, "g string, o int")
+    assert sorted(column(windows.obs_number(same, "N", ["g"], ["o"], large_groups=True), "N")) == [1, 2, 3]
+    fine = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "134217728"}
+    with settings(spark, fine):
+        placed = windows.obs_number(df.where("g = 'big'"), "N", ["g"], ["o"], large_groups=True, ranges=400)
+        placed = windows.extreme_flag(placed, "FL", ["g"], ["o", "id"], large_groups=True)
+        assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 0.05 * 4000
+
+
+def test_checks_in_one_pass(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), (None, "y", 2), ("b", None, None)], "p string, q string, n int")
+    codes = lambda *x: spark.createDataFrame([(i, v) for i, v in enumerate(x)], "code long, decode string")
+    lists = {"p": codes("a"), "q": codes("x", "y"), "n": codes("1")}
+    got = {(r.variable, r.value): r.n_rows for r in checks.codelists_violations(df, lists).collect()}
+    assert got == {("p", "b"): 2, ("n", "2"): 1}
+    told = {r.variable: (r.status, r.details) for r in checks.run_checks(df, [(v, "values_in_ct") for v in lists], codelists=lists).collect()}
+    assert told == {"p": ("FAIL", "2 values outside the codelist"), "q": ("PASS", "0 values outside the codelist"), "n": ("FAIL", "1 values outside the codelist")}
+    sets = {"p": ["p"], "pq": ["p", "q"], "all": ["p", "q", "n"]}
+    assert {r.key_set: r.n_duplicates for r in checks.key_sets_duplicates(df, sets).collect()} == {"p": 1, "pq": 0, "all": 0}
+    assert {r.n_duplicates for r in checks.key_sets_duplicates(df.limit(0), sets).collect()} == {0}
+
+
+def test_repeated_keys_are_matched(spark):
+    ours = spark.createDataFrame([(1, 1.0, "a")] * 3 + [(1, 2.0, "b"), (2, 5.0, None), (2, 5.0, None), (3, 1.0, "x"), (None, 9.0, "n")], "k int, v double, t string")
+    oracle = spark.createDataFrame([(1, "1", "a")] * 2 + [(1, "7", "b"), (1, "8", "c"), (2, "5", None), (4, "1", "y")], "k int, v string, t string")
+    got = sorted((str(r.k0), r.kind, r.a0, r.b0, r.a1, r.b1, r.n) for r in compare.match_records(ours, oracle, ["v", "t"], ["k"]).collect())
+    assert {g[:2] + (g[6],) for g in got} == {("1", "equal", 2), ("1", "paired", 1), ("2", "equal", 1), ("2", "ours", 1), ("3", "ours", 1), ("4", "oracle", 1), ("None", "ours", 1)} and len(got) == 8
+    many = spark.createDataFrame([(1, i) for i in range(2000)], "k int, v int")
+    told = {r.kind: (r.n_pairs, r.n_keys) for r in compare.match_summary(compare.match_records(many, many, ["v"], ["k"])).collect()}
+    assert told == {"equal": (2000, 1)}
+    acc = compare.compare_datasets(many, many, ["v"], ["k"], "k", repeated="match").first()
+    assert (acc.n_joined, acc.value_agree) == (2000, 100.0)
+
+
+def test_snapshot_trees_find_what_changed(spark, tmp_path, capsys):
+    rows = [(i, f"v{i}") for i in range(0, 20_000, 2)] + [(None, "n"), (4, "twice"), (4, "twice")]
+    path = f"file://{tmp_path}/a"
+    spark.createDataFrame(rows, "id long, v string").repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(path)
+    before = spark.read.parquet(path)
+    trees = lambda a, b: (checks.snapshot_tree(x, "t", "id", 100, fanout=4) for x in (a, b))
+    assert checks.changed_ranges(*trees(before, before), fanout=4).collect() == []
+    changed = [r for r in rows if r[0] != 150 and r != (None, "n")] + [(151, "new"), (-7, "below"), (None, "m")]
+    changed.remove((4, "twice"))
+    after = spark.createDataFrame([(i, "other" if i == 9000 else v) for i, v in changed], "id long, v string")
+    ranges = checks.changed_ranges(*trees(before, after), fanout=4)
+    assert sorted(column(ranges, "range"), key=str) == sorted([0, 1, 90, -1, None], key=str)
+    out = checks.changed_rows(before, after, ranges, "id", 100)
+    want = {150: ("removed", 1, 0), 151: ("added", 0, 1), -7: ("added", 0, 1), 9000: ("changed", 1, 1), 4: ("removed", 1, 0), None: ("changed", 1, 1)}
+    assert {r.id: (r.change, r.n_before, r.n_after) for r in out.collect()} == want
+    with settings(spark, {"spark.sql.maxMetadataStringLength": "10000"}):
+        checks.changed_rows(before, after, ranges, "id", 100).explain()
+    assert "GreaterThanOrEqual(id,9000)" in capsys.readouterr().out  # the predicate reaches the scan
+    whole = checks.changed_rows(before, spark.createDataFrame([], "id long, v string"), checks.changed_ranges(*trees(before, after.limit(0)), fanout=4), "id", 100)
+    assert whole.count() == before.select("id").distinct().count()
