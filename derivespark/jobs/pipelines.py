@@ -19,36 +19,81 @@ TITRATED_ARM, TITRATION = 2, ["54", "81", "54"]
 MINI_MENTAL, ADAS_COG, CIBIC = "MINI-MENTAL STATE", "ADAS-COG", "CIBIC+"
 
 
-def build_adsl(dm: DataFrame, ex: DataFrame, vs: DataFrame, codelists: Mapping[str, DataFrame], *, qs: DataFrame | None = None, sv: DataFrame | None = None, ds: DataFrame | None = None, mh: DataFrame | None = None) -> DataFrame:
-    """A row per subject: planned treatment, first and last dose, age at first dose (from BRTHDT, if collected), age group,
-    coded race, baseline BMI; with questionnaires, visits, disposition and history also the population and completion
-    flags, the mental-state sum, and the doses taken.
-
-    The last dose date is that of the last record; where it is missing and the subject discontinued after visit 3, the
-    date of discontinuation.
+#: Term and visit by which completion is known, groups of disposition, upper ends of the coded age groups, the
+#: code of pooled sites and the fewest subjects of a site in an arm.
+COMPLETED_TERM, LATE_VISIT, LAST_VISIT = "PROTCOL COMPLETED", 13, 12
+REASONS = {"WITHDRAWAL BY SUBJECT": "Withdrew Consent", "STUDY TERMINATED BY SPONSOR": "Sponsor Decision", "PROTOCOL ENTRY CRITERIA NOT MET": "I/E Not Met", "LOST TO FOLLOW-UP": "Lost to Follow-up"}
+OLD, OLDEST = 65, 80
+POOLED_SITE, SITE_LEAST = "900", 3
+
+
+def build_adsl(
+    dm: DataFrame, ex: DataFrame, vs: DataFrame, codelists: Mapping[str, DataFrame], *, qs: DataFrame | None = None, sv: DataFrame | None = None, ds: DataFrame | None = None,
+    mh: DataFrame | None = None, sc: DataFrame | None = None, reasons: Mapping[str, str] = REASONS, site_least: int = SITE_LEAST,
+) -> DataFrame:
+    """A row per subject: planned and actual treatment, first and last dose, age at first dose (from BRTHDT, if collected), age
+    groups, coded race, pooled site, baseline height (visit 1), weight (visit 3), body-mass index and its group; with
+    questionnaires, visits, disposition, history and characteristics also the populations and completion flags, the
+    mental-state sum, the doses taken, disposition, duration of disease and education.
+
+    All that is taken from one source is one aggregate and one join (``joins.merge_all``). The last dose date is that of the
+    last record; where it is missing and the subject discontinued after visit 3, the date of discontinuation. ``reasons``
+    groups terms of disposition; another term is written with a capital.
     """
+    if "SITEID" in dm.columns and "ARM" in dm.columns:
+        dm = joins.pool_groups(dm, "SITEGR1", "SITEID", "ARM", site_least, POOLED_SITE)
     dosed = dates.impute_dtc(ex, "EXSTDTM", "EXSTDTC", output="dtm", time_imputation="first")
     dosed = dates.impute_dtc(dosed, "EXENDTM", "EXENDTC", output="dtm", date_imputation="last", time_imputation="last")
-    out = joins.merge_vars(dm, dosed, {"TRTSDTM": "EXSTDTM", "TRTSDTF": "EXSTDTF", "TRTSTMF": "EXSTTMF"}, SUBJECT, "first", ["EXSTDTM"], "EXDOSE > 0 AND EXSTDTM IS NOT NULL")
-    out = joins.merge_vars(out, dosed, {"TRTEDTM": "EXENDTM"}, SUBJECT, "last", ["EXENDTM"], "EXDOSE > 0 AND EXENDTM IS NOT NULL")
+    out = joins.merge_all(dm, dosed, SUBJECT, [
+        joins.Pick({"TRTSDTM": "EXSTDTM", "TRTSDTF": "EXSTDTF", "TRTSTMF": "EXSTTMF"}, ["EXSTDTM"], "first", "EXDOSE > 0 AND EXSTDTM IS NOT NULL"),
+        joins.Pick({"TRTEDTM": "EXENDTM"}, ["EXENDTM"], "last", "EXDOSE > 0 AND EXENDTM IS NOT NULL"),
+    ])
     out = out.transform(dates.dtm_to_dt, "TRTSDTM").transform(dates.dtm_to_dt, "TRTEDTM")
     if ds is not None:
-        left = dates.impute_dtc(ds, "DISCDT", "DSSTDTC")
-        out = joins.merge_var(out, left, "DISCDT", "DISCDT", SUBJECT, "first", ["DISCDT"], "DSDECOD <> 'COMPLETED' AND VISITNUM > 3 AND DISCDT IS NOT NULL")
-        out = project.compute_var(out, "TRTEDT", "coalesce(TRTEDT, DISCDT)")
+        out = _disposition(out, ds, reasons)
     out = dates.duration(out, "TRTDURD", "TRTSDT", "TRTEDT", "days", add_one=True)
     if "ARM" in dm.columns:
-        out = project.assign(out, "TRT01P", from_="ARM")
-    bmi = records.compute_param(project.to_bds(vs, "VSTESTCD", "VSSTRESN"), "BMI", None, ["WEIGHT", "HEIGHT"], "try_divide(WEIGHT, pow(HEIGHT / 100, 2))", [*SUBJECT, "VISITNUM"])
-    out = joins.merge_var(out, bmi, "BMIBL", "AVAL", SUBJECT, "first", ["VISITNUM"], "PARAMCD = 'BMI'")
+        out = project.assign(out, "TRT01P", from_="ARM").transform(project.assign, "TRT01A", from_="ARM")
+    if "TRT01PN" in dm.columns:
+        out = project.assign(out, "TRT01AN", from_="TRT01PN")
+    at = lambda code, visit: f"VSTESTCD = '{code}' AND VISITNUM = {visit}"
+    out = joins.merge_all(out, vs, SUBJECT, [
+        joins.Pick({"HEIGHTBL": "VSSTRESN"}, ["VSSTRESN"], "first", at("HEIGHT", 1)), joins.Pick({"WEIGHTBL": "VSSTRESN"}, ["VSSTRESN"], "first", at("WEIGHT", 3)),
+    ])
+    out = project.compute_var(out, "BMIBL", "try_divide(WEIGHTBL, pow(HEIGHTBL / 100, 2))")
+    out = project.compute_var(out, "BMIBLGR1", "CASE WHEN BMIBL < 25 THEN '<25' WHEN BMIBL < 30 THEN '25-<30' WHEN BMIBL >= 30 THEN '>=30' END")
     if "BRTHDT" in dm.columns:
         out = dates.duration(out, "AGE", "BRTHDT", "TRTSDT", "years")
     out = project.categorize(out, "AGEGR1", "AGE", AGE_BREAKS, AGE_LABELS, right=False)
+    out = project.compute_var(out, "AGEGR1N", f"CASE WHEN AGE < {OLD} THEN 1 WHEN AGE <= {OLDEST} THEN 2 WHEN AGE > {OLDEST} THEN 3 END")
     out = project.codelist_var(out, "RACEN", "RACE", codelists["RACE"])
     if qs is not None:
         out = _populations(out, qs)
     if sv is not None:
         out = _exposure(out, sv, mh)
+    if sc is not None:
+        out = joins.merge_all(out, sc, SUBJECT, [joins.Pick({"EDUCLVL": "SCSTRESN"}, ["SCSTRESN"], "first", "SCTESTCD = 'EDLEVEL'")])
+    return out
+
+
+def _disposition(out: DataFrame, ds: DataFrame, reasons: Mapping[str, str]) -> DataFrame:
+    """Term, grouped reason, flags and status of disposition, the visit of completion; the last dose date where missing."""
+    left = dates.impute_dtc(ds, "DISCDT", "DSSTDTC")
+    wanted = [joins.Pick({"DISCDT": "DISCDT"}, ["DISCDT"], "first", "DSDECOD <> 'COMPLETED' AND VISITNUM > 3 AND DISCDT IS NOT NULL")]
+    if "DSCAT" in ds.columns:
+        wanted.append(joins.Pick({"DCDECOD": "DSDECOD"}, ["DISCDT", "VISITNUM"], "first", "DSCAT = 'DISPOSITION EVENT'"))
+    if "DSTERM" in ds.columns:
+        wanted.append(joins.Pick({"VISNUMEN": "VISITNUM"}, ["VISITNUM"], "last", f"DSTERM = '{COMPLETED_TERM}'"))
+    out = project.compute_var(joins.merge_all(out, left, SUBJECT, wanted), "TRTEDT", "coalesce(TRTEDT, DISCDT)")
+    if "DSTERM" in ds.columns:
+        out = project.compute_var(out, "VISNUMEN", f"CASE WHEN VISNUMEN = {LATE_VISIT} THEN {LAST_VISIT} ELSE VISNUMEN END")
+    if "DSCAT" in ds.columns:
+        named = F.create_map(*[F.lit(x) for pair in reasons.items() for x in pair]) if reasons else None
+        plain = F.concat(F.upper(F.substring("DCDECOD", 1, 1)), F.lower(F.substring("DCDECOD", 2, 1_000_000)))
+        out = project.compute_var(out, "DCSREAS", F.coalesce(named[F.col("DCDECOD")], plain) if reasons else plain)
+        out = project.assign_conditional(out, "DISCONFL", "DCDECOD <> 'COMPLETED'", "Y")
+        out = project.assign_conditional(out, "DSRAEFL", "DCDECOD = 'ADVERSE EVENT'", "Y")
+        out = project.compute_var(out, "EOSSTT", "CASE WHEN DCDECOD = 'COMPLETED' THEN 'COMPLETED' WHEN DCDECOD IS NOT NULL THEN 'DISCONTINUED' END")
     return out
 
 
@@ -56,29 +101,28 @@ def _populations(out: DataFrame, qs: DataFrame) -> DataFrame:
     """Flags of the intended, safety and efficacy populations, and the sum of the mental-state answers."""
     out = project.assign_conditional(out, "ITTFL", "ARMCD <> ''", "Y", "N")
     out = project.assign_conditional(out, "SAFFL", "ITTFL = 'Y' AND TRTSDT IS NOT NULL", "Y", "N")
-    for name, category in (("_adas", ADAS_COG), ("_cibic", CIBIC)):
-        out = joins.exists_flag(out, qs, name, SUBJECT, f"QSCAT = '{category}' AND VISITNUM > 3")
-    out = project.assign_conditional(out, "EFFFL", "SAFFL = 'Y' AND _adas = 'Y' AND _cibic = 'Y'", "Y", "N").drop("_adas", "_cibic")
-    return records.merge_summary(out, qs, "MMSETOT", SUBJECT, F.sum(F.col("QSORRES").try_cast("double")), f"QSCAT = '{MINI_MENTAL}'")
+    out = joins.merge_all(out, qs, SUBJECT, [
+        *[joins.Exists(name, f"QSCAT = '{category}' AND VISITNUM > 3") for name, category in (("_adas", ADAS_COG), ("_cibic", CIBIC))],
+        joins.Summary("MMSETOT", F.sum, "try_cast(QSORRES AS DOUBLE)", f"QSCAT = '{MINI_MENTAL}'"),
+    ])
+    return project.assign_conditional(out, "EFFFL", "SAFFL = 'Y' AND _adas = 'Y' AND _cibic = 'Y'", "Y", "N").drop("_adas", "_cibic")
 
 
 def _exposure(out: DataFrame, sv: DataFrame, mh: DataFrame | None) -> DataFrame:
-    """Visit dates, completion flags, cumulative and average dose, months since onset."""
+    """Visit dates, completion flags, cumulative and average dose, months since onset and their group."""
     seen = dates.impute_dtc(sv, "SVSTDT", "SVSTDTC")
-    visit = lambda d, name, n: joins.merge_var(d, seen, name, "SVSTDT", SUBJECT, "first", ["SVSTDT"], f"VISITNUM = {n} AND SVSTDT IS NOT NULL")
-    for name, n in (("VISIT1DT", 1), ("VISIT4DT", 4), ("VISIT12DT", 12)):
-        out = visit(out, name, n)
     out = dates.impute_dtc(out, "RFENDT", "RFENDTC", date_imputation="last")
-    for flag, n in COMPLETION.items():
-        out = joins.exists_flag(out, seen, flag, SUBJECT, f"VISITNUM = {n}", at_or_before=("SVSTDT", "RFENDT"))
+    visits = [joins.Pick({name: "SVSTDT"}, ["SVSTDT"], "first", f"VISITNUM = {n} AND SVSTDT IS NOT NULL") for name, n in (("VISIT1DT", 1), ("VISIT4DT", 4), ("VISIT12DT", 12))]
+    out = joins.merge_all(out, seen, SUBJECT, [*visits, *[joins.Exists(flag, f"VISITNUM = {n}", ("SVSTDT", "RFENDT")) for flag, n in COMPLETION.items()]])
     out = dates.date_shift(dates.date_shift(out, "_after4", "VISIT4DT", 1), "_after12", "VISIT12DT", 1)
     out = records.interval_dose(out, "_titrated", ["TRTSDT", "_after4", "_after12"], TITRATION, "TRTEDT")
     out = project.compute_var(out, "CUMDOSE", F.when(F.col("ARMN") == TITRATED_ARM, F.col("_titrated")).otherwise(F.col("TRT01PN") * F.col("TRTDURD")))
     out = project.compute_var(out, "AVGDD", "try_divide(CUMDOSE, TRTDURD)").drop("_after4", "_after12", "_titrated")
     if mh is not None:
         began = dates.impute_dtc(mh, "DISONSDT", "MHSTDTC", highest_imputation="M")
-        out = joins.merge_var(out, began, "DISONSDT", "DISONSDT", SUBJECT, "first", ["DISONSDT"], "MHCAT = 'PRIMARY DIAGNOSIS'")
+        out = joins.merge_all(out, began, SUBJECT, [joins.Pick({"DISONSDT": "DISONSDT"}, ["DISONSDT"], "first", "MHCAT = 'PRIMARY DIAGNOSIS'")])
         out = dates.duration(out, "DURDIS", "DISONSDT", "VISIT1DT", "months")
+        out = project.compute_var(out, "DURDSGR1", "CASE WHEN DURDIS < 12 THEN '<12' WHEN DURDIS >= 12 THEN '>=12' END")
     return out
 
 
@@ -118,7 +162,8 @@ def build_advs(vs: DataFrame, subjects: DataFrame, lookup: DataFrame, ranges: Ma
 
 def build_adlbc(lb: DataFrame, subjects: DataFrame, lookup: DataFrame, limits: tuple[float, float] = (0.5, 1.5)) -> DataFrame:
     """Findings with ratios to the normal range, range indicators of value and baseline (L below the first multiple of the
-    lower limit, H above the second of the upper one, else N), the extreme-value flag, the visit, and the last record or
+    lower limit, H above the second of the upper one, else N; the text of the rule has one half for both limits, which
+    would call most normal values high: pass ``limits=(0.5, 0.5)`` for it to the letter), the extreme-value flag, the visit, and the last record or
     end-of-treatment flag."""
     out = build_findings(lb, subjects, lookup, prefix="LB")
     out = out.withColumns({"A1LO": F.col("LBSTNRLO").cast("double"), "A1HI": F.col("LBSTNRHI").cast("double")})

@@ -697,16 +697,22 @@ def domains(spark, sf_dir) -> dict[str, DataFrame]:
     visit = (F.col("o_orderkey") % 13).cast("int").alias("VISITNUM")
     return {
         "dm": c.select(
-            study, subject("c_custkey"), F.col("c_mktsegment").alias("RACE"), F.col("c_mktsegment").alias("ARM"), F.when(F.col("c_custkey") % 10 == 0, "").otherwise("A").alias("ARMCD"), arm.alias("ARMN"),
+            study, subject("c_custkey"), F.col("c_nationkey").cast("string").alias("SITEID"), F.col("c_mktsegment").alias("RACE"), F.col("c_mktsegment").alias("ARM"), F.when(F.col("c_custkey") % 10 == 0, "").otherwise("A").alias("ARMCD"), arm.alias("ARMN"),
             (arm * 27).cast("double").alias("TRT01PN"), F.date_sub(F.lit("1990-06-15").cast("date"), (F.col("c_custkey") % 90 * 365).cast("int")).alias("BRTHDT"),
             F.date_format(F.date_add(F.lit("1997-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")), "yyyy-MM").alias("RFENDTC"),
         ),
         "ex": o.select(study, subject("o_custkey"), (F.col("o_totalprice") - 50000).alias("EXDOSE"), F.date_format("o_orderdate", day).alias("EXSTDTC"), F.when(F.col("o_custkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM")).alias("EXENDTC")),
         "sv": o.select(study, subject("o_custkey"), visit, F.date_format("o_orderdate", day).alias("SVSTDTC")),
-        "ds": o.select(study, subject("o_custkey"), visit, F.when(F.col("o_orderstatus") == "P", "ADVERSE EVENT").otherwise("COMPLETED").alias("DSDECOD"), F.date_format("o_orderdate", day).alias("DSSTDTC")),
+        "ds": o.select(study, subject("o_custkey"), visit, F.when(F.col("o_orderstatus") == "P", "ADVERSE EVENT").otherwise("COMPLETED").alias("DSDECOD"), F.date_format("o_orderdate", day).alias("DSSTDTC"), F.when(F.col("o_orderkey") % 4 == 0, "DISPOSITION EVENT").otherwise("OTHER EVENT").alias("DSCAT"), F.when(F.col("o_orderkey") % 3 == 0, "PROTCOL COMPLETED").alias("DSTERM")),
+        "sc": c.select(study, subject("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "EDLEVEL").otherwise("OTHER").alias("SCTESTCD"), (F.col("c_custkey") % 20).cast("double").alias("SCSTRESN")),
         "qs": e.select(study, subject("user_id"), (F.col("event_id") % 12).cast("int").alias("VISITNUM"), F.expr("CASE event_type WHEN 'click' THEN 'ADAS-COG' WHEN 'view' THEN 'CIBIC+' WHEN 'signup' THEN 'MINI-MENTAL STATE' END").alias("QSCAT"), F.floor("value").cast("string").alias("QSORRES")),
         "mh": c.select(study, subject("c_custkey"), F.lit("PRIMARY DIAGNOSIS").alias("MHCAT"), F.date_format(F.date_add(F.lit("1985-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")), "yyyy-MM").alias("MHSTDTC")),
-        "vs": c.select(study, subject("c_custkey"), F.explode(F.array(F.struct(F.lit("WEIGHT").alias("VSTESTCD"), (F.col("c_custkey") % 50 + 50).cast("double").alias("VSSTRESN")), F.struct(F.lit("HEIGHT").alias("VSTESTCD"), (F.col("c_custkey") % 40 + 150).cast("double").alias("VSSTRESN")))).alias("m"), F.lit(1).alias("VISITNUM")).select("STUDYID", "USUBJID", "VISITNUM", "m.*"),
+        "vs": c.select(
+            study, subject("c_custkey"),
+            F.explode(F.array(*[F.struct(F.lit(code).alias("VSTESTCD"), F.lit(visit).alias("VISITNUM"), value.alias("VSSTRESN")) for code, visit, value in (
+                ("WEIGHT", 3, (F.col("c_custkey") % 50 + 50).cast("double")), ("WEIGHT", 1, F.lit(1.0)), ("HEIGHT", 1, (F.col("c_custkey") % 40 + 150).cast("double")), ("HEIGHT", 3, F.lit(2.0)),
+            )])).alias("m"),
+        ).select("STUDYID", "USUBJID", "m.*"),
         "findings": named,
         "subjects": c.select(study, subject("c_custkey"), F.date_add(F.lit("2024-01-08").cast("date"), (F.col("c_custkey") % 14).cast("int")).cast("timestamp").alias("TRTSDTM")),
         "ae": e.select(study, subject("user_id"), F.col("event_id").alias("AESEQ"), F.col("event_type").alias("AEDECOD"), F.concat(F.lit("SOC"), (F.col("event_id") % 3).cast("string")).alias("AEBODSYS"), F.when(F.col("value") > 50, "Y").otherwise("N").alias("AESER"), F.expr(iso.format("ts")).alias("AESTDTC"), F.lit(None).cast("string").alias("AEENDTC")),
@@ -717,9 +723,16 @@ def domains(spark, sf_dir) -> dict[str, DataFrame]:
 v AS (SELECT o_custkey, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 1) AS v1, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 4) AS v4, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 12) AS v12,
  min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 8) AS v8, min(o_orderdate::DATE) FILTER (o_orderkey % 13 = 10) AS v10, min(o_orderdate::DATE) FILTER (o_orderstatus = 'P' AND o_orderkey % 13 > 3) AS disc FROM orders GROUP BY 1),
 q AS (SELECT user_id, bool_or(event_type = 'click' AND event_id % 12 > 3) AS adas, bool_or(event_type = 'view' AND event_id % 12 > 3) AS cibic, sum(floor(value)) FILTER (event_type = 'signup') AS mm FROM events GROUP BY 1),
-a AS (SELECT c_custkey AS k, c_mktsegment, s, coalesce(e, disc) AS e, v1, v4, v8, v10, v12, adas, cibic, mm, code, last_day(DATE '1997-01-01' + (c_custkey % 900)::INTEGER) AS rfend,
+dd AS (SELECT o_custkey, arg_min(CASE WHEN o_orderstatus = 'P' THEN 'ADVERSE EVENT' ELSE 'COMPLETED' END, (o_orderdate::DATE, o_orderkey % 13, CASE WHEN o_orderstatus = 'P' THEN 'ADVERSE EVENT' ELSE 'COMPLETED' END)) FILTER (o_orderkey % 4 = 0) AS dc,
+ max(o_orderkey % 13) FILTER (o_orderkey % 3 = 0)::INTEGER AS visend FROM orders GROUP BY 1),
+sn AS (SELECT c_nationkey AS site, c_mktsegment AS arm, count(*) AS n FROM customer GROUP BY 1, 2),
+sp AS (SELECT site, sum(n) AS total, min(n) < 9 OR count(*) < (SELECT count(DISTINCT arm) FROM sn) AS small FROM sn GROUP BY site),
+pl AS (SELECT count(*) AS held, min(n) AS least FROM (SELECT arm, sum(n) AS n FROM sn WHERE site IN (SELECT site FROM sp WHERE small) GROUP BY arm)),
+nx AS (SELECT arg_min(site, (total, site::VARCHAR)) AS site FROM sp WHERE NOT small),
+sg AS (SELECT site, CASE WHEN small OR ((SELECT held > 0 AND (least < 9 OR held < (SELECT count(DISTINCT arm) FROM sn)) FROM pl) AND site IS NOT DISTINCT FROM (SELECT site FROM nx)) THEN '900' ELSE site::VARCHAR END AS pooled FROM sp),
+a AS (SELECT c_custkey AS k, c_mktsegment, s, coalesce(e, disc) AS e, v1, v4, v8, v10, v12, adas, cibic, mm, code, last_day(DATE '1997-01-01' + (c_custkey % 900)::INTEGER) AS rfend, dc, visend, c_nationkey AS site,
  DATE '1990-06-15' - (c_custkey % 90 * 365)::INTEGER AS birth, date_trunc('month', DATE '1985-01-01' + (c_custkey % 3000)::INTEGER)::DATE AS onset
- FROM customer LEFT JOIN x ON c_custkey = x.o_custkey LEFT JOIN v ON c_custkey = v.o_custkey LEFT JOIN q ON c_custkey = user_id LEFT JOIN l ON c_mktsegment = decode),
+ FROM customer LEFT JOIN x ON c_custkey = x.o_custkey LEFT JOIN v ON c_custkey = v.o_custkey LEFT JOIN q ON c_custkey = user_id LEFT JOIN dd ON c_custkey = dd.o_custkey LEFT JOIN l ON c_mktsegment = decode),
 b AS (SELECT *, (e - s + CASE WHEN e >= s THEN 1 ELSE 0 END)::DOUBLE AS dur, CASE WHEN s >= birth THEN year(s) - year(birth) - CASE WHEN strftime(s, '%m%d') < strftime(birth, '%m%d') THEN 1 ELSE 0 END
  ELSE -(year(birth) - year(s) - CASE WHEN strftime(birth, '%m%d') < strftime(s, '%m%d') THEN 1 ELSE 0 END) END::DOUBLE AS age, (k % 10 <> 0 AND s IS NOT NULL) AS safe,
  54.0::DOUBLE * greatest(coalesce(least(e, coalesce(v4, e)) - s + 1, 0), 0) + 81.0::DOUBLE * greatest(coalesce(least(e, coalesce(v12, e)) - (v4 + 1) + 1, 0), 0) + 54.0::DOUBLE * greatest(coalesce(e - (v12 + 1) + 1, 0), 0) AS titrated FROM a),
@@ -728,12 +741,29 @@ SELECT k::VARCHAR AS USUBJID, c_mktsegment AS TRT01P, s AS TRTSDT, e AS TRTEDT,
 CASE WHEN age < 0 THEN NULL WHEN age < 18 THEN '<18' WHEN age < 65 THEN '18-64' WHEN age <= 200 THEN '>=65' END AS AGEGR1, code AS RACEN, CASE WHEN safe THEN 'Y' ELSE 'N' END AS SAFFL,
 CASE WHEN safe AND coalesce(adas, false) AND coalesce(cibic, false) THEN 'Y' ELSE 'N' END AS EFFFL, mm AS MMSETOT, v1 AS VISIT1DT,
 CASE WHEN coalesce(v8 <= rfend, false) THEN 'Y' ELSE 'N' END AS COMP8FL, CASE WHEN coalesce(v10 <= rfend, false) THEN 'Y' ELSE 'N' END AS COMP16FL, CASE WHEN coalesce(v12 <= rfend, false) THEN 'Y' ELSE 'N' END AS COMP24FL,
-cum AS CUMDOSE, round(cum / nullif(dur, 0), 4) + 0.0 AS AVGDD, round((v1 - onset) / 30.4375::DOUBLE, 4) AS DURDIS FROM c""")
+cum AS CUMDOSE, round(cum / nullif(dur, 0), 4) + 0.0 AS AVGDD, round((v1 - onset) / 30.4375::DOUBLE, 4) AS DURDIS,
+c_mktsegment AS TRT01A, (k % 3 * 27)::DOUBLE AS TRT01AN, (k % 40 + 150)::DOUBLE AS HEIGHTBL, (k % 50 + 50)::DOUBLE AS WEIGHTBL,
+CASE WHEN (k % 50 + 50) / power((k % 40 + 150) / 100.0, 2) < 25 THEN '<25' WHEN (k % 50 + 50) / power((k % 40 + 150) / 100.0, 2) < 30 THEN '25-<30' ELSE '>=30' END AS BMIBLGR1,
+CASE WHEN age < 65 THEN 1 WHEN age <= 80 THEN 2 WHEN age > 80 THEN 3 END AS AGEGR1N, CASE WHEN (v1 - onset) / 30.4375::DOUBLE < 12 THEN '<12' WHEN v1 IS NOT NULL THEN '>=12' END AS DURDSGR1,
+dc AS DCDECOD, CASE dc WHEN 'ADVERSE EVENT' THEN 'Adverse event' WHEN 'COMPLETED' THEN 'Completed' END AS DCSREAS, CASE WHEN dc <> 'COMPLETED' THEN 'Y' END AS DISCONFL, CASE WHEN dc = 'ADVERSE EVENT' THEN 'Y' END AS DSRAEFL,
+CASE WHEN dc = 'COMPLETED' THEN 'COMPLETED' WHEN dc IS NOT NULL THEN 'DISCONTINUED' END AS EOSSTT, visend AS VISNUMEN, CASE WHEN k % 2 = 0 THEN (k % 20)::DOUBLE END AS EDUCLVL, pooled AS SITEGR1
+FROM c LEFT JOIN sg USING (site)""")
 def l1_build_adsl(spark, sf_dir):
     d = domains(spark, sf_dir)
-    out = pipelines.build_adsl(d["dm"], d["ex"], d["vs"], {"RACE": project.codelist_from_data(d["dm"], "RACE")}, **{k: d[k] for k in ("qs", "sv", "ds", "mh")})
+    out = pipelines.build_adsl(d["dm"], d["ex"], d["vs"], {"RACE": project.codelist_from_data(d["dm"], "RACE")}, **{k: d[k] for k in ("qs", "sv", "ds", "mh", "sc")}, site_least=9)
+    more = ("TRT01A", "TRT01AN", "HEIGHTBL", "WEIGHTBL", "BMIBLGR1", "AGEGR1N", "DURDSGR1", "DCDECOD", "DCSREAS", "DISCONFL", "DSRAEFL", "EOSSTT", "VISNUMEN", "EDUCLVL", "SITEGR1")
     rounded = [F.round(c, 4).alias(c) for c in ("BMIBL", "AVGDD", "DURDIS")]
-    return out.select("USUBJID", "TRT01P", "TRTSDT", "TRTEDT", "TRTDURD", "AGE", "AGEGR1", "RACEN", "SAFFL", "EFFFL", "MMSETOT", "VISIT1DT", "COMP8FL", "COMP16FL", "COMP24FL", "CUMDOSE", *rounded)
+    return out.select("USUBJID", "TRT01P", "TRTSDT", "TRTEDT", "TRTDURD", "AGE", "AGEGR1", "RACEN", "SAFFL", "EFFFL", "MMSETOT", "VISIT1DT", "COMP8FL", "COMP16FL", "COMP24FL", "CUMDOSE", *rounded, *more)
+
+
+@query("""WITH n AS (SELECT l_suppkey % 40 AS g, l_returnflag AS arm, count(*) AS n FROM lineitem GROUP BY 1, 2), least AS (SELECT quantile_disc(n, 0.1) AS k FROM n),
+p AS (SELECT g, sum(n) AS total, min(n) < (SELECT k FROM least) OR count(*) < 3 AS small FROM n GROUP BY g)
+SELECT g::VARCHAR AS SITE, CASE WHEN small THEN '900' ELSE g::VARCHAR END AS SITEGR1, total::BIGINT AS n_rows FROM p""")
+def j6_pool_groups(spark, sf_dir):
+    """Small groups of suppliers pooled; the pool is large enough by itself. The limit is a tenth of the counts by group and flag."""
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).cast("string").alias("SITE"), "l_returnflag")
+    least = li.groupBy("SITE", "l_returnflag").count().agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY count)")).first()[0]
+    return joins.pool_groups(li, "SITEGR1", "SITE", "l_returnflag", int(least)).groupBy("SITE", "SITEGR1").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 FINDINGS_SQL = """e AS (SELECT event_id AS SEQ, user_id::VARCHAR AS USUBJID, event_type AS PARAMCD, value AS AVAL, date_trunc('second', ts) AS ADTM, (DATE '2024-01-08' + (c_custkey % 14)::INTEGER)::TIMESTAMP AS TRTSDTM, ts FROM events LEFT JOIN customer ON user_id = c_custkey),

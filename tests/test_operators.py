@@ -405,3 +405,53 @@ def test_snapshot_trees_find_what_changed(spark, tmp_path, capsys):
     assert "GreaterThanOrEqual(id,9000)" in capsys.readouterr().out  # the predicate reaches the scan
     whole = checks.changed_rows(before, spark.createDataFrame([], "id long, v string"), checks.changed_ranges(*trees(before, after.limit(0)), fanout=4), "id", 100)
     assert whole.count() == before.select("id").distinct().count()
+
+
+def test_merges_of_one_source_are_one_join(spark, capsys):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("c", None), (None, 2)], "id string, d int")
+    add = spark.createDataFrame([("a", 2, 5.0), ("a", 4, 1.0), ("b", 2, None), ("b", None, 7.0), ("x", 1, 1.0), (None, 1, 1.0)], "id string, t int, v double")
+    how = [
+        joins.Pick({"FIRST": "v", "AT": "t"}, ["t"], "first", "t > 0"), joins.Pick({"LAST": "v"}, ["t"], "last"), joins.Pick({"ONE": "v"}, None, "first", "t = 4"),
+        joins.Exists("ANY", "v > 4"), joins.Exists("EARLY", "t > 0", ("t", "d")), joins.Summary("SUM", F.sum, "v * 2", "t IS NOT NULL"),
+    ]
+    got = joins.merge_all(df, add, ["id"], how)
+    alone = joins.merge_vars(df, add, {"FIRST": "v", "AT": "t"}, ["id"], "first", ["t"], "t > 0")
+    alone = joins.merge_vars(alone, add, {"LAST": "v"}, ["id"], "last", ["t"])
+    alone = joins.merge_vars(alone, add, {"ONE": "v"}, ["id"], filter="t = 4")
+    alone = joins.exists_flag(alone, add, "ANY", ["id"], "v > 4")
+    alone = joins.exists_flag(alone, add, "EARLY", ["id"], "t > 0", at_or_before=("t", "d"))
+    alone = records.merge_summary(alone, add, "SUM", ["id"], F.sum(F.col("v") * 2), "t IS NOT NULL")
+    names = ["id", "FIRST", "AT", "LAST", "ONE", "ANY", "EARLY", "SUM"]
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, alone.select(*names).collect()))
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Join") == 1 and plan.count("Scan ExistingRDD") == 2
+    with pytest.raises(PySparkException, match="duplicate_records"):
+        joins.merge_all(df, add, ["id"], [joins.Pick({"ONE": "v"})]).collect()
+
+
+def test_pool_groups(spark):
+    def pooled(cells, least):
+        rows = [(g, a) for (g, a), n in cells.items() for _ in range(n)]
+        got = joins.pool_groups(spark.createDataFrame(rows, "site string, arm string"), "P", "site", "arm", least).distinct().collect()
+        return {r.site: r.P for r in got}
+
+    full = lambda g, n, m: {(g, "x"): n, (g, "y"): m}
+    assert pooled(full("1", 3, 3) | full("2", 5, 4), 3) == {"1": "1", "2": "2"}
+    assert pooled(full("1", 2, 2) | full("2", 1, 1) | full("3", 5, 5), 3) == {"1": "900", "2": "900", "3": "3"}
+    assert pooled(full("1", 2, 2) | full("3", 5, 5) | full("4", 4, 6) | full("5", 9, 9), 3) == {"1": "900", "3": "900", "4": "4", "5": "5"}  # the pool is short; 3 and 4 tie
+    assert pooled({("1", "x"): 9} | full("2", 9, 9), 3) == {"1": "900", "2": "900"}  # a group without an arm
+    assert pooled(full("1", 1, 1) | full("2", 1, 2), 3) == {"1": "900", "2": "900"}
+    assert pooled({(None, "x"): 2} | full("1", 3, 3), 3) == {None: None, "1": "1"}
+
+
+def test_one_scan_and_join_of_each_source_of_subjects(spark):
+    from derivespark.jobs import registry
+
+    out = registry.QUERIES["l1_build_adsl"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scans = [x for x in plan if "Relation" in x]
+    reads = lambda column: sum(f" {column}#" in x or f"[{column}#" in x or f",{column}#" in x for x in scans)
+    # customers are subjects, codelist, vitals, history and characteristics; orders doses, disposition and visits; events answers
+    assert (reads("c_custkey"), reads("o_orderkey"), reads("event_id")) == (5, 3, 1)
+    assert sum("Join LeftOuter" in x for x in plan) == 7 + 2 and len(scans) == 10  # a join a source, the coded race, the pooled site
