@@ -120,11 +120,20 @@ def canonical(text: Column) -> Column:
 
 
 def _words(out: Column) -> Column:
+    """Words of letters and digits between single blanks, in one spelling. The 23 replacements run only on a text that has
+    one of the other spellings."""
+    wide = lambda words: words.replace(" ", "  ")
+    some = " (?:" + "|".join(wide(other) for other in SPELLINGS) + ") "
+
+    def respelled(words: Column) -> Column:
+        one_way = words
+        for other, one in SPELLINGS.items():
+            one_way = F.replace(one_way, F.lit(f" {wide(other)} "), F.lit(f" {wide(one)} "))
+        return F.when(words.rlike(some), one_way).otherwise(words)
+
     out = F.concat(F.lit("  "), F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+", "  "), F.lit("  "))
-    for other, one in SPELLINGS.items():
-        wide = lambda words: F.lit(f" {words.replace(' ', '  ')} ")
-        out = F.replace(out, wide(other), wide(one))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    out = F.get(F.transform(F.array(out), respelled), F.lit(0))  # computed once, used twice
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))  # two blanks stand between words
 
 
 def _registry(spark: SparkSession, texts: dict[str, str] | DataFrame) -> DataFrame:
