@@ -553,6 +553,13 @@ def test_pipeline_stages(spark, docs, tmp_path):
     alone = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
     near = brute.near(list(text.items()), 5, 80)
     assert sorted(r.doc_id for r in alone.collect()) == sorted(i for i, (_, c) in near.items() if i == c)
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    good = {r.doc_id for r in quality.quality_report(docs, labels).collect() if r.predicted}
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(good) and {(r.doc_id, r.text) for r in kept} == {(i, text[i]) for i in good}
+    copies = collections.Counter(r.doc_id for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect())
+    told = mixing.mix_report(docs).collect()
+    assert {r.doc_id: copies[r.doc_id] * r["size"] for r in told} == {r.doc_id: r.taken for r in told}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     final = corpus_pipeline.run(spark, str(tmp_path))
