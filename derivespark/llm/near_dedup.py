@@ -81,7 +81,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", CHUNK_BYTES):
             sets = pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component", "units")), sets], ["doc_id", "component", "units", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("units"), sets], ["doc_id", "units", "shingles"])
 
     return run
 
@@ -124,7 +124,7 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
 def _verify(percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, group in part.groupby("component", sort=False):
+        for _, group in part.groupby("of", sort=False):
             if len(group) > 1:
                 ids = group["doc_id"].to_numpy()
                 sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
@@ -149,9 +149,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     buckets do so too, once for all classes that say it, so a hot bucket gives no pairs and a class one edge of its own.
     Every link lies inside a cluster. A task takes the full sets of small clusters together. A large cluster is cut into blocks, and each
     block is verified together with the cluster's smallest member: near copies of one text come together there, at a cost
-    that follows the cluster's size. Only members that did not reach the smallest one, if any, are then compared with
-    all blocks, a block of them at a time. So every pair that could join two components is met within bounded memory,
-    and only a forest of links leaves a task.
+    that follows the cluster's size. If some members did not reach the smallest one, only bands whose holders are still in
+    different components can join these: the holders of such a band meet once more, each member in as many groups as it
+    has open bands, a constant; a band with very many holders is cut into blocks that meet its apart members. Where that
+    copies more than the apart members with all blocks of the cluster, they meet these. So every pair that could join
+    two components is met within bounded memory, and only a forest of links leaves a task.
     """
     bands, rows = band_plan(percent, rows)
     texts = docs.select(whole_id(docs), F.col("text").cast("string").cast("binary").alias("text"))
@@ -178,29 +180,56 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     bundles = F.lit(max(1, 2 * total // BLOCK_SHINGLES))
 
     def verified(units: DataFrame) -> DataFrame:
-        sets = texts.join(units, texts["doc_id"] == units["node"]).select("doc_id", "component", "units", "text")
-        sets = sets.mapInArrow(_sets(shingle), "doc_id long, component long, units array<long>, shingles binary")
-        each = sets.select("doc_id", "component", "shingles", F.explode("units").alias("unit"))
+        """Links among the nodes that share a unit: ``(node, units)``, each of them a task's ``unit`` and the group ``of`` it."""
+        sets = texts.join(units, texts["doc_id"] == units["node"]).select("doc_id", "units", "text")
+        sets = sets.mapInArrow(_sets(shingle), "doc_id long, units array<struct<of:long,unit:long>>, shingles binary")
+        each = sets.select("doc_id", "shingles", F.explode("units").alias("u")).select("doc_id", "shingles", "u.of", "u.unit")
         with small_batches(docs.sparkSession):
             return saved(each.groupBy("unit").applyInPandas(_verify(percent), "a long, b long"), "minhash-links")
 
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = F.when(F.col("node") == F.col("component"), every).otherwise(F.array("block"))
-    units = F.when(F.col("blocks") > 1, F.transform(own, lambda i: F.xxhash64("component", i))).otherwise(F.array(F.pmod(F.xxhash64("component"), bundles)))
-    links = verified(members.select("node", "component", units.alias("units")))
+    def unit(of, *parts):
+        """A unit of a large group, or for parts that are none one of the units that small groups share."""
+        number = F.xxhash64(of, *parts) if parts else F.pmod(F.xxhash64(of), bundles)
+        return F.struct(of.cast("long").alias("of"), number.alias("unit"))
+
+    def crossed(group):
+        """Units in which a group's members meet its apart members: every block with every block of apart ones."""
+        met = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: unit(group, F.col("block"), j))
+        meets = F.when(F.col("is_apart"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: unit(group, i, F.col("rest"))))
+        return F.array_union(met, F.coalesce(meets, F.array().cast("array<struct<of:long,unit:long>>")))
+
+    component = F.col("component")
+    own = F.when(F.col("node") == component, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    units = F.when(F.col("blocks") > 1, F.transform(own, lambda i: unit(component, i))).otherwise(F.array(unit(component)))
+    links = verified(members.select("node", units.alias("units")))
 
-    large = members.where("blocks > 1")
     linked = components(links, "minhash-components")
-    apart = large.join(linked.select("node", F.col("component").alias("reached")), "node", "left").where("reached is null or reached <> component")
-    apart = saved(apart.drop("reached"), "minhash-apart")
+    labelled = members.where("blocks > 1").join(linked.select("node", F.col("component").alias("reached")), "node", "left")
+    labelled = labelled.withColumn("reached", F.coalesce("reached", "node")).withColumn("is_apart", F.col("reached") != component)
+    apart = labelled.where("is_apart").groupBy("component").agg(F.sum("n").alias("apart_n"))
+    apart = saved(apart.withColumn("rests", F.ceil(F.col("apart_n") / BLOCK_SHINGLES).cast("int")), "minhash-apart")
     if apart.limit(1).count():
-        rests = apart.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("rests"))
-        paired = large.join(rests, "component").join(apart.select("node", F.lit(True).alias("is_apart")), "node", "left")
-        rest = F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int")
-        unit = lambda i, j: F.xxhash64("component", i, j)
-        met = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: unit(F.col("block"), j))
-        meets = F.when(F.col("is_apart"), F.transform(every, lambda i: unit(i, rest))).otherwise(F.array().cast("array<long>"))
-        links = links.unionByName(verified(paired.select("node", "component", F.array_union(met, meets).alias("units"))))
+        left = labelled.join(apart, "component").withColumn("rest", F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int"))
+        left = saved(left, "minhash-left")
+        keyed = banded.join(left.select("node", "n", "component", "reached", "is_apart"), F.col("rep") == F.col("node")).drop("rep")
+        load = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+        keys = keyed.groupBy("key").agg(F.min("reached").alias("low"), F.max("reached").alias("high"), F.sum("n").alias("load"), load(F.col("is_apart")).alias("apart_load"))
+        pieces = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        keys = keys.where("low < high").select("key", pieces("load").alias("blocks"), pieces("apart_load").alias("rests"))
+        keyed = saved(keyed.join(keys, "key"), "minhash-open")  # keys whose holders are in different components yet
+
+        # a cluster goes the way that copies fewer shingles
+        by_key = keyed.groupBy("component").agg(F.sum(F.col("n") * (F.col("rests") + F.when(F.col("is_apart"), F.col("blocks")).otherwise(0))).alias("by_key"))
+        by_block = left.groupBy("component").agg(F.sum(F.col("n") * (F.col("rests") + F.when(F.col("is_apart"), F.col("blocks")).otherwise(0))).alias("by_block"))
+        ways = by_block.join(by_key, "component", "left").select("component", (F.col("by_key") < F.col("by_block")).alias("keyed"), F.col("by_key").isNotNull().alias("open"))
+        ways = saved(ways.where("open").drop("open"), "minhash-ways")  # in the others no pair can join two components
+        whole = left.join(ways.where("NOT keyed").select("component"), "component", "left_semi").select("node", crossed(component).alias("units"))
+        place = {"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "rest": F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int")}
+        key = F.col("key")
+        some = keyed.join(ways.where("keyed").select("component"), "component", "left_semi").withColumns(place)
+        some = some.select("node", F.when((F.col("blocks") == 1) & (F.col("rests") == 1), F.array(unit(key))).otherwise(crossed(key)).alias("units"))
+        some = some.groupBy("node").agg(F.flatten(F.collect_list("units")).alias("units"))  # of one class's bands
+        links = links.unionByName(verified(whole.unionByName(some)))
         linked = components(links, "minhash-components")
 
     reached = classes.select("same", "rep").join(linked, F.col("rep") == F.col("node"), "left")
