@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,10 @@ CHUNK_BYTES = 1_000_000
 SYMBOLS = b"%&*$#@^~<>={}[]\\_+"
 STOPS, DIGITS, BARS, SHOUTS, QUOTES = b".,;:?-", b"0123456789", b"|/", b"!", b"\"'()`"
 UPPER = bytes(range(65, 91))
+#: Buckets of words, a bit each in a document's bitmap, whatever its length; and a task's bitmaps unpacked at a time.
+WORD_BUCKETS = 2**13
+BITMAPS = 1024
+FEATURES = "struct<v: array<double>, w: binary>"
 
 
 def features(text: bytes) -> np.ndarray:
@@ -42,19 +47,59 @@ def features(text: bytes) -> np.ndarray:
     return np.array([*share, *shape, capital, full, beyond, min(follow * 10, 1.0), float(n > 1)])
 
 
+def word_bits(text: bytes) -> bytes:
+    """A bitmap of the buckets of the distinct words of one whole text, letters A-Z in either case."""
+    words = set(text.lower().split())
+    bits = np.zeros(WORD_BUCKETS, dtype=np.uint8)
+    bits[np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % WORD_BUCKETS] = 1
+    return np.packbits(bits).tobytes()
+
+
+def word_ratio(bitmaps: list[bytes], ratios: np.ndarray) -> np.ndarray:
+    """The mean of ``ratios`` over the word buckets of each document; without words zero."""
+    found = [np.zeros(0)]
+    for at in range(0, len(bitmaps), BITMAPS):
+        bits = np.unpackbits(np.frombuffer(b"".join(bitmaps[at : at + BITMAPS]), dtype=np.uint8)).reshape(-1, WORD_BUCKETS)
+        found.append(bits @ ratios / np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
+    return np.concatenate(found)
+
+
+def word_ratios(positive: list[bytes], unlabelled: list[bytes]) -> np.ndarray:
+    """For each bucket the logarithm of the share of positives that have it over the share of unlabelled documents."""
+    shares = []
+    for bitmaps in (positive, unlabelled):
+        n = np.zeros(WORD_BUCKETS)
+        for at in range(0, len(bitmaps), BITMAPS):
+            n += np.unpackbits(np.frombuffer(b"".join(bitmaps[at : at + BITMAPS]), dtype=np.uint8)).reshape(-1, WORD_BUCKETS).sum(axis=0, dtype=np.int64)
+        shares.append((n + 2) / (len(bitmaps) + 4))
+    return np.log(shares[0]) - np.log(shares[1])
+
+
+def crossed(positive: list[bytes], unlabelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word ratios of either sample's documents, each from the other half of both samples, so that no document is
+    weighed by itself, and the mean of both halves' ratios for all other documents. Equal texts are in one half."""
+    half = [np.array([crc32(w) & 1 for w in bitmaps]) for bitmaps in (positive, unlabelled)]
+    of = lambda h: [[w for w, g in zip(bitmaps, at, strict=True) if g == h] for bitmaps, at in zip((positive, unlabelled), half, strict=True)]
+    ratios = [word_ratios(*of(h)) for h in (0, 1)]
+    ours = [np.where(at == 0, word_ratio(bitmaps, ratios[1]), word_ratio(bitmaps, ratios[0])) for bitmaps, at in zip((positive, unlabelled), half, strict=True)]
+    return ours[0], ours[1], (ratios[0] + ratios[1]) / 2
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches, "text", CHUNK_BYTES):
-        x = pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))
+        v = pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64()))
+        x = pa.StructArray.from_arrays([v, pa.array([word_bits(t) for t in texts], pa.binary())], ["v", "w"])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, x)``: the features of every whole text, written once for all that reads them; such a table as it is."""
+    """``(doc_id, x)``: the features of every whole text, its shares and ratios ``v`` and its word bitmap ``w``, written once for
+    all that reads them; such a table as it is."""
     if docs.columns == ["doc_id", "x"]:
         return docs
     texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     with small_batches(docs.sparkSession):
-        return saved(texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"), "quality-features")
+        return saved(texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x {FEATURES}"), "quality-features")
 
 
 #: Features are summed as whole numbers of this fraction, so that the sums do not depend on the order of the tasks.
@@ -62,9 +107,9 @@ UNIT = 2**20
 
 
 def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Means and standard deviations of the features of all ``docs``."""
+    """Means and standard deviations of the shares and ratios of all ``docs``."""
     width = len(features(b""))
-    whole = lambda i, k: F.sum(F.rint(F.pow(F.col("x")[i], k) * UNIT).cast("decimal(28,0)"))
+    whole = lambda i, k: F.sum(F.rint(F.pow(F.col("x.v")[i], k) * UNIT).cast("decimal(28,0)"))
     row = featured(docs).agg(F.count(F.lit(1)), *[whole(i, k) for k in (1, 2) for i in range(width)]).first()
     n, values = max(row[0], 1), np.array([float(v or 0) / UNIT for v in row[1:]])
     mean, square = values[:width] / n, values[width:] / n
@@ -72,10 +117,11 @@ def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """One hidden layer on standardised features; ``score`` is the probability of the positive class."""
+    """One hidden layer on standardised features; ``score`` is the probability of the positive class. With the ``ratios`` of word
+    buckets their mean over a document is the last feature."""
 
-    def __init__(self, mean, scale, hidden, bias, out, out_bias) -> None:
-        self.mean, self.scale, self.hidden, self.bias, self.out, self.out_bias = mean, scale, hidden, bias, out, out_bias
+    def __init__(self, mean, scale, hidden, bias, out, out_bias, ratios=None) -> None:
+        self.mean, self.scale, self.hidden, self.bias, self.out, self.out_bias, self.ratios = mean, scale, hidden, bias, out, out_bias, ratios
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.tanh(((x - self.mean) / self.scale).clip(-8, 8) @ self.hidden + self.bias) @ self.out + self.out_bias
@@ -152,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
 
     Positives are drawn by a hash of doc_id among the documents labelled 1 (a doc_id with differing labels is not
     trusted), however many others there are; the unlabelled text is drawn by another hash among all. Means and scales
-    of the features are those of all documents. The class prior is ``prior``, else ``class_prior`` of the two samples: no
+    of the shares and ratios are those of all documents; the word ratios are those of the samples. The class prior is ``prior``, else ``class_prior`` of the two samples: no
     label but 1 is ever used. With no positive labels every text scores one half; labels with positives of which no
     document was drawn are an error.
     """
@@ -172,26 +218,32 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, prior:
 
     chosen = trusted.where(drawn("positive", trusted.agg(F.sum("n")).first()[0] or 0)).select("doc_id", F.lit(True).alias("positive"))
     joined = ours.join(F.broadcast(chosen), "doc_id", "left")  # about ``rows`` ids
-    sample = joined.select("x", F.coalesce("positive", F.lit(False)).alias("positive"), drawn("fit", n_ours).alias("unlabelled"))
+    sample = joined.select(F.col("x.v").alias("x"), F.col("x.w").alias("w"), F.coalesce("positive", F.lit(False)).alias("positive"), drawn("fit", n_ours).alias("unlabelled"))
     got = sample.where("positive or unlabelled").toPandas()  # at most about twice ``rows``
-    got = got.assign(x=got["x"].map(tuple)).sort_values(["x", "positive", "unlabelled"], ignore_index=True)  # in whatever order tasks end
+    got = got.assign(x=got["x"].map(tuple), w=got["w"].map(bytes)).sort_values(["x", "w", "positive", "unlabelled"], ignore_index=True)  # in whatever order tasks end
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features(b"")))
-    positive, unlabelled = x[got["positive"].to_numpy(dtype=bool)], x[got["unlabelled"].to_numpy(dtype=bool)]
+    at = [got[name].to_numpy(dtype=bool) for name in ("positive", "unlabelled")]
+    positive, unlabelled = (x[a] for a in at)
     if not len(positive) or not len(unlabelled):
         raise ValueError(f"{n_positive} positive labels, but {len(positive)} positive and {len(unlabelled)} unlabelled documents drawn")
-    of = moments(described)
+    by_words = crossed(*[got["w"][a].tolist() for a in at])
+    positive, unlabelled = np.c_[positive, by_words[0]], np.c_[unlabelled, by_words[1]]
+    mean, deviation = moments(described)
+    of = np.r_[mean, by_words[1].mean()], np.r_[deviation, by_words[1].std()]
     if prior is None:
         prior = class_prior(positive, unlabelled, of)
-    return fit_nnpu(positive, unlabelled, prior, of=of)
+    model = fit_nnpu(positive, unlabelled, prior, of=of)
+    model.ratios = by_words[2]
+    return model
 
 
 def described(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the features of the whole text in a new column ``name``, written once: the text goes to Python, only
     numbers come back. Null counts as empty."""
 
-    @F.pandas_udf("array<double>")
-    def of(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: features(t or b""))
+    @F.pandas_udf(FEATURES)
+    def of(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"v": text.map(lambda t: features(t or b"")), "w": text.map(lambda t: word_bits(t or b""))})
 
     with small_batches(docs.sparkSession):
         return saved(docs.withColumn(name, of(F.col("text").cast("string").cast("binary"))), "quality-described")
@@ -201,10 +253,13 @@ def score(model: Model, name: str):
     """The score from the features in the column ``name``."""
 
     @F.pandas_udf("double")
-    def of(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+    def of(v: pd.Series, w: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=float)
+        x = np.stack(v.to_numpy())
+        return pd.Series(model.score(x if model.ratios is None else np.c_[x, word_ratio(w.tolist(), model.ratios)]), dtype=float)
 
-    return of(name)
+    return of(F.col(name)["v"], F.col(name)["w"])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

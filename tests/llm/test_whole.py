@@ -4,6 +4,7 @@ import gzip
 import pathlib
 import random
 import textwrap
+import zlib
 
 import brute
 import numpy as np
@@ -182,3 +183,40 @@ def test_a_long_chain_of_versions_is_one_component(spark, monkeypatch):
     rows = [(120 - i, " ".join(base[3 * i : 3 * i + 80])) for i in range(120)]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
     assert {r.component_id for r in got.collect()} == {1}
+
+
+def test_junk_that_differs_in_its_words_alone(spark):
+    """Junk of the same shape, letters and signs as good text: only its words tell it apart."""
+    rng = random.Random(5)
+    syllables = [a + b for a in "bdfgklmn" for b in "aeiou"]
+    good_words = ["".join(rng.choices(syllables, k=3)) for _ in range(400)]
+    junk_words = ["".join(rng.choices(syllables, k=3)) for _ in range(40)]
+    line = lambda share: " ".join(rng.choice(junk_words if rng.random() < share else good_words) for _ in range(rng.randint(60, 120))) + "."
+    docs = spark.createDataFrame([(i, line(0.3 if i % 5 == 0 else 0.0)) for i in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(1500) if i % 2], "doc_id long, quality int, toxic int")
+    got = [r for r in quality.quality_report(docs, labels).collect() if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 5 > 0) for r in got) > 0.97 * len(got)
+
+
+def test_word_ratios_are_the_other_halfs():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("Aa", "b", "c", "DD", "e,")) for _ in range(rng.randint(0, 4))).encode() for _ in range(60)]
+    positive, unlabelled = texts[:25], texts[25:]
+    bits = [[quality.word_bits(t) for t in part] for part in (positive, unlabelled)]
+    of_positive, of_unlabelled, ratios = quality.crossed(*bits)
+
+    def slots(text):
+        return {zlib.crc32(w) % quality.WORD_BUCKETS for w in text.lower().split()}
+
+    half = lambda t: zlib.crc32(quality.word_bits(t)) & 1
+
+    def weight(slot, h):
+        share = [(sum(slot in slots(t) for t in part if half(t) == h) + 2) / (sum(half(t) == h for t in part) + 4) for part in (positive, unlabelled)]
+        return np.log(share[0] / share[1])
+
+    for part, found in ((positive, of_positive), (unlabelled, of_unlabelled)):
+        for t, r in zip(part, found, strict=True):
+            assert r == pytest.approx(np.mean([weight(s, 1 - half(t)) for s in slots(t)]) if slots(t) else 0)
+    for s in set().union(*map(slots, texts)):
+        assert ratios[s] == pytest.approx((weight(s, 0) + weight(s, 1)) / 2)
+    assert quality.word_ratio([quality.word_bits(b"")], ratios).tolist() == [0]
