@@ -8,7 +8,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json_ranges import SPLIT_BYTES, document_rows, qualified
+from .json_ranges import SPLIT_BYTES, document_rows, joined_file, qualified
 
 #: Declared types and how their cells are read.
 NUMBERS = ("integer", "float", "double", "decimal")
@@ -173,10 +173,8 @@ def _typed(rows: DataFrame, columns: list[dict], declared: int | None = None, co
     return out
 
 
-def write_dataset_ndjson(df: DataFrame, path: str, name: str, columns: list[dict], records: int | None = None) -> None:
-    """Dataset-NDJSON: a line of metadata and a line per row, in files that Spark writes in parallel. ``columns`` has the
-    ``name`` and ``dataType`` (and ``label``, ``targetDataType``) of columns of ``df``; temporal ones are written as they
-    print in ISO 8601."""
+def _written(df: DataFrame, name: str, columns: list[dict], records: int | None = None):
+    """The metadata of a dataset of ``df``, and a row's text as a column."""
     head = {"datasetJSONVersion": "1.1.0", "itemGroupOID": f"IG.{name}", "name": name, "label": name, "columns": [{"itemOID": f"IT.{name}.{c['name']}", "label": c["name"]} | c for c in columns]}
     if records is not None:
         head["records"] = records
@@ -187,23 +185,27 @@ def write_dataset_ndjson(df: DataFrame, path: str, name: str, columns: list[dict
         return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(.*)\}$', 1), F.lit("null"))
 
     kinds = dict(df.dtypes)
-    line = F.concat(F.lit("["), F.concat_ws(",", *[cell(c["name"], kinds[c["name"]]) for c in columns]), F.lit("]"))
+    return head, F.concat(F.lit("["), F.concat_ws(",", *[cell(c["name"], kinds[c["name"]]) for c in columns]), F.lit("]"))
+
+
+def write_dataset_ndjson(df: DataFrame, path: str, name: str, columns: list[dict], records: int | None = None) -> None:
+    """Dataset-NDJSON: a line of metadata and a line per row, in files that Spark writes in parallel. ``columns`` has the
+    ``name`` and ``dataType`` (and ``label``, ``targetDataType``) of columns of ``df``; temporal ones are written as they
+    print in ISO 8601."""
+    head, line = _written(df, name, columns, records)
     df.sparkSession.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(path)
     df.select(line.alias("value")).write.mode("append").text(path)
 
 
 def write_dataset_json(df: DataFrame, path: str, name: str, columns: list[dict]) -> None:
-    """One JSON object in one file, in a folder ``path``: the form for exchange, written by one task; ``write_dataset_ndjson``
-    writes in parallel."""
+    """One JSON object in one file, in a folder ``path``: the form for exchange. Spark writes the rows' lines in parallel,
+    beside it, and ``joined_file`` puts these files at their places in the document; no task sorts or holds the rows."""
     spark = df.sparkSession
-    folder = f"{path}-lines"
-    write_dataset_ndjson(df, folder, name, columns)
-    head, _, lines = _ndjson(spark, folder)
-    ordered = lines.select(F.lit(1).alias("part"), "value").repartition(1)
-    first = F.monotonically_increasing_id() == 0  # of one partition
-    rows = ordered.withColumn("value", F.concat(F.when(first, "").otherwise(","), "value")).withColumn("row", F.monotonically_increasing_id())
-    ends = spark.createDataFrame([(0, json.dumps(head)[:-1] + ', "rows": [', -1), (2, "]}", -1)], "part int, value string, row long")
-    rows.unionByName(ends).repartition(1).sortWithinPartitions("part", "row").select("value").write.text(path)
+    head, line = _written(df, name, columns)
+    _columns({"version": head["datasetJSONVersion"], "columns": json.dumps(head["columns"]), "items": None})
+    lines = f"{path}-lines"
+    df.select(F.concat(F.lit(","), line).alias("value")).write.option("compression", "none").text(lines)
+    joined_file(spark, lines, f"{path}/part-00000.json", (json.dumps(head)[:-1] + ', "rows": [\n').encode(), b"]}\n", skip=1)  # the first comma
 
 
 def _ndjson(spark: SparkSession, path: str) -> tuple[dict, list[dict], DataFrame]:

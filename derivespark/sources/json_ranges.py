@@ -7,6 +7,7 @@ state at the start of every range. Then each task reads the rows that begin in i
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ STATES = "at long, inside boolean, ends_inside boolean, delta long, least long,
 BATCH_BYTES = 4_000_000
 #: A task holds some twenty bytes for each byte of its range.
 SPLIT_BYTES = 16_000_000
+#: Bytes that a task puts into a joined file, and those that it holds at a time.
+PIECE_BYTES, COPY_BYTES = 64_000_000, 4_000_000
 
 
 def _open(path: str):
@@ -119,10 +122,10 @@ class Range(InputPartition):
 class RowsReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.level, self.end = options["path"], int(options["level"]), int(options["end"])
-        self.ranges = [Range(*map(int, r.split(":"))) for r in options["ranges"].split(",") if r]
+        self.ranges = options["ranges"]  # as text: every task gets the reader, and would make a range of each
 
     def partitions(self) -> list[Range]:
-        return self.ranges or [Range(0, 0, False, 0)]
+        return [Range(*map(int, r.split(":"))) for r in self.ranges.split(",") if r] or [Range(0, 0, False, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         """The rows that begin in the range, as text: whole elements of the array, whatever they are."""
@@ -231,3 +234,97 @@ def document_rows(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> t
     spark.dataSource.register(RowsSource)
     rows = spark.read.format("json_document_rows").options(path=path, level=str(level), end=str(end), ranges=",".join(ranges)).load()
     return rest, rows.select(F.col("value"))
+
+
+def _blocks(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """The bytes of a range, some at a time, each with its place."""
+    with _open(path) as file:
+        file.seek(start)
+        while start < stop:
+            data = file.read(min(COPY_BYTES, stop - start))
+            if not data:
+                raise ValueError(f"{path} ends at {start}, before {stop}")
+            yield start, data
+            start += len(data)
+
+
+def _put(name: str):
+    """Writes pieces of other files at their places in the local or mounted file ``name``, and tells the bytes written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.to_pylist():
+                file = os.open(name, os.O_WRONLY)
+                try:
+                    for at, data in _blocks(piece["path"], piece["start"], piece["stop"]):
+                        view, place = memoryview(data), piece["place"] + at - piece["start"]
+                        while view:
+                            n = os.pwrite(file, view, place)
+                            view, place = view[n:], place + n
+                    os.fsync(file)
+                finally:
+                    os.close(file)
+                yield pa.RecordBatch.from_arrays([pa.array([piece["stop"] - piece["start"]], pa.int64())], ["done"])
+
+    return run
+
+
+def _stream(target: str, first: bytes, last: bytes):
+    """Writes one file from all pieces, in the order in which they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, name = pyarrow.fs.FileSystem.from_uri(target)
+        done = 0
+        with fs.open_output_stream(name) as out:
+            out.write(first)
+            for batch in batches:
+                for piece in batch.to_pylist():
+                    for _, data in _blocks(piece["path"], piece["start"], piece["stop"]):
+                        out.write(data)
+                        done += len(data)
+            out.write(last)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["done"])
+
+    return run
+
+
+def joined_file(spark: SparkSession, folder: str, target: str, first: bytes, last: bytes, skip: int = 0, piece: int = PIECE_BYTES) -> None:
+    """The new file ``target``: ``first``, the bytes of the files of ``folder`` but the first ``skip``, ``last``. The folder
+    is removed. An action.
+
+    In a local or mounted file system (``file:``) tasks write pieces of ``piece`` bytes at their places, side by side. Other
+    stores have no such writes: there one task streams all, ``COPY_BYTES`` at a time."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, made = hadoop(folder), hadoop(target)
+    fs = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(made.getParent()):
+        raise ValueError(f"{made.getParent()} exists already")
+    statuses = source.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(source)
+    found = sorted((s.getPath().toUri().toString(), s.getLen()) for s in statuses if not s.getPath().getName().startswith(("_", ".")))
+    pieces, place = [], len(first)
+    for name, size in found:
+        for start in range(0, size, piece):
+            low, high = start + min(skip, min(start + piece, size) - start), min(start + piece, size)
+            skip -= low - start
+            if low < high:
+                pieces.append((name, low, high, place))
+                place += high - low
+    fs.mkdirs(made.getParent())
+    open_ = fs.makeQualified(hadoop(made.getParent(), f"_{made.getName()}"))  # the name of what is not whole yet
+    local = open_.toUri().getScheme() == "file"
+    if local:
+        with open(open_.toUri().getPath(), "wb") as file:
+            file.write(first)
+            file.seek(place)
+            file.write(last)
+    frame = spark.createDataFrame(pieces, "path string, start long, stop long, place long")
+    if local:
+        told = frame.repartition(max(1, len(pieces)), "place").mapInArrow(_put(open_.toUri().getPath()), "done long")
+    else:
+        told = frame.coalesce(1).sortWithinPartitions("place").mapInArrow(_stream(open_.toUri().toString(), first, last), "done long")
+    done = sum(r["done"] for r in told.collect())  # a number a piece
+    if done != place - len(first):
+        raise ValueError(f"{target}: {done} of {place - len(first)} bytes were written")
+    if not fs.rename(open_, made):
+        raise ValueError(f"{open_.toString()} cannot be renamed")
+    source.getFileSystem(spark._jsc.hadoopConfiguration()).delete(source, True)

@@ -4,6 +4,7 @@ import json
 import random
 import warnings
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -74,3 +75,39 @@ def test_document_written_and_read(spark, tmp_path):
     assert json.loads(file.read_text())["name"] == "X"
     for split in (64, 10**9):
         assert sorted(read_dataset_json(spark, f"file://{file}", split=split).collect()) == sorted(df.collect())
+
+
+def stages(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = spark._jvm
+    listed = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleReadRecords() for s in (listed.apply(i) for i in range(listed.size()))}
+
+
+def test_no_task_holds_the_document_that_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(f'"é{i}' * (i % 7), i / 4) for i in range(500)], "A string, B double").repartition(5).localCheckpoint()
+    before = stages(spark)
+    write_dataset_json(df, f"file://{tmp_path}/d e%20#f", "X", COLUMNS)
+    new = [n for stage, n in stages(spark).items() if stage not in before]
+    assert new and max(new) <= 5  # pieces of files; the rows are not shuffled
+    assert [p.name for p in tmp_path.iterdir()] == ["d e%20#f"]  # the lines beside it are gone
+    (file,) = (tmp_path / "d e%20#f").glob("part-*")
+    assert sorted(map(tuple, json.loads(file.read_text())["rows"])) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError, match="exists already"):
+        write_dataset_json(df, f"file://{tmp_path}/d e%20#f", "X", COLUMNS)
+    write_dataset_json(df.limit(0), f"file://{tmp_path}/none", "X", COLUMNS)
+    (file,) = (tmp_path / "none").glob("part-*")
+    assert json.loads(file.read_text())["rows"] == []
+
+
+@pytest.mark.parametrize("piece", [3, 10, 10**6])
+def test_files_are_joined_by_pieces(spark, tmp_path, piece):
+    parts = [b",first", b"", b",second part", b",x"]
+    (tmp_path / "in").mkdir()
+    for i, data in enumerate(parts):
+        (tmp_path / f"in/part-{i}").write_bytes(data)
+    places = pa.RecordBatch.from_pylist([{"path": f"file://{tmp_path}/in/part-{i}", "start": int(i == 0), "stop": len(data), "place": 0} for i, data in enumerate(parts) if data])
+    (told,) = json_ranges._stream(f"file://{tmp_path}/streamed", b"<", b">")(iter([places]))
+    json_ranges.joined_file(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out/whole", b"<", b">", skip=1, piece=piece)
+    assert (tmp_path / "out/whole").read_bytes() == (tmp_path / "streamed").read_bytes() == b"<" + b"".join(parts)[1:] + b">"
+    assert told["done"].to_pylist() == [len(b"".join(parts)) - 1] and not (tmp_path / "in").exists()
