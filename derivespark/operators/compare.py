@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 60
+#: Numbers in one array of copies.
+COPIES = 10_000
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -35,56 +37,93 @@ def _canonical(v: str, c: Column, kinds: tuple[str, str], own: str) -> Column:
     return c.cast("string")
 
 
-def match_records(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def match_records(ours: DataFrame, oracle: DataFrame, variables: Sequence[str], keys: Sequence[str], tasks: int | None = None) -> DataFrame:
     """``k0.., a0.., b0.., kind, n``: records of both sides that belong together, for keys that may repeat.
 
     Equal records of a key are matched first, as many as both sides have (``kind`` equal); the others are paired in the
     order of their values (paired), and what one side has too many is unpaired (ours, oracle). ``n`` counts equal pairs.
-    Records are counted before they are joined, so m and n records of a key give max(m, n) pairs at most, never m times n.
-    NULL keys match nothing."""
+    Records are counted before they are paired, so m and n records of a key give max(m, n) pairs at most, never m times n.
+    NULL keys match nothing.
+
+    Both sides are counted in one frame, first the copies from a partition, so that many copies of a record are dealt out,
+    then all; each step in ``tasks`` partitions (default: Spark's shuffle partitions), which Spark does not put together."""
+    tasks = tasks or int(ours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = [f"k{i}" for i in range(len(keys))]
     kinds = [(dict(ours.dtypes)[v], dict(oracle.dtypes)[v]) for v in variables]
     canon = [f"c{i}" for i in range(len(variables))]
+    a, b = ([f"{x}{i}" for i in range(len(variables))] for x in "ab")
+    known = F.lit(True)
+    for c in k:
+        known = known & F.col(c).isNotNull()
+
+    def told(i: int, side: int) -> Column | None:
+        """The value that a canonical form stands for, where it is no other than that."""
+        v, own = variables[i], kinds[i][side]
+        dated = v.endswith(("DT", "DTM")) or "date" in kinds[i]
+        if own == "double" and not dated:
+            return F.col(f"c{i}").cast("double")
+        return F.col(f"c{i}") if own == "string" and not dated and not any(map(_number, kinds[i])) else None
+
+    def key(i: int, side: int) -> Column:
+        """As a comparison has it: text beside another type is read as that."""
+        own, other = (dict(df.dtypes)[keys[i]] for df in ((ours, oracle), (oracle, ours))[side])
+        whole = other in ("tinyint", "smallint", "int")
+        return (F.col(keys[i]).cast("bigint" if whole else other) if own == "string" != other else F.col(keys[i])).alias(f"k{i}")
+
+    named = lambda df, x: df.select(*[key(i, "ab".index(x)) for i in range(len(keys))], *[F.col(v).alias(f"{x}{i}") for i, v in enumerate(variables)])
+    sides = [named(ours, "a"), named(oracle, "b")]
+    types = [[(x, s.schema[x].dataType) for i, x in enumerate(xs)] for s, xs in zip(sides, (a, b), strict=True)]
+    kept = [x for side, xs in enumerate((a, b)) for i, x in enumerate(xs) if told(i, side) is None]
+
+    def rows(side: int) -> DataFrame:
+        forms = [_canonical(v, F.col(f"{'ab'[side]}{i}"), kinds[i], kinds[i][side]).alias(f"c{i}") for i, v in enumerate(variables)]
+        other = [F.lit(None).cast(kind).alias(x) for x, kind in types[1 - side] if x in kept]
+        counts = [F.lit(int(side == s)).cast("long").alias(n) for s, n in enumerate(("n_a", "n_b"))]
+        return sides[side].where(known).select(*k, *forms, *[x for x, _ in types[side] if x in kept], *other, *counts, F.spark_partition_id().alias("_from"))
+
+    def counted(df: DataFrame, by: list[str]) -> DataFrame:
+        # one of the values with equal forms
+        return df.repartition(tasks, *by).groupBy(*by).agg(*[F.sum(n).alias(n) for n in ("n_a", "n_b")], *[F.min(x).alias(x) for x in kept])
+
+    both = counted(counted(rows(0).unionByName(rows(1)), [*k, *canon, "_from"]), [*k, *canon])
+    values = lambda side: [(F.col(x) if x in kept else told(i, side)).alias(x) for i, x in enumerate((a, b)[side])]
+    same = both.where("n_a > 0 AND n_b > 0").select(*k, *values(0), *values(1), F.lit("equal").alias("kind"), F.least("n_a", "n_b").alias("n"))
+
+    theirs = F.col("n_b") > F.col("n_a")
+    own = [F.when(~theirs, x).alias(name) for x, name in zip(values(0), a, strict=True)] + [F.when(theirs, x).alias(name) for x, name in zip(values(1), b, strict=True)]
+    rest = both.where("n_a <> n_b").select(*k, theirs.alias("_theirs"), *own, F.abs(F.col("n_a") - F.col("n_b")).alias("_more")).repartition(tasks, *k)
+    order = Window.partitionBy(*k, "_theirs").orderBy(*a, *b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = _copies(rest.withColumn("_before", F.sum("_more").over(order) - F.col("_more"))).withColumn("_nth", F.col("_before") + F.col("_i"))
+    place = Window.partitionBy(*k).orderBy("_nth", "_theirs")  # ours, then the oracle's record of that number
+    pairs = each.withColumns({"_met": F.lag("_nth").over(place), "_next": F.lead(F.struct("_nth", *b)).over(place)}).where("_met IS NULL OR _met <> _nth")
+    paired = F.coalesce(F.col("_next._nth") == F.col("_nth"), F.lit(False))
+    kind = F.when(F.col("_theirs"), "oracle").when(paired, "paired").otherwise("ours")
+    one = F.lit(1).cast("long").alias("n")
+    pairs = pairs.select(*k, *a, *[F.when(paired, F.col(f"_next.{x}")).otherwise(F.col(x)).alias(x) for x in b], kind.alias("kind"), one)
+    for side, name in enumerate(("ours", "oracle")):
+        empty = [F.lit(None).cast(kind).alias(x) for x, kind in types[1 - side]]
+        mine = sides[side].where(~known).select("*", *empty, F.lit(name).alias("kind"), one)
+        pairs = pairs.unionByName(mine)
+    return same.unionByName(pairs)
 
-    def counted(df: DataFrame, letter: str, side: int) -> DataFrame:
-        forms = [_canonical(v, F.col(v), kinds[i], kinds[i][side]).alias(f"c{i}") for i, v in enumerate(variables)]
-        rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *forms, *[F.col(v).alias(f"{letter}{i}") for i, v in enumerate(variables)])
-        values = [F.min(f"{letter}{i}").alias(f"{letter}{i}") for i in range(len(variables))]  # one of those with equal forms
-        return rows.groupBy(*k, *canon).agg(F.count(F.lit(1)).alias(f"n_{letter}"), *values)
 
-    left, right = counted(ours, "a", 0), counted(oracle, "b", 1)
-    of = {c: f"_{c}" for c in [*k, *canon]}
-    on = F.lit(True)
-    for c in k:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    for c in canon:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    both = left.join(right.withColumnsRenamed(of), on, "full")
-    both = both.withColumns({c: F.coalesce(c, f"_{c}") for c in of}).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_a", "n_b")})
-    a, b = ([f"{x}{i}" for i in range(len(variables))] for x in "ab")
-    same = both.where("n_a > 0 AND n_b > 0").select(*k, *a, *b, F.lit("equal").alias("kind"), F.least("n_a", "n_b").alias("n"))
+def _copies(df: DataFrame) -> DataFrame:
+    """A row for each of ``_more`` copies, numbered from 1 in ``_i``; no array has more than ``COPIES`` numbers."""
+    some = df.withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((F.col("_more") - 1) / COPIES))))
+    last = F.least(F.col("_more"), (F.col("_at") + 1) * COPIES)
+    return some.withColumn("_i", F.explode(F.sequence(F.col("_at") * COPIES + 1, last))).drop("_at")
 
-    def rest(letter: str, other: str, values: list[str]) -> DataFrame:
-        left_over = both.withColumn("_more", F.col(f"n_{letter}") - F.col(f"n_{other}")).where("_more > 0")
-        each = left_over.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_more").cast("int"))))
-        nth = F.row_number().over(Window.partitionBy(*k).orderBy(*values, *canon, "_i"))
-        return each.select(*k, *values, nth.alias("_nth"))
 
-    mine, theirs = rest("a", "b", a), rest("b", "a", b).withColumnsRenamed({**{c: f"_{c}" for c in k}, "_nth": "_other"})
-    on = F.col("_nth") == F.col("_other")
-    for c in k:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    pairs = mine.join(theirs, on, "full")
-    kind = F.when(F.col("_other").isNull(), "ours").when(F.col("_nth").isNull(), "oracle").otherwise("paired")
-    pairs = pairs.select(*[F.coalesce(c, f"_{c}").alias(c) for c in k], *a, *b, kind.alias("kind"), F.lit(1).cast("long").alias("n"))
-    return same.unionByName(pairs)
+KINDS = ("equal", "paired", "ours", "oracle")
 
 
 def match_summary(matched: DataFrame) -> DataFrame:
     """``kind, n_pairs, n_keys``: pairs of each kind, and the keys that have some."""
     keys = [c for c in matched.columns if c[0] == "k" and c[1:].isdigit()]
-    per = matched.groupBy("kind", *keys).agg(F.sum("n").alias("n"))
-    return per.groupBy("kind").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_keys"))
+    per = matched.groupBy(*keys).agg(*[F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in KINDS])  # a row a key
+    sums = per.agg(*[x for kind in KINDS for x in (F.sum(kind).alias(kind), F.count(kind).alias(f"n_{kind}"))])
+    rows = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("n_pairs"), F.col(f"n_{kind}").alias("n_keys")) for kind in KINDS]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("n_keys > 0")
 
 
 def _agree(v: str, a: Column, b: Column, kinds: tuple[str, str], tol: float) -> Column:

@@ -3,6 +3,7 @@
 import contextlib
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -385,6 +386,37 @@ def test_repeated_keys_are_matched(spark):
     assert (acc.n_joined, acc.value_agree) == (2000, 100.0)
 
 
+def test_matched_records_are_dealt_out(spark):
+    """As matched in plain Python, with NULLs, copies and keys stored as text; no task gets most of the pairs."""
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(3)
+    side = lambda n, key: [(key(int(rng.integers(40))), None if rng.random() < 0.1 else float(rng.integers(4)), "xyz"[rng.integers(3)] if rng.random() < 0.9 else None) for _ in range(n)]
+    left = side(900, lambda i: i or None) + [(7, 1.0, "x")] * 25_000
+    right = side(1200, lambda i: str(i) if i else None) + [("7", 1.0, "x")] * 15_000
+    expected = Counter()
+    for key in range(1, 40):
+        ours, oracle = Counter(r[1:] for r in left if r[0] == key), Counter(r[1:] for r in right if r[0] == str(key))
+        expected.update({("equal", key, r, r): n for r, n in (ours & oracle).items()})
+        a, b = (sorted(x.elements(), key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r)) for x in (ours - oracle, oracle - ours))
+        for i in range(max(len(a), len(b))):
+            mine, theirs = a[i] if i < len(a) else (None, None), b[i] if i < len(b) else (None, None)
+            expected["paired" if i < min(len(a), len(b)) else "ours" if i < len(a) else "oracle", key, mine, theirs] += 1
+    expected.update(("ours", None, r[1:], (None, None)) for r in left if r[0] is None)
+    expected.update(("oracle", None, (None, None), r[1:]) for r in right if r[0] is None)
+    frames = spark.createDataFrame(left, "k int, v double, t string"), spark.createDataFrame(right, "k string, v double, t string")
+    for tasks in (1, 5):
+        got = Counter()
+        for r in compare.match_records(*frames, ["v", "t"], ["k"], tasks=tasks).collect():
+            got[r.kind, None if r.k0 is None else int(r.k0), (r.a0, r.a1), (r.b0, r.b1)] += r.n
+        assert got == expected
+    kinds = Counter(x[0] for x in expected for _ in range(expected[x]))
+    assert {r.kind: (r.n_pairs, r.n_keys) for r in compare.match_summary(compare.match_records(*frames, ["v", "t"], ["k"])).collect()} == {kind: (n, len({x[1] for x in expected if x[0] == kind})) for kind, n in kinds.items()}
+    many = spark.range(4000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    with settings(spark, {"spark.sql.shuffle.partitions": "16"}):
+        found = compare.match_records(many, many.withColumn("v", F.lit(2)), ["v"], ["k"])
+        assert found.groupBy(F.spark_partition_id()).agg(F.count("k0").alias("n")).agg(F.max("n"), F.sum("n")).first()[:] == (pytest.approx(250, abs=150), 4000)
+
+
 def test_snapshot_trees_find_what_changed(spark, tmp_path, capsys):
     rows = [(i, f"v{i}") for i in range(0, 20_000, 2)] + [(None, "n"), (4, "twice"), (4, "twice")]
     path = f"file://{tmp_path}/a"
